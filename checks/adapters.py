@@ -145,7 +145,9 @@ FROM views
 # Raw pixel requests, one per event.
 HITS = """
 SELECT event_id AS hit_id, ts,
- '10.0.' || CAST(user_id % 4 AS STRING) || '.' || CAST(user_id % 200 AS STRING) AS remote_addr,
+ CASE WHEN user_id % 5 = 4 THEN '2001:db8:' || lower(hex(user_id % 4096)) || '::1'
+      WHEN user_id % 10 = 3 THEN '::ffff:10.0.' || CAST(user_id % 4 AS STRING) || '.' || CAST(user_id % 200 AS STRING)
+      ELSE '10.0.' || CAST(user_id % 4 AS STRING) || '.' || CAST(user_id % 200 AS STRING) END AS remote_addr,
  CAST(NULL AS STRING) AS cf_connecting_ip,
  CASE WHEN user_id % 7 = 0 THEN '203.0.113.' || CAST(user_id % 250 AS STRING) || ', 10.9.9.9' END AS x_forwarded_for,
  CAST(NULL AS STRING) AS x_real_ip,
@@ -241,6 +243,9 @@ SELECT 'gcp', '203.0.' || CAST(user_id % 256 AS STRING) || '.0/' || CAST(20 + us
 FROM base WHERE event_type = 'signup' GROUP BY user_id
 UNION ALL
 SELECT 'gcp', '198.51.100.' || CAST(user_id AS STRING) || '/33' FROM base GROUP BY user_id
+UNION ALL
+SELECT 'aws', '2001:db8:' || lower(hex(user_id % 4096)) || '::/' || CAST(41 + user_id % 8 AS STRING)
+FROM base WHERE event_type = 'click' AND user_id % 3 = 0 GROUP BY user_id
 """
 
 # Addresses of proven or suspected bots with the time they were seen.

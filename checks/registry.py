@@ -1,5 +1,6 @@
 """All registered queries: the reports and the jobs."""
 
+import checks.jobs  # noqa: F401  (registers the jobs)
 from checks.reports import CHECKS
 
 __all__ = ["CHECKS"]

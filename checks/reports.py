@@ -59,9 +59,10 @@ daily AS (
 """
 
 
-def with_tables(sql: str, *names: str, daily: bool = False) -> str:
+def with_tables(sql: str, *names: str, daily: bool = False, before: str = "{tables}") -> str:
+    """``before`` holds further common tables of a check, after its ``{tables}``."""
     names = names + (("views", "excluded") if daily else ())
-    text = "WITH " + ctes("duckdb", *names)
+    text = "WITH " + before.replace("{tables}", ctes("duckdb", *names))
     if daily:
         text = f"{text}, {DAILY}"
     return f"{text} {sql}"  # a check may begin with ', more AS (...)'
@@ -71,9 +72,9 @@ def with_tables(sql: str, *names: str, daily: bool = False) -> str:
 CHECKS: dict[str, Check] = {}
 
 
-def register(name: str, run: Query, sql: str | None = None, *names: str, daily: bool = False) -> None:
+def register(name: str, run: Query, sql: str | None = None, *names: str, **parts) -> None:
     query = lambda spark, sf: as_text(run(spark, sf))
-    CHECKS[name] = Check(query, with_tables(sql, *names, daily=daily) if sql else None)
+    CHECKS[name] = Check(query, with_tables(sql, *names, **parts) if sql else None)
 
 
 def daily_table(spark: SparkSession, sf: str) -> DataFrame:

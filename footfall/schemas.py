@@ -3,90 +3,108 @@ result depends on the session time zone and time filters reach the scan."""
 
 from pyspark.sql.types import StructType
 
-VIEWS = StructType.fromDDL("""
-    id BIGINT, visitor_id STRING, path STRING, site_id STRING, session_id STRING,
-    interaction_ms BIGINT, screen_width INT, screen_height INT, device_type STRING,
-    os_name STRING, browser_name STRING, browser_version STRING, country_code STRING,
-    is_returning INT, referrer STRING, referrer_type STRING, bot_score INT,
-    bot_score_detail STRING, is_pwa INT, utm_source STRING, utm_medium STRING,
-    utm_campaign STRING, utm_content STRING, utm_term STRING, created_at TIMESTAMP_NTZ
-""")
-
-EVENTS = StructType.fromDDL("""
-    id BIGINT, event_type STRING, site_id STRING, session_id STRING, visitor_id STRING,
-    data STRING, experiment_id STRING, variant_id STRING, utm_campaign STRING,
-    device_type STRING, referrer STRING, hour INT, month INT, day_of_week INT,
-    is_returning INT, bot_score INT, bot_score_detail STRING, created_at TIMESTAMP_NTZ
-""")
-
-DAILY = StructType.fromDDL("""
-    site_id STRING, date DATE, device_type STRING, country_code STRING,
-    is_returning INT, visits BIGINT, unique_visitors BIGINT, avg_interaction_ms BIGINT
-""")
-
-EXCLUDED = StructType.fromDDL("visitor_id STRING, label STRING, created_at TIMESTAMP_NTZ")
-
-EXPERIMENTS = StructType.fromDDL("""
-    experiment_id STRING, name STRING, description STRING, status STRING,
-    metric_event_type STRING, allocation_percent INT, created_at TIMESTAMP_NTZ,
-    started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ
-""")
-
-VARIANTS = StructType.fromDDL("""
-    experiment_id STRING, variant_id STRING, name STRING, weight INT,
-    is_control INT, config STRING
-""")
-
-CAMPAIGNS = StructType.fromDDL("""
-    id STRING, name STRING, utm_campaign STRING, site_id STRING, status STRING,
-    created_at TIMESTAMP_NTZ
-""")
-
-METRICS = StructType.fromDDL("""
-    id BIGINT, recorded_at TIMESTAMP_NTZ, commit_hash STRING, branch STRING,
-    category STRING, metric STRING, value DOUBLE, unit STRING, metadata STRING
-""")
-
-REQUESTS = StructType.fromDDL(
-    "id BIGINT, ts TIMESTAMP_NTZ, duration_ms DOUBLE, path STRING, status INT"
+
+def _table(**columns: str | StructType) -> StructType:
+    schema = StructType()
+    for name, kind in columns.items():
+        schema.add(name, kind)
+    return schema
+
+
+VIEWS = _table(
+    id="long", visitor_id="string", path="string", site_id="string", session_id="string",
+    interaction_ms="long", screen_width="integer", screen_height="integer",
+    device_type="string", os_name="string", browser_name="string", browser_version="string",
+    country_code="string", is_returning="integer", referrer="string",
+    referrer_type="string", bot_score="integer", bot_score_detail="string",
+    is_pwa="integer", utm_source="string", utm_medium="string", utm_campaign="string",
+    utm_content="string", utm_term="string", created_at="timestamp_ntz",
+)
+
+EVENTS = _table(
+    id="long", event_type="string", site_id="string", session_id="string",
+    visitor_id="string", data="string", experiment_id="string", variant_id="string",
+    utm_campaign="string", device_type="string", referrer="string", hour="integer",
+    month="integer", day_of_week="integer", is_returning="integer", bot_score="integer",
+    bot_score_detail="string", created_at="timestamp_ntz",
+)
+
+DAILY = _table(
+    site_id="string", date="date", device_type="string", country_code="string",
+    is_returning="integer", visits="long", unique_visitors="long",
+    avg_interaction_ms="long",
+)
+
+EXCLUDED = _table(
+    visitor_id="string", label="string", created_at="timestamp_ntz",
+)
+
+EXPERIMENTS = _table(
+    experiment_id="string", name="string", description="string", status="string",
+    metric_event_type="string", allocation_percent="integer", created_at="timestamp_ntz",
+    started_at="timestamp_ntz", ended_at="timestamp_ntz",
+)
+
+VARIANTS = _table(
+    experiment_id="string", variant_id="string", name="string", weight="integer",
+    is_control="integer", config="string",
+)
+
+CAMPAIGNS = _table(
+    id="string", name="string", utm_campaign="string", site_id="string", status="string",
+    created_at="timestamp_ntz",
+)
+
+METRICS = _table(
+    id="long", recorded_at="timestamp_ntz", commit_hash="string", branch="string",
+    category="string", metric="string", value="double", unit="string", metadata="string",
+)
+
+REQUESTS = _table(
+    id="long", ts="timestamp_ntz", duration_ms="double", path="string", status="integer",
 )
 
 # One tracking-pixel request: headers, cookie and query parameters as received.
-HITS = StructType.fromDDL("""
-    hit_id BIGINT, ts TIMESTAMP_NTZ, remote_addr STRING, cf_connecting_ip STRING,
-    x_forwarded_for STRING, x_real_ip STRING, user_agent STRING,
-    accept_language STRING, sec_ch_ua STRING, sec_fetch_site STRING,
-    cf_ipcountry STRING, cloudfront_viewer_country STRING, x_country_code STRING,
-    cf_bot_score STRING, cf_verified_bot STRING, cookie_ev STRING,
-    p STRING, s STRING, sid STRING, ref STRING, sw STRING, sh STRING, v STRING,
-    ck STRING, pwa STRING, uc STRING, us STRING, um STRING, uct STRING, ut STRING,
-    pow_result STRING
-""")
+HITS = _table(
+    hit_id="long", ts="timestamp_ntz", remote_addr="string", cf_connecting_ip="string",
+    x_forwarded_for="string", x_real_ip="string", user_agent="string",
+    accept_language="string", sec_ch_ua="string", sec_fetch_site="string",
+    cf_ipcountry="string", cloudfront_viewer_country="string", x_country_code="string",
+    cf_bot_score="string", cf_verified_bot="string", cookie_ev="string", p="string",
+    s="string", sid="string", ref="string", sw="string", sh="string", v="string",
+    ck="string", pwa="string", uc="string", us="string", um="string", uct="string",
+    ut="string", pow_result="string",
+)
 
 # One event post: the same headers plus the JSON body.
-POSTS = StructType.fromDDL("""
-    post_id BIGINT, ts TIMESTAMP_NTZ, remote_addr STRING, cf_connecting_ip STRING,
-    x_forwarded_for STRING, x_real_ip STRING, user_agent STRING,
-    accept_language STRING, sec_ch_ua STRING, sec_ch_ua_mobile STRING,
-    sec_fetch_site STRING, cf_ipcountry STRING, cloudfront_viewer_country STRING,
-    x_country_code STRING, cf_bot_score STRING, cf_verified_bot STRING,
-    cookie_ev STRING, referer STRING, body STRING, pow_result STRING
-""")
+POSTS = _table(
+    post_id="long", ts="timestamp_ntz", remote_addr="string", cf_connecting_ip="string",
+    x_forwarded_for="string", x_real_ip="string", user_agent="string",
+    accept_language="string", sec_ch_ua="string", sec_ch_ua_mobile="string",
+    sec_fetch_site="string", cf_ipcountry="string", cloudfront_viewer_country="string",
+    x_country_code="string", cf_bot_score="string", cf_verified_bot="string",
+    cookie_ev="string", referer="string", body="string", pow_result="string",
+)
 
 # API batches and performance-metric posts: body as received.
-RAW_BODIES = StructType.fromDDL("raw_id BIGINT, received_at TIMESTAMP_NTZ, body STRING")
-
-PRINTS = StructType.fromDDL("""
-    ip_hash STRING, visitor_id STRING, site_id STRING,
-    fingerprint STRUCT<os_name: STRING, browser_name: STRING, browser_version: STRING,
-        screen_width: INT, screen_height: INT, country_code: STRING,
-        accept_language: STRING>,
-    headless_tainted BOOLEAN, ts TIMESTAMP_NTZ
-""")
-
-MAINTENANCE_LOG = StructType.fromDDL("""
-    date DATE, status STRING, rollup_rows BIGINT, purge_views BIGINT, purge_events BIGINT
-""")
+RAW_BODIES = _table(
+    raw_id="long", received_at="timestamp_ntz", body="string",
+)
+
+PRINTS = _table(
+    ip_hash="string", visitor_id="string", site_id="string",
+    fingerprint=_table(
+        os_name="string", browser_name="string", browser_version="string",
+        screen_width="integer", screen_height="integer", country_code="string",
+        accept_language="string",
+    ),
+    headless_tainted="boolean", ts="timestamp_ntz",
+)
+
+MAINTENANCE_LOG = _table(
+    date="date", status="string", rollup_rows="long", purge_views="long",
+    purge_events="long",
+)
 
 TABLES = {
     "visitor_views": VIEWS,
