@@ -330,6 +330,17 @@ def ctes(engine: str, *names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _select(spark, spark.read.parquet(f"{sf_dir}/events.parquet"), name)
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table over a stream of the files; for tables that are projections."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    return _select(spark, files, name)
+
+
+def _select(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
     sources = _closure((name,))
     before = [n for n in sources if n != name]
     prefix = ", ".join(f"{n} AS ({render(TABLES[n][0], 'spark')})" for n in before)
@@ -338,7 +349,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = text.replace("FROM events\n", "FROM {events}\n")
     return spark.sql(
         text.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}"),
-        events=spark.read.parquet(f"{sf_dir}/events.parquet"),
+        events=events,
     )
 
 

@@ -406,7 +406,9 @@ def dims(spark: SparkSession, sf: str) -> enrich.Dimensions:
 
 
 def pageviews(spark: SparkSession, sf: str) -> enrich.Pageviews:
-    return enrich.enrich_hits(table(spark, sf, "hits"), dims(spark, sf), SETTINGS)
+    return enrich.enrich_hits(
+        table(spark, sf, "hits"), dims(spark, sf), SETTINGS, stage_dir=shared_dir(spark, "hits")
+    )
 
 
 def as_double(df: DataFrame, *names: str) -> DataFrame:

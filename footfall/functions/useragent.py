@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,17 +64,24 @@ def os_name(agent: Column) -> Column:
     )
 
 
-def browser(agent: Column) -> Column:
-    """Struct of name and version, NULL fields when no browser is recognised."""
-    name, version = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for label, pattern in reversed(BROWSERS):
+def _browser(agent: Column, result: Callable[[str, Column], Column | str]) -> Column:
+    choice = None
+    for label, pattern in BROWSERS:
         found = _found(agent, pattern)
         fits = found.isNotNull()
         if label == "Chrome":
             fits = fits & ~agent.rlike("Edg|OPR")
-        name = F.when(fits, label).otherwise(name)
-        version = F.when(fits, found).otherwise(version)
-    return F.struct(name.alias("name"), version.alias("version"))
+        value = result(label, found)
+        choice = F.when(fits, value) if choice is None else choice.when(fits, value)
+    return choice
+
+
+def browser_name(agent: Column) -> Column:
+    return _browser(agent, lambda label, version: label)
+
+
+def browser_version(agent: Column) -> Column:
+    return _browser(agent, lambda label, version: version)
 
 
 def matches_any(agent: Column, names: tuple[str, ...]) -> Column:

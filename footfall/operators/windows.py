@@ -26,6 +26,26 @@ def _bucket(time: Column, length: int) -> Column:
     return F.floor(time / F.lit(length)).cast("bigint")
 
 
+def _own_and_before(
+    summaries: DataFrame, keys: Sequence[str], own: str, before: str
+) -> DataFrame:
+    """Per key and bucket: ``own`` of that bucket and ``before`` of the previous one."""
+    none = F.lit(None).cast("bigint")
+    places = F.array(
+        F.struct(
+            F.col("_bucket").alias("_bucket"), F.col(own).alias("_own"), none.alias("_before")
+        ),
+        F.struct(
+            (F.col("_bucket") + 1).alias("_bucket"), none.alias("_own"), F.col(before).alias("_before")
+        ),
+    )
+    return (
+        summaries.select(*keys, F.inline(places))
+        .groupBy(*keys, "_bucket")
+        .agg(F.max("_own").alias("_own"), F.max("_before").alias("_before"))
+    )
+
+
 # --- presence of a marker shortly before ----------------------------------------
 
 
@@ -52,20 +72,12 @@ def seen_within(
         .groupBy(*keys, "_bucket")
         .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
     )
-    none = F.lit(None).cast("bigint")
-    reach = (
-        marks.select(*keys, "_bucket", F.col("_first").alias("_own"), none.alias("_before"))
-        .union(marks.select(*keys, F.col("_bucket") + 1, none, F.col("_last")))
-        .groupBy(*keys, "_bucket")
-        .agg(F.max("_own").alias("_own"), F.max("_before").alias("_before"))
-    )
     time = micros(probe_ts)
     seen = (F.col("_own") <= time) | (F.col("_before") >= time - length)
     return (
         probes.withColumn("_bucket", _bucket(time, length))
-        .join(reach, [*keys, "_bucket"], "left")
-        .withColumn(name, F.coalesce(seen, F.lit(False)))
-        .drop("_bucket", "_own", "_before")
+        .join(_own_and_before(marks, keys, "_first", "_last"), [*keys, "_bucket"], "left")
+        .select(*probes.columns, F.coalesce(seen, F.lit(False)).alias(name))
     )
 
 
@@ -319,23 +331,17 @@ def anchored_count(
     starts = window_starts(hits, keys=keys, ts=ts, seconds=seconds, **limits).withColumn(
         "_bucket", _bucket(F.col("_start"), length)
     )
-    none = F.lit(None).cast("bigint")
-    near = (
-        starts.select(*keys, "_bucket", F.col("_start").alias("_own"), none.alias("_before"))
-        .union(starts.select(*keys, F.col("_bucket") + 1, none, "_start"))
-        .groupBy(*keys, "_bucket")
-        .agg(F.max("_own").alias("_own"), F.max("_before").alias("_before"))
-    )
+    near = _own_and_before(starts, keys, "_start", "_start")
     start = F.when(F.col("_own") <= F.col("_t"), F.col("_own")).otherwise(F.col("_before"))
     inside = Window.partitionBy(*keys, "_start").orderBy(ts, tiebreak)
+    time = micros(ts)
     return (
-        hits.withColumn("_t", micros(ts))
-        .withColumn("_bucket", _bucket(F.col("_t"), length))
+        hits.withColumns({"_t": time, "_bucket": _bucket(time, length)})
         .join(near, [*keys, "_bucket"], "left")
         .withColumn("_start", start)
-        .withColumn(name, F.row_number().over(inside))
-        .withColumn(
-            "window_start", F.timestamp_micros("_start").cast("timestamp_ntz")
+        .select(
+            *hits.columns,
+            F.row_number().over(inside).alias(name),
+            F.timestamp_micros("_start").cast("timestamp_ntz").alias("window_start"),
         )
-        .drop("_t", "_bucket", "_own", "_before", "_start")
     )

@@ -23,7 +23,13 @@ from footfall.functions.identity import (
 )
 from footfall.functions.network import client_country, client_ip
 from footfall.functions.referrer import UNKNOWN, referrer_class
-from footfall.functions.useragent import browser, device_class, matches_any, os_name
+from footfall.functions.useragent import (
+    browser_name,
+    browser_version,
+    device_class,
+    matches_any,
+    os_name,
+)
 from footfall.plans.anonymize import anonymize_views
 from footfall.plans.reputation import with_burst_count, with_ip_penalty
 from footfall.plans.scoring import CONFIRMED_IP, MAX_SCREEN, with_bot_score
@@ -134,13 +140,15 @@ def check_hits(decoded: DataFrame, dims: Dimensions, settings: Settings) -> Data
 
 def _with_campaign(hits: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Campaign parameters count only for a campaign registered and active on the site."""
-    known = hits.join(active_campaigns(campaigns), ["site_id", "utm_campaign"], "left")
-    for column, parameter in UTM.items():
-        known = known.withColumn(
-            column, F.when(F.col("_active"), parameter_text(F.col(parameter), UTM_LENGTH))
-        )
-    return known.withColumn("utm_campaign", F.when(F.col("_active"), F.col("utm_campaign"))).drop(
-        "_active"
+    active = F.col("_active")
+    columns = {
+        column: F.when(active, parameter_text(F.col(parameter), UTM_LENGTH))
+        for column, parameter in UTM.items()
+    }
+    return (
+        hits.join(active_campaigns(campaigns), ["site_id", "utm_campaign"], "left")
+        .withColumns({**columns, "utm_campaign": F.when(active, F.col("utm_campaign"))})
+        .drop("_active")
     )
 
 
@@ -184,31 +192,56 @@ def is_discarded(settings: Settings) -> Column:
     return F.col("bot_score") >= settings.discard_threshold
 
 
+def _with_bursts(accepted: DataFrame, settings: Settings) -> DataFrame:
+    """Only hits beyond the burst threshold get a ``burst_count``: the windows are
+    counted on three narrow columns and little of the result is joined back."""
+    counted = with_burst_count(accepted.select("hit_id", "ip", "ts"), settings)
+    bursting = counted.filter(F.col("burst_count") > settings.burst_threshold)
+    return accepted.join(bursting.select("hit_id", "burst_count"), "hit_id", "left")
+
+
 def enrich_hits(
-    hits: DataFrame, dims: Dimensions, settings: Settings, *, count_bursts: bool = True
+    hits: DataFrame,
+    dims: Dimensions,
+    settings: Settings,
+    *,
+    count_bursts: bool = True,
+    stage_dir: str | None = None,
 ) -> Pageviews:
     """Views to store, prints for the correlator, and rejected hits with a reason.
 
-    Everything is a projection except the burst count (one shuffle by address
-    and time) and the joins with small dimensions. Prints are taken before the
+    Everything is a projection except the burst count (shuffled by address and
+    time) and the joins with small dimensions. Prints are taken before the
     discard test, so discarded hits still count in fingerprint clusters.
+
+    With ``stage_dir``, a folder all executors share, the checked hits and the
+    scored hits are each written there once: the burst count does not decode the
+    log again, and the three outputs do not score it again.
     """
-    checked = check_hits(decode_hits(hits, settings), dims, settings)
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        if stage_dir is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{stage_dir}/{name}")
+        return df.sparkSession.read.parquet(f"{stage_dir}/{name}")
+
+    checked = stage(check_hits(decode_hits(hits, settings), dims, settings), "checked")
     accepted = _with_campaign(checked.filter(F.col("reject_reason").isNull()), dims.campaigns)
     if count_bursts:
-        accepted = with_burst_count(accepted, settings)
-    scored = (
-        with_bot_score(with_signals(accepted, dims, settings, raw=hits), settings)
-        .withColumn("os_name", os_name(F.col("user_agent")))
-        .withColumn("_browser", browser(F.col("user_agent")))
-        .withColumn("browser_name", F.col("_browser.name"))
-        .withColumn("browser_version", F.col("_browser.version"))
-        .withColumn("device_type", device_class(F.col("screen_width")))
-        .withColumn("referrer_type", referrer_class(F.col("referrer")))
-        .withColumn("is_pwa", F.coalesce((F.col("pwa") == "1").cast("int"), F.lit(0)))
-        .withColumn("id", F.col("hit_id"))
-        .withColumn("created_at", F.col("ts"))
+        accepted = _with_bursts(accepted, settings)
+    scored = with_bot_score(with_signals(accepted, dims, settings, raw=hits), settings).withColumns(
+        {
+            "os_name": os_name(F.col("user_agent")),
+            "browser_name": browser_name(F.col("user_agent")),
+            "browser_version": browser_version(F.col("user_agent")),
+            "device_type": device_class(F.col("screen_width")),
+            "referrer_type": referrer_class(F.col("referrer")),
+            "is_pwa": F.coalesce((F.col("pwa") == "1").cast("int"), F.lit(0)),
+            "id": F.col("hit_id"),
+            "created_at": F.col("ts"),
+        }
     )
+    scored = stage(scored, "scored")
     views = scored.filter(~is_discarded(settings)).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in VIEWS.fields]
     )

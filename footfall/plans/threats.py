@@ -139,10 +139,8 @@ def _in_range(hits: DataFrame, ranges: DataFrame, value: str, block: Column, nam
         F.col("block").alias("_block"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")
     )
     inside = (block == F.col("_block")) & F.col(value).between(F.col("_lo"), F.col("_hi"))
-    return (
-        hits.join(known, inside, "left")
-        .withColumn(name, F.col("_lo").isNotNull())
-        .drop("_block", "_lo", "_hi")
+    return hits.join(known, inside, "left").select(
+        *hits.columns, F.col("_lo").isNotNull().alias(name)
     )
 
 
@@ -150,18 +148,15 @@ def with_datacenter_flag(
     hits: DataFrame, ranges_v4: DataFrame, ranges_v6: DataFrame, *, key: str = "ip"
 ) -> DataFrame:
     """True for addresses inside a merged range, IPv4 or IPv6."""
-    flagged = hits.withColumn("_n4", ipv4_number(unmapped(F.col(key)))).withColumn(
-        "_n6", F.when(F.col("_n4").isNull(), ipv6_hex(F.col(key)))
-    )
+    address = F.col(key)
+    flagged = hits.withColumns({"_n4": ipv4_number(unmapped(address)), "_n6": ipv6_hex(address)})
     n4, n6 = F.col("_n4"), F.col("_n6")
     top = F.conv(F.substring(n6, 1, 5), 16, 10).cast("int")
     flagged = _in_range(flagged, by_block(ranges_v4), "_n4", v4_block(n4), "_in4")
     flagged = _in_range(flagged, _v6_narrow(ranges_v6), "_n6", v6_block(n6), "_in6")
     flagged = _in_range(flagged, _v6_wide(ranges_v6), "_n6", top, "_in6_wide")
     found = F.col("_in4") | F.col("_in6") | F.col("_in6_wide")
-    return flagged.withColumn("datacenter_ip", found).drop(
-        "_n4", "_n6", "_in4", "_in6", "_in6_wide"
-    )
+    return flagged.select(*hits.columns, found.alias("datacenter_ip"))
 
 
 def with_threat_flags(
