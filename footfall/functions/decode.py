@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SITE_ID = "^[a-zA-Z0-9._-]{1,64}$"
@@ -55,6 +55,14 @@ def segment_count(path: Column) -> Column:
     return F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
 
 
+def with_parsed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are costly to compute, such as parsed JSON, exactly once
+    per row: filters on what is derived from them stay above the generator and
+    do not repeat the parsing below it."""
+    parsed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(parsed)))
+
+
 def variant_text(variant: Column, path: str) -> Column:
     """A JSON string member of a VARIANT; NULL for members of any other type."""
     member = F.try_variant_get(variant, path, "variant")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.decode import SITE_ID, variant_text
+from footfall.functions.decode import SITE_ID, variant_text, with_parsed
 from footfall.schemas import EVENTS
 
 # Identifier patterns, limits and reject messages of protocol 1.
@@ -68,15 +68,20 @@ def _shown(variant: Column, path: str) -> Column:
     return F.coalesce(text, F.lit("undefined"))
 
 
+def _compound(json_text: Column) -> Column:
+    """JSON text of an object or an array."""
+    return F.coalesce(F.ltrim(json_text).rlike("^[{\\[]"), F.lit(False))
+
+
 def _event_error(event: Column) -> Column:
-    """First rule an event breaks, NULL for a good one."""
+    """First rule an event breaks, NULL for a good one. A valid id proves that
+    the event is an object, so that test runs on bad ids only."""
     event_id, kind = variant_text(event, "$.event_id"), variant_text(event, "$.type")
+    bad_id = F.when(~_compound(F.to_json(event)), BAD_EVENT).otherwise(
+        F.concat(F.lit(BAD_EVENT_ID), _shown(event, "$.event_id"))
+    )
     return (
-        F.when(~_kind(event).startswith("OBJECT"), BAD_EVENT)
-        .when(
-            ~F.coalesce(event_id.rlike(UUID), F.lit(False)),
-            F.concat(F.lit(BAD_EVENT_ID), _shown(event, "$.event_id")),
-        )
+        F.when(~F.coalesce(event_id.rlike(UUID), F.lit(False)), bad_id)
         .when(F.coalesce(kind, F.lit("")) == "", NO_TYPE)
         .when(
             (F.length(kind) > 64) | ~kind.rlike(EVENT_TYPE),
@@ -94,25 +99,26 @@ def check_batches(raw: DataFrame) -> DataFrame:
     size = F.coalesce(F.size("_events"), F.lit(0))
     errors = F.filter(F.transform("_events", _event_error), lambda e: e.isNotNull())
     good = lambda c: F.coalesce(c, F.lit(False))
+    bad_session = F.when(_compound(F.to_json(context)), BAD_SESSION).otherwise(NO_CONTEXT)
     message = (
         F.when(F.length("body") > MAX_BATCH_BODY, TOO_LARGE)
         .when(json.isNull(), BAD_JSON)
-        .when(~_kind(json).startswith("OBJECT"), NOT_OBJECT)
+        .when(~_compound(F.col("body")), NOT_OBJECT)
         .when(~good(F.try_variant_get(json, "$.v", "double") == 1.0), BAD_VERSION)
         .when(~good(variant_text(json, "$.batch_id").rlike(UUID)), BAD_BATCH_ID)
-        .when(~good(_kind(context).startswith("OBJECT")), NO_CONTEXT)
-        .when(~good(variant_text(context, "$.session_id").rlike(UUID)), BAD_SESSION)
+        .when(~good(variant_text(context, "$.session_id").rlike(UUID)), bad_session)
         .when(_member(context, "$.site_id").isNotNull() & ~good(site.rlike(SITE_ID)), BAD_SITE)
         .when(size <= 0, NO_EVENTS)
         .when(size > MAX_BATCH_EVENTS, MANY_EVENTS)
         .otherwise(F.get(errors, F.lit(0)))
     )
-    return (
-        raw.withColumn("_json", F.try_parse_json("body"))
-        .withColumn("_context", F.try_variant_get("_json", "$.context", "variant"))
-        .withColumn("_events", F.try_variant_get("_json", "$.events", "array<variant>"))
-        .withColumn("message", message)
+    parsed = with_parsed(raw, _json=F.try_parse_json("body"))
+    members = with_parsed(
+        parsed,
+        _context=F.try_variant_get("_json", "$.context", "variant"),
+        _events=F.try_variant_get("_json", "$.events", "array<variant>"),
     )
+    return with_parsed(members, message=message)
 
 
 def _joined_data(data: Column, experiment: Column, variant: Column, context: Column) -> Column:
@@ -161,8 +167,8 @@ def _joined_data(data: Column, experiment: Column, variant: Column, context: Col
 
 def batch_events(checked: DataFrame) -> DataFrame:
     """Events of the accepted batches, with the event id and their position."""
-    accepted = checked.filter(F.col("message").isNull()).withColumn(
-        "_typed", F.from_json("body", SHAPE)
+    accepted = with_parsed(
+        checked.filter(F.col("message").isNull()), _typed=F.from_json("body", SHAPE)
     )
     listed = accepted.select(
         "raw_id",
@@ -174,8 +180,9 @@ def batch_events(checked: DataFrame) -> DataFrame:
     first = F.try_variant_get(event, "$.experiments[0]", "variant")
     experiment = F.nullif(variant_text(first, "$.experiment_id"), F.lit(""))
     variant = variant_text(first, "$.variant_id")
-    is_object = F.coalesce(_kind(event, "$.data").startswith("OBJECT"), F.lit(False))
-    data = F.when(is_object, F.col("col.e.data")).otherwise("{}")
+    sent = F.col("col.e.data")
+    is_object = sent.startswith("{") & variant_text(event, "$.data").isNull()
+    data = F.when(is_object, sent).otherwise("{}")
     at = F.col("received_at")
     return listed.select(
         "raw_id",
@@ -245,16 +252,15 @@ def ingest_metrics(raw: DataFrame) -> Ingested:
             _kind(m, "$.value").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False)
         )
     )
-    parsed = raw.withColumn("_json", F.try_parse_json("body")).withColumn(
-        "_list", F.try_variant_get("_json", "$", "array<variant>")
-    )
-    checked = parsed.withColumn(
-        "message",
+    message = (
         F.when(F.octet_length("body") > MAX_METRIC_BODY, "Max 64 KB")
         .when(F.col("_json").isNull(), BAD_JSON)
         .when(F.col("_list").isNull() | (F.size("_list") > MAX_METRICS), BAD_METRICS)
-        .when(~F.forall("_list", entry), BAD_METRIC),
+        .when(~F.forall("_list", entry), BAD_METRIC)
     )
+    parsed = with_parsed(raw, _json=F.try_parse_json("body"))
+    listed = with_parsed(parsed, _list=F.try_variant_get("_json", "$", "array<variant>"))
+    checked = with_parsed(listed, message=message)
     listed = checked.filter(F.col("message").isNull()).select(
         "raw_id", "received_at", F.posexplode("_list").alias("position", "_m")
     )

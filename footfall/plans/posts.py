@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.decode import site_or_default, url_origin, variant_text
+from footfall.functions.decode import site_or_default, url_origin, variant_text, with_parsed
 from footfall.functions.identity import valid_cookie, valid_session, visitor_hash
 from footfall.functions.network import client_country, client_ip
 from footfall.functions.useragent import event_device_class, matches_any
@@ -50,11 +50,10 @@ def decode_posts(posts: DataFrame, settings: Settings) -> DataFrame:
     The body is read twice from the same text: as VARIANT to test member types,
     and with a schema to keep each event's ``data`` exactly as it was sent.
     """
+    bodies = with_parsed(posts, _json=F.try_parse_json("body"), _typed=F.from_json("body", BODY))
+    lists = with_parsed(bodies, _list=F.try_variant_get("_json", "$.events", "array<variant>"))
     parsed = (
-        posts.withColumn("_json", F.try_parse_json("body"))
-        .withColumn("_typed", F.from_json("body", BODY))
-        .withColumn("_list", F.try_variant_get("_json", "$.events", "array<variant>"))
-        .withColumn("ip", client_ip(settings))
+        lists.withColumn("ip", client_ip(settings))
         .withColumn("country_code", client_country(settings))
         .withColumn(
             "site_id",

@@ -10,14 +10,29 @@ from pyspark.sql import SparkSession
 _local_scratch: dict[str, str] = {}
 
 
+# Settings every job relies on or gains from. The JVM does not compile methods
+# beyond 8,000 bytes of bytecode, so larger generated ones would be interpreted.
+SQL_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def apply_settings(spark: SparkSession) -> None:
+    """Set them on a session that was built elsewhere."""
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def build_session(app: str = "footfall", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
+    for key, value in SQL_SETTINGS.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

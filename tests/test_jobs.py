@@ -270,11 +270,11 @@ def batch(event=None, context=None, drop=None, **top):
 
 
 BATCHES = [
-    ("[]", "Body must be a JSON object"), ("{", "Invalid JSON"), (batch(v=2), "Unsupported protocol version"),
+    ("5", "Body must be a JSON object"), ("[]", "Unsupported protocol version"), ("{", "Invalid JSON"), (batch(v=2), "Unsupported protocol version"),
     (batch(batch_id="x"), "Invalid batch_id"), (batch(drop="context"), "Missing context"),
     (batch(context={"session_id": 5}), "Invalid session_id"), (batch(context={"site_id": "a b"}), "Invalid site_id"),
     (batch(events=[]), "Events array is empty or missing"), (batch(events=[{}] * 101), "Too many events (max 100)"),
-    (batch(events=[3]), "Invalid event object"), (batch({"event_id": "x"}), "Invalid event_id: x"),
+    (batch(events=[3]), "Invalid event object"), (batch(events=[[]]), "Invalid event_id: undefined"), (batch({"event_id": "x"}), "Invalid event_id: x"),
     (batch({"type": ""}), "Event missing type"), (batch({"type": "9x"}), "Invalid event type: 9x"),
     (batch({"ts": 5}), "Event missing ts"), (batch(), None),
 ]
