@@ -364,7 +364,7 @@ def _select(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
 
 @lru_cache(maxsize=None)
 def _latest(sf_dir: str, name: str, column: str) -> datetime:
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     return table(spark, sf_dir, name).agg({column: "max"}).first()[0]
 
 

@@ -384,7 +384,7 @@ def utm(parameter: str, name: str) -> str:
 @lru_cache(maxsize=None)
 def _published(app: str, sf: str) -> str:
     """Merged ranges are stored once per session, as the feed refresh does."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     path = shared_dir(spark, "ranges")
     threats.publish_ranges(table(spark, sf, "prefixes"), path)
     return path

@@ -333,7 +333,9 @@ def anchored_count(
     )
     near = _own_and_before(starts, keys, "_start", "_start")
     start = F.when(F.col("_own") <= F.col("_t"), F.col("_own")).otherwise(F.col("_before"))
-    inside = Window.partitionBy(*keys, "_start").orderBy(ts, tiebreak)
+    # hits without a key or time have no window: each stands alone, not all in one task
+    alone = F.when(F.col("_start").isNull(), F.col(tiebreak))
+    inside = Window.partitionBy(*keys, "_start", alone).orderBy(ts, tiebreak)
     time = micros(ts)
     return (
         hits.withColumns({"_t": time, "_bucket": _bucket(time, length)})
