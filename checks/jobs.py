@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.adapters import as_of, table
-from checks.reports import CLEAN, DAILY, NOW, register, when
+from checks.reports import CLEAN, NOW, register, when
 from footfall.functions.network import client_ip
 from footfall.plans import (
     anonymize,

@@ -36,8 +36,8 @@ def with_day(df: DataFrame, ts: str = "created_at") -> DataFrame:
 
 
 def append_facts(df: DataFrame, path: str, *, ts: str = "created_at") -> None:
-    """Append rows under site and day folders. Rows are spread by a hash within
-    each folder's day, so that a dominant site is written by many tasks."""
+    """Append rows under site and day folders. Every task writes the rows it has:
+    there is no shuffle, so a dominant site is written by many tasks."""
     with_day(df, ts).write.mode("append").partitionBy("site_id", "event_date").parquet(path)
 
 

@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall import schemas
-from footfall.functions.labels import display_time, resolution_label
+from footfall.functions.labels import display_date, display_time, resolution_label
 from footfall.operators.paging import paginate
 from footfall.plans import campaigns, experiments, live, overview, performance, visitors
+from footfall.plans.reputation import suspected_markers
+from footfall.settings import Settings
+from footfall.sources.tables import row_by_id
 from tests.conftest import NOW
 
 TODAY = NOW.date()
@@ -204,3 +207,19 @@ def test_request_stats(spark):
     assert (r.rps, r.error_rate) == (0.33, 0.99)
     none = performance.request_stats(log.limit(0), as_of=NOW).first()
     assert (none.total_requests, none.p99_ms, none.error_rate) == (0, 0.0, 0.0)
+
+
+def test_campaign_detail_sections(views):
+    seen = views({"utm_campaign": "spring", "utm_source": "news"}, {"utm_campaign": "spring"}, {})
+    detail = campaigns.campaign_detail(seen, utm_campaign="spring", **SCOPE)
+    got = {name: [tuple(r) for r in df.collect()] for name, df in detail.items()}
+    assert sorted(got["by_source"]) == [("direct", 1, 1), ("news", 1, 1)]
+    assert got["by_medium"] == [("none", 2, 1)] and got["by_term"] == [("none", 2)]
+    assert got["daily_trend"] == [("2024-03-10", 2, 1)] and got["top_paths"] == [("/", 2, 1)]
+
+
+def test_small_helpers(spark, views, hits, value):
+    assert row_by_id(views({}, {"path": "/x"}), 2).first().path == "/x"
+    assert value(display_date(F.lit("2024-03-10 23:30:00").cast("timestamp_ntz"), "Asia/Tokyo")) == ("2024-03-11",)
+    seen = hits({"user_agent": "Wget/1"}, {}).withColumn("ip", F.col("remote_addr"))
+    assert [(r.ip, r.kind) for r in suspected_markers(seen, Settings()).collect()] == [("198.51.100.1", "suspected")]
