@@ -170,9 +170,14 @@ def _length(words: int) -> str:
     return "words " + ("1" if words < 3 else "3" if words < 7 else "7" if words < 16 else "16")
 
 
+def _kind(tag: str) -> str:
+    """Headings are of one kind, and so are parts that only divide a page."""
+    return "h" if re.fullmatch("h[1-6]", tag) else "div" if tag in ("", "body", "section", "article", "main", "center") else tag
+
+
 def features(page: Page, token: Token) -> list[str]:
     """What a word's score is added up from."""
-    own = ["in " + token.tag, "link" if token.link else "no link", _length(page.block_words[token.block])]
+    own = ["in " + _kind(token.tag), "link" if token.link else "no link", _length(page.block_words[token.block])]
     return own + ["main" if token.main else "not main"] * page.has_main
 
 
@@ -182,8 +187,8 @@ def counted(page: Page) -> Counter:
     for token in page.tokens:
         if token.words and not token.side:
             out.update({(f, token.main): token.words for f in features(page, token)})
-        elif token.words:
-            out.update({(f, False): token.words for f in features(page, token)})
+        elif token.words:  # dropped by its mark, whatever tag it is in; of the others it teaches links and lengths
+            out.update({(f, False): token.words for f in features(page, token) if not f.startswith("in ")})
         elif not token.text:
             out[f"<{token.tag}>", token.main] += 1
     return out

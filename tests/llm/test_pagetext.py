@@ -68,7 +68,7 @@ def test_odd_markup(spark, learned):
         f"<article><p>{b}</p><script>x": b,
         f"<article><p title='a>b'>{b} 1 < 2</p></article>": f"{b} 1 < 2",
         b: b,
-        "": "", "<p></p>": "", "<": "<", "<!doctype html><!-- x": "",
+        "": "", "<p></p>": "", "<": "", "<!doctype html><!-- x": "",
     }
     data = [(i, None, page, "x", 3) for i, page in enumerate(cases)] + [(None, "u", None, "x", 3), (0, None, next(iter(cases)), "x", 3)]
     rows = texts(spark.createDataFrame(data, "page_id long, url string, html string, text string, n_chars int"), learned).collect()
