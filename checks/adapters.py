@@ -11,6 +11,9 @@ from datetime import datetime
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from footfall.session import shared_dir
 
 BASE = """
 SELECT event_id, ts, user_id, event_type, value,
@@ -192,7 +195,8 @@ SELECT event_id AS hit_id, ts,
 FROM base
 """
 
-# Event posts, one per event, each with one to three client events.
+# Event posts, one per event, most with one to three client events; some with entries
+# that are no objects, with more events than a post may have, or with long data.
 POSTS = """
 SELECT hit_id AS post_id, ts, remote_addr, cf_connecting_ip, x_forwarded_for, x_real_ip, user_agent,
  accept_language, sec_ch_ua,
@@ -201,6 +205,9 @@ SELECT hit_id AS post_id, ts, remote_addr, cf_connecting_ip, x_forwarded_for, x_
  cookie_ev,
  CASE hit_id % 4 WHEN 0 THEN 'https://shop.example:8443/a/b?c=d' WHEN 1 THEN 'nonsense' END AS referer,
  CASE WHEN hit_id % 37 = 0 THEN '{broken' WHEN hit_id % 31 = 0 THEN '{"events":[]}'
+ WHEN hit_id % 17 = 0 THEN '{"events":[5,{"type":"click","data":{"tag":"A"}},null,"x",[1],{"type":"custom"}],"siteId":"' || s || '"}'
+ WHEN hit_id % 19 = 0 THEN '{"siteId":"' || s || '","events":[' || repeat('{"type":"click","data":{}},', 24) || '{"type":"custom","data":{"n":25}}]}'
+ WHEN hit_id % 23 = 0 THEN '{"events":[{"type":"hover","data":{"t":"' || repeat('x', 2040) || '"}},{"type":"hover","data":{"t":"' || repeat('y', 2040 + hit_id % 2) || '"}}],"siteId":"' || s || '","siteId":"site-2"}'
  ELSE '{"events":[{"type":"click","data":{"tag":"A","path":"/p' || CAST(hit_id % 20 AS STRING)
   || '","experiment_id":"exp-1","variant_id":"b"},"sessionId":"' || sid || '","utmCampaign":"spring"}'
   || CASE WHEN hit_id % 2 = 0 THEN ',{"type":"unknown_type","data":{}},{"type":"custom","data":{"name":"buy","n":'
@@ -210,18 +217,22 @@ SELECT hit_id AS post_id, ts, remote_addr, cf_connecting_ip, x_forwarded_for, x_
 FROM hits
 """
 
-# API batches, one per event; batch and event ids repeat for every tenth event.
+# API batches, one per event; batch and event ids repeat for every tenth event. Some
+# have several events, the version as text, or data that has one of our own names.
 BATCHES = """
 SELECT event_id AS raw_id, ts AS received_at,
  CASE WHEN event_id % 29 = 0 THEN '{"v":2}' WHEN event_id % 47 = 0 THEN 'junk' ELSE
- '{"v":1,"batch_id":"' || CASE WHEN event_id % 61 = 0 THEN 'nope' ELSE '00000000-0000-4000-8000-' || lpad(CAST(event_id AS STRING),12,'0') END
+ '{"v":' || CASE WHEN event_id % 71 = 0 THEN '"1"' WHEN event_id % 73 = 0 THEN 'true' WHEN event_id % 79 = 0 THEN '1.0' ELSE '1' END || ',"batch_id":"' || CASE WHEN event_id % 61 = 0 THEN 'nope' ELSE '00000000-0000-4000-8000-' || lpad(CAST(event_id AS STRING),12,'0') END
  || '","sent_at":"2024-01-01T00:00:00Z","context":{"session_id":"11111111-0000-4000-8000-' || lpad(CAST(user_id AS STRING),12,'0') || '"'
  || CASE WHEN k % 2 = 0 THEN ',"site_id":"site-' || CAST(event_id % 3 AS STRING) || '"' ELSE '' END
  || ',"viewport_width":800,"viewport_height":600,"screen_width":1920,"screen_height":1080,"device_class":"desktop","language":"en"},"events":[{"event_id":"22222222-0000-4000-8000-'
  || lpad(CAST(CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END AS STRING),12,'0')
  || '","type":"' || CASE WHEN event_id % 67 = 0 THEN '9bad' ELSE 'purchase' END || '","ts":"2024-01-01T00:00:00Z"'
  || CASE WHEN k % 3 = 0 THEN ',"experiments":[{"experiment_id":"exp-1","variant_id":"b"}]' ELSE '' END
- || ',"data":{"amount":' || CAST(k AS STRING) || '}}]}' END AS body
+ || ',"data":{"amount":' || CAST(k AS STRING) || CASE WHEN k % 7 = 0 THEN ',"experiment_id":"own"' ELSE '' END || '}}'
+ || CASE WHEN k % 4 = 1 THEN ',{"event_id":"33333333-0000-4000-8000-' || lpad(CAST(event_id - event_id % 3 AS STRING),12,'0')
+  || '","type":"click","ts":"2024-01-02T00:00:00Z","experiments":[{"experiment_id":"exp-2"}],"data":{"variant_id":"z","b":{"c":[1,"2"]},"a":"q\\u00e9"}}' ELSE '' END
+ || ']}' END AS body
 FROM base
 """
 
@@ -257,7 +268,7 @@ FROM base WHERE event_type = 'error'
 
 # Page navigations with the campaign parameters of their URL.
 NAVIGATIONS = """
-SELECT event_id AS id, lpad(CAST(user_id AS STRING),16,'0') AS session_id, ts,
+SELECT event_id AS id, CASE WHEN user_id % 5 > 0 THEN lpad(CAST(user_id AS STRING),16,'0') END AS session_id, ts,
        '/p' || CAST(k % 4 AS STRING) AS path,
        CASE WHEN k % 5 = 0 THEN 'c' || CAST(k % 3 AS STRING) END AS utm_campaign,
        CASE WHEN k % 5 = 0 AND k % 2 = 0 THEN 's' || CAST(k AS STRING) END AS utm_source
@@ -342,10 +353,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _select(spark, events, name)
 
 
+STREAM_FILES = 4
+
+
+@lru_cache(maxsize=None)
+def _in_order(app: str, sf_dir: str) -> str:
+    """The events as files that follow each other in time, a micro-batch each."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    path = shared_dir(spark, "arrivals")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    parts = [i / STREAM_FILES for i in range(1, STREAM_FILES)]
+    bounds = events.agg(F.percentile(at, parts)).first()[0]
+    place = sum(((at > b).cast("int") for b in bounds), F.lit(0))
+    for number in range(STREAM_FILES):
+        events.filter(place == number).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table over a stream of the files; for tables that are projections."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    """The same table over a stream of files, one in each micro-batch; for tables that
+    are projections."""
+    path = _in_order(spark.sparkContext.applicationId, sf_dir)
+    schema = spark.read.parquet(path).schema
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
     return _select(spark, files, name)
 
 

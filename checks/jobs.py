@@ -416,16 +416,17 @@ def as_double(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
-register(
-    "J04_pageviews",
-    lambda spark, sf: as_double(pageviews(spark, sf).views, "screen_width", "screen_height"),
-    f"""SELECT hit_id AS id, visitor_id, path, site_id, session_id, interaction_ms, CAST(screen_width AS DOUBLE) AS screen_width,
+VIEWS_SQL = f"""SELECT hit_id AS id, visitor_id, path, site_id, session_id, interaction_ms, CAST(screen_width AS DOUBLE) AS screen_width,
       CAST(screen_height AS DOUBLE) AS screen_height,
       CASE WHEN screen_width < 768 THEN 'mobile' WHEN screen_width <= 1024 THEN 'tablet' WHEN screen_width > 1024 THEN 'desktop' END AS device_type,
       os_name, browser_name, browser_version, country AS country_code, is_returning, referrer, referrer_type, bot_score, bot_score_detail,
       CAST(coalesce(pwa = '1', false) AS INT) AS is_pwa, {utm('us', 'utm_source')}, {utm('um', 'utm_medium')}, active AS utm_campaign,
       {utm('uct', 'utm_content')}, {utm('ut', 'utm_term')}, {when('ts')} AS created_at
-     FROM finished WHERE bot_score < 90""",
+     FROM finished WHERE bot_score < 90"""
+register(
+    "J04_pageviews",
+    lambda spark, sf: as_double(pageviews(spark, sf).views, "screen_width", "screen_height"),
+    VIEWS_SQL,
     *HIT_TABLES,
     before=VIEW_CTES,
 )
@@ -466,11 +467,16 @@ register(
 
 # --- event posts --------------------------------------------------------------------------
 
-POSTS = f"""{{tables}}, {RANGES},
+# of a name given twice the last counts
+SENT_SITE = """coalesce(list_last(regexp_extract_all(body, '"siteId":"([^"]*)"', 1)), 'default')"""
+BURST_OPEN = f"INTERVAL {SETTINGS.burst_seconds} SECOND"
+POSTS = f"""RECURSIVE {{tables}}, {DECODED}, {RANGES},
+accepted AS (SELECT * FROM checked WHERE reject_reason IS NULL),
+{anchored('accepted', 'ip', 'hit_id', SETTINGS.burst_seconds, 'counted')},
 parsed AS (
  SELECT p.*, TRY_CAST(body AS JSON) AS j, {IP} AS ip, {COUNTRY} AS country FROM posts p),
 posted AS (
- SELECT *, {SITE_ID.format("coalesce(j->>'$.siteId','default')", "coalesce(j->>'$.siteId','default')")} AS site_id FROM parsed),
+ SELECT *, {SITE_ID.format(SENT_SITE, SENT_SITE)} AS site_id FROM parsed),
 known AS (
  SELECT *, CASE WHEN regexp_matches(cookie_ev, '^[0-9a-f]{{16}}$') THEN cookie_ev ELSE
    substr({hmac("ip || '|' || user_agent || '|' || site_id || '|' || CAST(CAST(ts AS DATE) AS VARCHAR)")}, 1, 16) END AS visitor_id,
@@ -480,28 +486,57 @@ tested AS (
  SELECT *, CASE WHEN {KNOWN_BOT} THEN 'known_bot' WHEN j IS NULL THEN 'invalid_json'
   WHEN coalesce(json_array_length(j, '$.events'), 0) = 0 THEN 'no_events' WHEN site_id = 'smoke-test' THEN 'ignored_site'
   WHEN visitor_id IN (SELECT visitor_id FROM excluded) THEN 'excluded' END AS reject_reason FROM known),
-kept AS (SELECT * FROM tested WHERE reject_reason IS NULL),
-{scored('kept', False, '', penalty('kept'))},
-single AS (SELECT *, unnest(CAST(j->'$.events' AS JSON[])) AS e FROM kept_scored WHERE bot_score < 90)"""
+open_at AS (
+ SELECT k.post_id, arg_max({{'n': c.n, 'w': c.window_start}}, {{'t': c.ts, 'n': c.n, 'w': c.window_start}}) AS st
+ FROM tested k JOIN counted c ON c.ip = k.ip AND c.ts <= k.ts AND c.ts >= k.ts - {BURST_OPEN} GROUP BY k.post_id),
+kept AS (
+ SELECT t.*, CASE WHEN st.w >= t.ts - {BURST_OPEN} THEN st.n ELSE 0 END AS n
+ FROM tested t LEFT JOIN open_at o ON o.post_id = t.post_id WHERE reject_reason IS NULL),
+{scored('kept', False, BURST, penalty('kept'))},
+listed AS (
+ SELECT *, unnest(CAST(j->'$.events' AS JSON[])) AS e, generate_subscripts(CAST(j->'$.events' AS JSON[]), 1) - 1 AS position
+ FROM kept_scored WHERE bot_score < 90),
+single AS (
+ SELECT *, CASE WHEN position >= 20 THEN 'too_many_events' WHEN coalesce(json_type(e), '') <> 'OBJECT' THEN 'not_an_object'
+  WHEN coalesce(e->>'$.type', '') NOT IN ('click', 'custom', 'hover') THEN 'unknown_type'
+  WHEN length(CAST(e->'$.data' AS VARCHAR)) > 2048 THEN 'data_too_long' END AS event_reason FROM listed)"""
 POST_TABLES = ("posts", "excluded", "campaigns", "markers", "prefixes")
 
 
+def counted_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Burst windows of the accepted pageview hits."""
+    checked = enrich.check_hits(enrich.decode_hits(table(spark, sf, "hits"), SETTINGS), dims(spark, sf), SETTINGS)
+    return enrich.burst_windows(checked.filter("reject_reason IS NULL"), SETTINGS)
+
+
 def accepted_posts(spark: SparkSession, sf: str) -> posts.Events:
-    return posts.enrich_posts(table(spark, sf, "posts"), dims(spark, sf), SETTINGS)
+    return posts.enrich_posts(
+        table(spark, sf, "posts"), dims(spark, sf), SETTINGS,
+        counted_hits=counted_hits(spark, sf), stage_dir=shared_dir(spark, "posts"),
+    )
 
 
-register(
-    "J05_events",
-    lambda spark, sf: accepted_posts(spark, sf).events,
-    f"""SELECT post_id AS id, e->>'$.type' AS event_type, s.site_id,
+EVENTS_SQL = f"""SELECT post_id AS id, e->>'$.type' AS event_type, s.site_id,
       CASE WHEN regexp_matches(e->>'$.sessionId', '^[0-9a-f-]{{36}}$') THEN e->>'$.sessionId' END AS session_id, visitor_id,
-      CAST(e->'$.data' AS VARCHAR) AS data, e->>'$.data.experiment_id' AS experiment_id, e->>'$.data.variant_id' AS variant_id,
+      coalesce(CAST(e->'$.data' AS VARCHAR), '{{}}') AS data, e->>'$.data.experiment_id' AS experiment_id, e->>'$.data.variant_id' AS variant_id,
       k.utm_campaign, CASE WHEN sec_ch_ua_mobile = '?1' THEN 'mobile' WHEN sec_ch_ua_mobile = '?0' THEN 'desktop'
        WHEN regexp_matches(user_agent, '(?i)mobile|android|iphone|ipad') THEN 'mobile' ELSE 'desktop' END AS device_type,
       {origin('referer')} AS referrer, CAST(extract(hour FROM ts) AS INT) AS hour, CAST(extract(month FROM ts) AS INT) AS month,
       CAST(dayofweek(ts) AS INT) AS day_of_week, is_returning, bot_score, bot_score_detail, {when('ts')} AS created_at
      FROM single s LEFT JOIN campaigns k ON k.status = 'active' AND k.site_id = s.site_id AND k.utm_campaign = e->>'$.utmCampaign'
-     WHERE e->>'$.type' IN ('click','custom')""",
+     WHERE event_reason IS NULL"""
+register(
+    "J05_events",
+    lambda spark, sf: accepted_posts(spark, sf).events,
+    EVENTS_SQL,
+    *POST_TABLES,
+    before=POSTS,
+)
+register(
+    "J05_event_rejects",
+    lambda spark, sf: accepted_posts(spark, sf).event_rejects,
+    f"""SELECT post_id, {when('s.ts')} AS ts, CAST(position AS INT) AS position, event_reason AS reject_reason
+     FROM single s WHERE event_reason IS NOT NULL""",
     *POST_TABLES,
     before=POSTS,
 )
@@ -520,26 +555,35 @@ UUID = "'(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$'"
 BATCHED = f"""{{tables}},
 parsed AS (SELECT *, TRY_CAST(body AS JSON) AS j FROM batches),
 judged AS (
- SELECT *, CASE WHEN j IS NULL THEN 'Invalid JSON' WHEN coalesce(j->>'$.v', '') <> '1' THEN 'Unsupported protocol version'
+ SELECT *, CASE WHEN j IS NULL THEN 'Invalid JSON'
+  WHEN coalesce(json_type(j, '$.v'), '') NOT IN ('UBIGINT', 'DOUBLE') OR coalesce(j->>'$.v', '') NOT IN ('1', '1.0') THEN 'Unsupported protocol version'
   WHEN NOT regexp_matches(j->>'$.batch_id', {UUID}) THEN 'Invalid batch_id'
   WHEN NOT regexp_matches(j->>'$.context.session_id', {UUID}) THEN 'Invalid session_id'
   WHEN NOT regexp_matches(j->>'$.events[0].type', '^[a-zA-Z_][a-zA-Z0-9_]*$') THEN 'Invalid event type: ' || (j->>'$.events[0].type')
   END AS message FROM parsed),
-sent AS (SELECT raw_id, received_at, j, j->'$.events[0]' AS e, j->>'$.events[0].event_id' AS event_id FROM judged WHERE message IS NULL),
-firsts AS (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, raw_id) = 1)"""
-register(
-    "J06_ingested_events",
-    lambda spark, sf: ingest.ingest_batches(table(spark, sf, "batches")).events,
-    f"""SELECT event_id, '2024-01-01 00:00:00.000000' AS event_ts, raw_id AS id, e->>'$.type' AS event_type,
+listed AS (
+ SELECT raw_id, received_at, j, unnest(CAST(j->'$.events' AS JSON[])) AS e, generate_subscripts(CAST(j->'$.events' AS JSON[]), 1) AS pos
+ FROM judged WHERE message IS NULL),
+sent AS (SELECT *, e->>'$.event_id' AS event_id FROM listed),
+firsts AS (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, raw_id, pos) = 1)"""
+SESSION_CONTEXT = '"session_context":{"device_class":"desktop","viewport":"800x600","screen":"1920x1080","language":"en"}'
+# purchases keep their text unless it has a name of ours; clicks always have one, and their members go in order
+SENT_DATA = f"""CASE WHEN e->>'$.type' = 'click' THEN '{{"a":"qé","b":{{"c":[1,"2"]}},"experiment_id":"exp-2","variant_id":null,'
+  ELSE '{{"amount":' || (e->>'$.data.amount') || CASE
+   WHEN e->>'$.experiments[0].experiment_id' IS NOT NULL THEN ',"experiment_id":"exp-1","variant_id":"b"'
+   WHEN e->>'$.data.experiment_id' IS NOT NULL THEN ',"experiment_id":"own"' ELSE '' END || ',' END || '{SESSION_CONTEXT}}}'"""
+INGESTED_SQL = f"""SELECT event_id, CASE e->>'$.type' WHEN 'click' THEN '2024-01-02' ELSE '2024-01-01' END || ' 00:00:00.000000' AS event_ts, raw_id AS id, e->>'$.type' AS event_type,
       coalesce(j->>'$.context.site_id', 'default') AS site_id, j->>'$.context.session_id' AS session_id, CAST(NULL AS VARCHAR) AS visitor_id,
-      '{{"amount":' || (e->>'$.data.amount') || CASE WHEN e->>'$.experiments[0].experiment_id' IS NOT NULL
-        THEN ',"experiment_id":"exp-1","variant_id":"b"' ELSE '' END
-       || ',"session_context":{{"device_class":"desktop","viewport":"800x600","screen":"1920x1080","language":"en"}}}}' AS data,
+      {SENT_DATA} AS data,
       e->>'$.experiments[0].experiment_id' AS experiment_id, e->>'$.experiments[0].variant_id' AS variant_id,
       CAST(NULL AS VARCHAR) AS utm_campaign, j->>'$.context.device_class' AS device_type, CAST(NULL AS VARCHAR) AS referrer,
       CAST(extract(hour FROM received_at) AS INT) AS hour, CAST(extract(month FROM received_at) AS INT) AS month,
       CAST(dayofweek(received_at) AS INT) AS day_of_week, 0 AS is_returning, -1 AS bot_score,
-      '{{"source":"api_ingest"}}' AS bot_score_detail, {when('received_at')} AS created_at FROM firsts""",
+      '{{"source":"api_ingest"}}' AS bot_score_detail, {when('received_at')} AS created_at FROM firsts"""
+register(
+    "J06_ingested_events",
+    lambda spark, sf: ingest.ingest_batches(table(spark, sf, "batches")).events,
+    INGESTED_SQL,
     "batches",
     before=BATCHED,
 )
@@ -554,7 +598,7 @@ register(
     "J06_batch_counts",
     lambda spark, sf: ingest.ingest_batches(table(spark, sf, "batches")).counts,
     """SELECT s.raw_id, count(f.raw_id) AS accepted, count(*) - count(f.raw_id) AS duplicate
-     FROM sent s LEFT JOIN firsts f ON f.raw_id = s.raw_id GROUP BY s.raw_id""",
+     FROM sent s LEFT JOIN firsts f ON f.raw_id = s.raw_id AND f.pos = s.pos GROUP BY s.raw_id""",
     "batches",
     before=BATCHED,
 )
@@ -791,10 +835,11 @@ register(
     "J14_session_campaigns",
     lambda spark, sf: sessions.session_navigations(table(spark, sf, "navigations")),
     f""", moved AS (
-      SELECT * FROM navigations n QUALIFY path IS DISTINCT FROM lag(path) OVER (PARTITION BY session_id ORDER BY n.ts, id)),
+      SELECT * FROM navigations n QUALIFY session_id IS NULL
+       OR path IS DISTINCT FROM lag(path) OVER (PARTITION BY session_id ORDER BY n.ts, id)),
      carried AS (
       SELECT id, session_id, ts, path, last_value(CASE WHEN utm_campaign IS NOT NULL THEN {{'c': utm_campaign, 's': utm_source}} END IGNORE NULLS)
-       OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u FROM moved)
+       OVER (PARTITION BY session_id, CASE WHEN session_id IS NULL THEN id END ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u FROM moved)
      SELECT id, session_id, {when('c.ts')} AS ts, path, u.c AS utm_campaign, u.s AS utm_source FROM carried c""",
     "navigations",
 )
@@ -849,9 +894,9 @@ register(
     before=f"{ADDRESSED}, {anchored('addressed', 'ip', 'hit_id', SETTINGS.burst_seconds, 'counted')}",
 )
 register(
-    "J18_burst_count_busy_keys",
+    "J18_burst_count_long_chunks",
     lambda spark, sf: reputation.with_burst_count(
-        addressed(spark, sf), SETTINGS, fold_limit=5, chunk_seconds=2 * 86_400
+        addressed(spark, sf), SETTINGS, chunk_seconds=2 * 86_400
     ),
     f"SELECT hit_id, ip, {when('c.ts')} AS ts, n AS burst_count FROM counted c",
     "hits",

@@ -90,7 +90,7 @@ def scope(sf: str, **more) -> dict:
 HISTORY = f"site_id = '{SITE}' AND date >= {TODAY} - {DAYS}"
 CLOSED = f"{HISTORY} AND date < {TODAY}"
 FRESH = f"site_id = '{SITE}' AND created_at >= {TODAY} AND {CLEAN}"
-RECENT = f"site_id = '{SITE}' AND created_at >= {TODAY} - 7 AND {CLEAN}"
+RECENT = f"site_id = '{SITE}' AND created_at >= {TODAY} - {DAYS} AND {CLEAN}"
 
 for name, fn, sql in (
     ("P01_overview_visits", overview.overview_visits, f"""
@@ -291,7 +291,7 @@ CONVERSION = f"""
        FROM sem_events WHERE {CAMPAIGN_SINCE} AND site_id = '{SITE}' GROUP BY utm_campaign) e
   ON e.utm_campaign IS NOT DISTINCT FROM v.utm_campaign
  LEFT JOIN campaigns uc ON uc.utm_campaign = v.utm_campaign AND uc.site_id = '{SITE}'
- ORDER BY v.visitors DESC, v.utm_campaign NULLS FIRST LIMIT 50"""
+"""
 register(
     "P28_campaign_events",
     lambda spark, sf: campaigns.campaign_events(
@@ -305,8 +305,7 @@ TYPES = f"""
  SELECT utm_campaign, event_type, count, unique_visitors FROM (
   SELECT *, row_number() OVER (PARTITION BY utm_campaign ORDER BY count DESC, event_type) AS rn FROM (
    SELECT utm_campaign, event_type, count(*) AS count, count(DISTINCT visitor_id) AS unique_visitors
-   FROM sem_events WHERE {CAMPAIGN_SINCE} AND site_id = '{SITE}' GROUP BY 1, 2
-   ORDER BY utm_campaign NULLS FIRST, count DESC, event_type LIMIT 500)) WHERE rn <= 10"""
+   FROM sem_events WHERE {CAMPAIGN_SINCE} AND site_id = '{SITE}' GROUP BY 1, 2)) WHERE rn <= 10"""
 register(
     "P29_campaign_event_types",
     lambda spark, sf: campaigns.campaign_event_types(
@@ -332,7 +331,7 @@ register(
     "P58_campaign_list",
     lambda spark, sf: campaigns.campaign_list(table(spark, sf, "campaigns")),
     f"""SELECT id, name, utm_campaign, site_id, status, {when('c.created_at')} AS created_at
-     FROM campaigns c ORDER BY c.created_at DESC, id LIMIT 200""",
+     FROM campaigns c""",
     "campaigns",
 )
 
@@ -387,7 +386,7 @@ register(
     "P58_experiment_list",
     lambda spark, sf: experiments.experiment_list(table(spark, sf, "experiments")),
     f"""SELECT experiment_id, name, description, status, metric_event_type, allocation_percent,
-      {when('e.created_at')} AS created_at FROM experiments e ORDER BY e.created_at DESC, experiment_id LIMIT 200""",
+      {when('e.created_at')} AS created_at FROM experiments e""",
     "experiments",
 )
 
@@ -422,7 +421,7 @@ register(
     f"""SELECT x.visitor_id, x.label, {when('x.created_at')} AS created_at, count(v.id) AS pageviews,
       CAST(max(v.bot_score) AS DOUBLE) AS max_bot_score
      FROM excluded x LEFT JOIN views v ON v.visitor_id = x.visitor_id
-     GROUP BY x.visitor_id, x.label, x.created_at ORDER BY x.created_at DESC, x.visitor_id LIMIT 500""",
+     GROUP BY x.visitor_id, x.label, x.created_at""",
     "views", "excluded",
 )
 
@@ -438,10 +437,10 @@ register(
       (SELECT 'view' AS kind, path, NULL AS event_type, site_id, CAST(interaction_ms AS DOUBLE) AS interaction_ms, device_type, os_name,
        browser_name, browser_version, country_code, referrer_type, NULL AS data, bot_score, CAST(is_pwa AS DOUBLE) AS is_pwa,
        {when('v.created_at')} AS created_at
-       FROM views v WHERE visitor_id = '{VISITOR}' ORDER BY v.created_at DESC, id LIMIT 100)
+       FROM views v WHERE visitor_id = '{VISITOR}')
       UNION ALL
       (SELECT 'event', NULL, event_type, site_id, NULL, device_type, NULL, NULL, NULL, NULL, NULL, data, bot_score, NULL,
-       {when('e.created_at')} FROM sem_events e WHERE visitor_id = '{VISITOR}' ORDER BY e.created_at DESC, id LIMIT 100)) t""",
+       {when('e.created_at')} FROM sem_events e WHERE visitor_id = '{VISITOR}')) t""",
     "views", "sem_events", "excluded",
 )
 register(
@@ -450,11 +449,11 @@ register(
         table(spark, sf, "views"), table(spark, sf, "sem_events"), visitor_id=VISITOR
     ),
     f"""SELECT count(*) AS total_views,
-      (SELECT count(*) FROM (SELECT 1 FROM sem_events WHERE visitor_id = '{VISITOR}' LIMIT 200)) AS total_events,
+      (SELECT count(*) FROM sem_events WHERE visitor_id = '{VISITOR}') AS total_events,
       {when('min(t.created_at)')} AS first_seen, {when('max(t.created_at)')} AS last_seen,
       CAST(coalesce(sum(interaction_ms),0) AS BIGINT) AS total_interaction,
       {distinct_list('device_type', 'devices')}, {distinct_list('country_code', 'countries')}, {distinct_list('site_id', 'sites')}
-     FROM (SELECT * FROM views WHERE visitor_id = '{VISITOR}' ORDER BY created_at DESC, id LIMIT 200) t""",
+     FROM views t WHERE visitor_id = '{VISITOR}'""",
     "views", "sem_events",
 )
 
@@ -604,7 +603,7 @@ def last(days: int, source: str = "views") -> str:
 for name, fn, sql in (
     ("P47_doc_views_per_day", samples.views_per_day, f"""
      SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS views FROM views WHERE {HUMAN}
-     GROUP BY 1 ORDER BY 1 DESC LIMIT 30"""),
+     GROUP BY 1"""),
     ("P53_doc_utm_performance", samples.utm_performance, f"""
      SELECT utm_campaign, count(*) AS pageviews, count(DISTINCT visitor_id) AS visitors,
       round(avg(interaction_ms) / 1000.0, 1) AS avg_seconds

@@ -21,10 +21,9 @@ def percent_text(value: Column) -> Column:
     return F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
 
 
-def parameter_text(value: Column, limit: int) -> Column:
-    """A base64 and percent encoded parameter, at most ``limit`` characters."""
-    given = F.nullif(value, F.lit(""))
-    return F.left(percent_text(base64_text(given)), F.lit(limit))
+def parameter_text(value: Column) -> Column:
+    """A base64 and percent encoded parameter, whole."""
+    return percent_text(base64_text(F.nullif(value, F.lit(""))))
 
 
 def leading_int(value: Column) -> Column:

@@ -41,8 +41,9 @@ def at(moment: datetime | date) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return min(max(value, low), high)
+def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; None means all."""
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def days_back(as_of: datetime | None, days: int) -> date:

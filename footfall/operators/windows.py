@@ -6,7 +6,8 @@ whole history of a key. Times are compared as microseconds (UTC session).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,8 @@ def last_before(
     include_current: bool,
     seconds: int = 86_400,
 ) -> DataFrame:
-    """The last non-NULL value of the key before each row (or up to it).
+    """The last non-NULL value of the key before each row (or up to it). A row with a
+    NULL key is nobody's: before it there is nothing, up to it there is its own value.
 
     Inside a bucket of time this is a window; across buckets only one row per
     key and bucket is looked at. ``order`` starts with the time column.
@@ -102,6 +104,13 @@ def last_before(
     rows = rows.withColumn("_bucket", _bucket(micros(order[0]), seconds * SECOND)).withColumn(
         "_value", value
     )
+    keyed = F.lit(True)
+    for key in keys:
+        keyed = keyed & F.col(key).isNotNull()
+    nobody = rows.filter(~keyed).withColumn(
+        name, F.col("_value") if include_current else F.lit(None).cast(rows.schema["_value"].dataType)
+    ).drop("_bucket", "_value")
+    rows = rows.filter(keyed)
     until = 0 if include_current else -1
     inside = (
         Window.partitionBy(*keys, "_bucket")
@@ -120,12 +129,13 @@ def last_before(
         )
         .filter(F.col("_carried").isNotNull())
     )
-    return (
+    found = (
         rows.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
         .join(carried, [*keys, "_bucket"], "left")
         .withColumn(name, F.coalesce("_inside", "_carried"))
         .drop("_bucket", "_value", "_inside", "_carried")
     )
+    return found.unionByName(nobody)
 
 
 def latest_within(
@@ -173,22 +183,19 @@ def latest_within(
 # --- anchored fixed windows -----------------------------------------------------------
 #
 # A window of a key starts at its first hit and restarts at the first hit more
-# than W later, so each start depends on all earlier ones. Keys with few hits are
-# folded in one expression. For the others each chunk of time is summarised by
-# how it moves an incoming start to an outgoing one; the summaries are chained
-# per key, and then every chunk lists its starts on its own.
-
-
-def _jumps(times: np.ndarray, length: int) -> np.ndarray:
-    """Index of the next start for a window starting at each hit."""
-    return np.searchsorted(times, times + length, side="right")
+# than W later, so each start depends on all earlier ones. Time is cut into chunks
+# of some W. Each chunk of a key is summarised by how it moves an incoming start
+# to an outgoing one; the summaries, one row per chunk, are chained per key; then
+# every chunk lists its own starts. All keys go the same way, many in one batch.
 
 
-def _final_starts(times: np.ndarray, length: int) -> np.ndarray:
-    """Index of the last start in the chunk for a chain starting at each hit."""
+def _final_starts(times: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Index of the last start in its row for a chain starting at each hit. ``times``
+    are ascending over all rows, with more than W between rows; ``ends`` are where
+    each hit's row ends."""
     here = np.arange(len(times))
-    jump = _jumps(times, length)
-    reach = np.where(jump < len(times), jump, here)
+    jump = np.searchsorted(times, times + length, side="right")
+    reach = np.where(jump < ends, jump, here)
     while True:
         further = reach[reach]
         if np.array_equal(further, reach):
@@ -197,119 +204,100 @@ def _final_starts(times: np.ndarray, length: int) -> np.ndarray:
 
 
 def _summarise(length: int, chunk: int):
-    def summary(key: tuple, table: pa.Table) -> pa.Table:
-        times = np.sort(table.column("_t").to_numpy())
-        # an incoming window ends before chunk start + W: later hits are no entry
-        limit = key[-1].as_py() * chunk + length
-        entries = int(np.searchsorted(times, limit, side="left")) + 1
-        entries = min(entries, len(times))
-        final = times[_final_starts(times, length)[:entries]]
-        # entries next to each other with the same outcome need one row only
-        last_of_run = np.append(final[1:] != final[:-1], True)
-        bounds, outcome = times[:entries][last_of_run], final[last_of_run]
-        values = [pa.array([k.as_py()], k.type) for k in key]
-        lists = [pa.array([bounds.tolist()], pa.list_(pa.int64())),
-                 pa.array([outcome.tolist()], pa.list_(pa.int64()))]
-        return pa.Table.from_arrays(
-            values + lists, names=[*table.column_names[:-1], "_bounds", "_outcome"]
-        )
+    """Rows (keys, _chunk, _times) to (keys, _chunk, _bounds, _outcome)."""
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_times")
+            sizes = np.asarray(lists.value_lengths())
+            times = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            ends = np.cumsum(sizes)
+            within = times - batch.column("_chunk").to_numpy()[row] * chunk
+            final = _final_starts(within + row * (chunk + 2 * length), ends[row], length)
+            # an incoming window ends before chunk start + W: only hits up to the
+            # first one after that can be its next start
+            first_late = np.append(True, within[:-1] < length) & (within >= length)
+            entry = (within < length) | first_late | np.isin(np.arange(len(row)), ends - sizes)
+            entry_row, bounds, outcome = row[entry], times[entry], times[final][entry]
+            # entries next to each other with the same outcome need one row only
+            last = np.append((outcome[1:] != outcome[:-1]) | (entry_row[1:] != entry_row[:-1]), True)[: len(bounds)]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(entry_row[last], minlength=len(sizes)))]).astype(np.int32)
+            found = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[last])) for v in (bounds, outcome)]
+            names = [n for n in batch.schema.names if n != "_times"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], names=[*names, "_bounds", "_outcome"])
 
     return summary
 
 
-def _chain(length: int, key_names: list[str]):
-    def chain(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("_chunk").to_numpy())
-        bounds, outcome = table.column("_bounds"), table.column("_outcome")
-        incoming, start = [], None
-        for row in order:
-            incoming.append(start)
-            edges = np.asarray(bounds[int(row)].values)
-            step = 0 if start is None else int(np.searchsorted(edges, start + length, side="right"))
-            if step < len(edges):
-                start = outcome[int(row)].values[step].as_py()
-        chunks = table.column("_chunk").take(pa.array(order))
-        keys = [pa.array([k.as_py()] * len(order), k.type) for k in key]
-        return pa.Table.from_arrays(
-            [*keys, chunks, pa.array(incoming, pa.int64())], names=[*key_names, "_chunk", "_incoming"]
-        )
+def _chain(length: int, keys: list[str]):
+    """Summaries in order of key and chunk to (keys, _chunk, _incoming)."""
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, start = None, None
+        for batch in batches:
+            incoming = []
+            columns = [batch.column(k).to_pylist() for k in keys]
+            for key, bounds, outcome in zip(zip(*columns), batch.column("_bounds").to_pylist(), batch.column("_outcome").to_pylist()):
+                if key != known:
+                    known, start = key, None
+                incoming.append(start)
+                step = 0 if start is None else bisect_right(bounds, start + length)
+                if step < len(bounds):
+                    start = outcome[step]
+            kept = [batch.column(n) for n in (*keys, "_chunk")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(incoming, pa.int64())], names=[*keys, "_chunk", "_incoming"])
 
     return chain
 
 
-def _list_starts(length: int):
-    def starts(key: tuple, table: pa.Table) -> pa.Table:
-        times = np.sort(table.column("_t").to_numpy())
-        incoming = table.column("_incoming")[0].as_py()
-        position = (
-            0 if incoming is None else int(np.searchsorted(times, incoming + length, side="right"))
-        )
-        found = []
-        while position < len(times):
-            found.append(int(times[position]))
-            position = int(np.searchsorted(times, found[-1] + length, side="right"))
-        keys = [pa.array([k.as_py()] * len(found), k.type) for k in key[:-1]]
-        return pa.Table.from_arrays(
-            [*keys, pa.array(found, pa.int64())],
-            names=[*table.column_names[: len(key) - 1], "_start"],
-        )
+def _list_starts(length: int, keys: list[str]):
+    """Rows (keys, _times, _incoming) to (keys, _start)."""
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for row, (times, incoming) in enumerate(zip(batch.column("_times"), batch.column("_incoming").to_pylist())):
+                times = times.values.to_numpy()
+                at = 0 if incoming is None else int(np.searchsorted(times, incoming + length, side="right"))
+                while at < len(times):
+                    rows.append(row)
+                    found.append(int(times[at]))
+                    at = int(np.searchsorted(times, found[-1] + length, side="right"))
+            taken = [batch.column(k).take(pa.array(rows, pa.int32())) for k in keys]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(found, pa.int64())], names=[*keys, "_start"])
 
     return starts
 
 
 def window_starts(
-    hits: DataFrame,
-    *,
-    keys: Sequence[str],
-    ts: str,
-    seconds: int,
-    fold_limit: int = 10_000,
-    chunk_seconds: int = 86_400,
+    hits: DataFrame, *, keys: Sequence[str], ts: str, seconds: int, chunk_seconds: int | None = None
 ) -> DataFrame:
     """Starts (``_start``, microseconds) of the anchored windows of every key.
 
-    ``fold_limit`` is the number of distinct times up to which one key is folded
-    in a single expression; busier keys go chunk by chunk.
+    ``chunk_seconds`` (16 windows unless given, never less than one) is the stretch
+    of one key's time that a row holds, whatever share of all hits the key has.
     """
     keys, length = list(keys), seconds * SECOND
-    chunk = max(chunk_seconds, seconds) * SECOND
-    times = hits.select(*keys, micros(ts).alias("_t")).dropna().distinct()
-    busy = (
-        times.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > fold_limit)
-    ).select(*keys)
-    folded = (
-        times.join(busy, keys, "left_anti")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_t")).alias("_times"))
-        .select(
-            *keys,
-            F.explode(
-                F.expr(
-                    "aggregate(_times, cast(array() as array<bigint>), (s, t) -> "
-                    f"if(size(s) = 0 or t - element_at(s, -1) > {length}, concat(s, array(t)), s))"
-                )
-            ).alias("_start"),
-        )
-    )
-    dense = times.join(busy, keys, "left_semi").select(
-        *keys, _bucket(F.col("_t"), chunk).alias("_chunk"), "_t"
+    chunk = max(chunk_seconds or 16 * seconds, seconds) * SECOND
+    chunks = (
+        hits.select(*keys, micros(ts).alias("_t")).dropna()
+        .groupBy(*keys, _bucket(F.col("_t"), chunk).alias("_chunk"))
+        .agg(F.array_sort(F.collect_set("_t")).alias("_times"))
     )
-    key_fields = [hits.schema[k] for k in keys]
     times_list = ArrayType(LongType())
+    key_fields = [hits.schema[k] for k in keys]
     chunked = [*key_fields, StructField("_chunk", LongType())]
-    moves = dense.groupBy(*keys, "_chunk").applyInArrow(
-        _summarise(length, chunk),
-        StructType([*chunked]).add("_bounds", times_list).add("_outcome", times_list),
+    moves = chunks.mapInArrow(
+        _summarise(length, chunk), StructType([*chunked]).add("_bounds", times_list).add("_outcome", times_list)
     )
-    incoming = moves.groupBy(*keys).applyInArrow(
-        _chain(length, keys), StructType([*chunked]).add("_incoming", LongType())
+    incoming = (
+        moves.repartition(*keys).sortWithinPartitions(*keys, "_chunk")
+        .mapInArrow(_chain(length, keys), StructType([*chunked]).add("_incoming", LongType()))
     )
-    listed = (
-        dense.join(incoming, [*keys, "_chunk"])
-        .groupBy(*keys, "_chunk")
-        .applyInArrow(_list_starts(length), StructType([*key_fields]).add("_start", LongType()))
+    return chunks.join(incoming, [*keys, "_chunk"]).mapInArrow(
+        _list_starts(length, keys), StructType([*key_fields]).add("_start", LongType())
     )
-    return folded.union(listed)
 
 
 def anchored_count(
@@ -320,7 +308,7 @@ def anchored_count(
     tiebreak: str,
     seconds: int,
     name: str,
-    **limits: int,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Number of each hit within its anchored window, and the window's start.
 
@@ -328,7 +316,7 @@ def anchored_count(
     lies in its own bucket or the one before: an equi join, split by time.
     """
     keys, length = list(keys), seconds * SECOND
-    starts = window_starts(hits, keys=keys, ts=ts, seconds=seconds, **limits).withColumn(
+    starts = window_starts(hits, keys=keys, ts=ts, seconds=seconds, chunk_seconds=chunk_seconds).withColumn(
         "_bucket", _bucket(F.col("_start"), length)
     )
     near = _own_and_before(starts, keys, "_start", "_start")
@@ -347,3 +335,65 @@ def anchored_count(
             F.timestamp_micros("_start").cast("timestamp_ntz").alias("window_start"),
         )
     )
+
+
+def continue_windows(
+    hits: DataFrame,
+    open_windows: DataFrame | None,
+    *,
+    keys: Sequence[str],
+    ts: str,
+    tiebreak: str,
+    seconds: int,
+    name: str,
+) -> DataFrame:
+    """``anchored_count`` of hits whose keys may have windows open already (keys,
+    window_start, count). A carried window comes back as one row at its start."""
+    rows = hits.withColumn("_carried", F.lit(None).cast("bigint"))
+    if open_windows is not None:
+        carried = open_windows.select(
+            *keys, F.col("window_start").alias(ts), F.col("count").alias("_carried")
+        )
+        rows = rows.unionByName(carried, allowMissingColumns=True)
+    counted = anchored_count(
+        rows, keys=keys, ts=ts, tiebreak=tiebreak, seconds=seconds, name="_number"
+    )
+    if open_windows is None:
+        return counted.withColumn(name, F.col("_number").cast("bigint")).drop("_carried", "_number")
+    # the carried row stands for all its hits, wherever in its window it is
+    known = counted.filter(F.col("_carried").isNotNull()).groupBy(*keys, "window_start").agg(
+        F.sum(F.col("_carried") - 1).alias("_offset")
+    )
+    return (
+        counted.filter(F.col("_carried").isNull())
+        .join(known, [*keys, "window_start"], "left")
+        .withColumn(name, F.col("_number") + F.coalesce("_offset", F.lit(0)))
+        .drop("_carried", "_number", "_offset")
+    )
+
+
+def open_after(
+    counted: DataFrame,
+    before: DataFrame | None,
+    *,
+    keys: Sequence[str],
+    ts: str,
+    seconds: int,
+    name: str,
+    late: int,
+) -> DataFrame:
+    """Windows (keys, window_start, count, newest) that hits up to ``late`` seconds
+    behind the newest one may still fall into; of each key also the one it is in."""
+    windows = counted.filter(F.col("window_start").isNotNull()).groupBy(*keys, "window_start").agg(F.max(name).alias("count"))
+    newest = counted.agg(F.max(ts).alias("newest"))
+    if before is not None:
+        windows = (
+            windows.unionByName(before.select(*keys, "window_start", "count"))
+            .groupBy(*keys, "window_start").agg(F.max("count").alias("count"))
+        )
+        newest = newest.unionByName(before.agg(F.max("newest").alias("newest"))).agg(F.max("newest").alias("newest"))
+    end = newest.first()["newest"]
+    if end is None:
+        return windows.withColumn("newest", F.lit(None).cast("timestamp_ntz"))
+    kept = micros("window_start") >= micros(F.lit(end).cast("timestamp_ntz")) - (seconds + late) * SECOND
+    return windows.filter(kept).withColumn("newest", F.lit(end).cast("timestamp_ntz"))

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import day_text
-from footfall.functions.predicates import at, clamp, days_back, is_clean
+from footfall.functions.predicates import at, days_back, first_rows, is_clean
 from footfall.functions.statistics import ratio
 
-MAX_DAYS = 90
 BREAKDOWN_ROWS = 20
 
 
 def _clean_since(df: DataFrame, days: int, as_of: datetime | None) -> DataFrame:
-    first = days_back(as_of, clamp(days, 1, MAX_DAYS))
+    first = days_back(as_of, days)
     return df.filter((F.col("created_at") >= at(first)) & is_clean())
 
 
@@ -141,8 +140,10 @@ def campaign_events(
     days: int = 30,
     event_type: str | None = None,
     as_of: datetime | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Do campaign visitors trigger events? NULL campaign = organic traffic.
+    All campaigns, or the ``limit`` with the most visitors.
 
     Both facts are aggregated per campaign before they meet; organic views meet
     organic events through a NULL-safe join.
@@ -164,7 +165,7 @@ def campaign_events(
         F.col("name").alias("campaign_name"),
         F.col("utm_campaign").alias("registered_campaign"),
     )
-    return (
+    rates = (
         visited.join(acted, F.col("utm_campaign").eqNullSafe(F.col("acted_campaign")), "left")
         .join(registered, F.col("utm_campaign") == F.col("registered_campaign"), "left")
         .select(
@@ -175,14 +176,14 @@ def campaign_events(
         .withColumn("event_rate", ratio(F.col("event_visitors"), F.col("visitors")))
         .withColumn("events_per_visitor", ratio(F.col("events"), F.col("visitors")))
         .orderBy(F.desc("visitors"), "utm_campaign")
-        .limit(50)
     )
+    return first_rows(rates, limit)
 
 
 def campaign_event_types(
     events: DataFrame, *, site: str, days: int = 30, as_of: datetime | None = None
 ) -> DataFrame:
-    """Ten largest event types per campaign, out of the first 500 rows by campaign."""
+    """Ten largest event types per campaign."""
     listed = (
         _clean_since(events, days, as_of)
         .filter(F.col("site_id") == site)
@@ -191,8 +192,6 @@ def campaign_event_types(
             F.count("*").alias("count"),
             F.countDistinct("visitor_id").alias("unique_visitors"),
         )
-        .orderBy("utm_campaign", F.desc("count"), "event_type")
-        .limit(500)
     )
     place = Window.partitionBy("utm_campaign").orderBy(F.desc("count"), "event_type")
     return (
@@ -211,10 +210,11 @@ def campaign_events_document(
     days: int = 30,
     event_type: str | None = None,
     as_of: datetime | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """The conversion report with each campaign's event types nested inside."""
     rows = campaign_events(
-        views, events, campaigns, site=site, days=days, event_type=event_type, as_of=as_of
+        views, events, campaigns, site=site, days=days, event_type=event_type, as_of=as_of, limit=limit
     )
     types = (
         campaign_event_types(events, site=site, days=days, as_of=as_of)
@@ -238,5 +238,6 @@ def campaign_events_document(
     )
 
 
-def campaign_list(campaigns: DataFrame) -> DataFrame:
-    return campaigns.orderBy(F.desc("created_at"), "id").limit(200)
+def campaign_list(campaigns: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Newest first; all of them, or the newest ``limit``."""
+    return first_rows(campaigns.orderBy(F.desc("created_at"), "id"), limit)

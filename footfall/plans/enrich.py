@@ -30,16 +30,16 @@ from footfall.functions.useragent import (
     matches_any,
     os_name,
 )
+from footfall.operators.windows import continue_windows
 from footfall.plans.anonymize import anonymize_views
-from footfall.plans.reputation import with_burst_count, with_ip_penalty
+from footfall.plans.reputation import with_ip_penalty
 from footfall.plans.scoring import CONFIRMED_IP, MAX_SCREEN, with_bot_score
 from footfall.plans.threats import Feeds, with_threat_flags
 from footfall.schemas import VIEWS
 from footfall.settings import Settings
 
-# Plausible interaction time in ms, parameter lengths.
+# Plausible interaction time in ms.
 MIN_INTERACTION, MAX_INTERACTION = 800, 3_600_000
-PATH_LENGTH, UTM_LENGTH = 2048, 256
 UTM = {"utm_source": "us", "utm_medium": "um", "utm_content": "uct", "utm_term": "ut"}
 
 
@@ -58,6 +58,7 @@ class Pageviews:
     views: DataFrame
     prints: DataFrame
     rejects: DataFrame
+    bursts: DataFrame | None  # hit_id, ip, ts, burst_count, window_start of accepted hits
 
 
 def site_reject(settings: Settings) -> Column:
@@ -88,7 +89,7 @@ def decode_hits(hits: DataFrame, settings: Settings) -> DataFrame:
         hits.withColumn("ip", client_ip(settings))
         .withColumn("country_code", client_country(settings))
         .withColumn("site_id", site_or_default(F.coalesce("s", F.lit("default"))))
-        .withColumn("path", parameter_text(F.col("p"), PATH_LENGTH))
+        .withColumn("path", parameter_text(F.col("p")))
         .withColumn("is_spa", spa)
         .withColumn(
             "interaction_ms", F.when(spa, F.lit(0)).otherwise(leading_int(F.col("v")))
@@ -100,7 +101,7 @@ def decode_hits(hits: DataFrame, settings: Settings) -> DataFrame:
             "screen_height",
             F.when(valid_screen, leading_int(F.col("sh")).try_cast("int")),
         )
-        .withColumn("utm_campaign", parameter_text(F.col("uc"), UTM_LENGTH))
+        .withColumn("utm_campaign", parameter_text(F.col("uc")))
     )
     cookie = valid_cookie(F.col("cookie_ev"))
     by_cookie = F.coalesce(F.col("ck") == "1", F.lit(False))
@@ -142,7 +143,7 @@ def _with_campaign(hits: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Campaign parameters count only for a campaign registered and active on the site."""
     active = F.col("_active")
     columns = {
-        column: F.when(active, parameter_text(F.col(parameter), UTM_LENGTH))
+        column: F.when(active, parameter_text(F.col(parameter)))
         for column, parameter in UTM.items()
     }
     return (
@@ -192,10 +193,19 @@ def is_discarded(settings: Settings) -> Column:
     return F.col("bot_score") >= settings.discard_threshold
 
 
-def _with_bursts(accepted: DataFrame, settings: Settings) -> DataFrame:
-    """Only hits beyond the burst threshold get a ``burst_count``: the windows are
-    counted on three narrow columns and little of the result is joined back."""
-    counted = with_burst_count(accepted.select("hit_id", "ip", "ts"), settings)
+def burst_windows(
+    accepted: DataFrame, settings: Settings, open_windows: DataFrame | None = None
+) -> DataFrame:
+    """hit_id, ip, ts, burst_count and window_start of accepted hits, on three narrow
+    columns; ``open_windows`` are those that hits before these have left open."""
+    return continue_windows(
+        accepted.select("hit_id", "ip", "ts"), open_windows,
+        keys=["ip"], ts="ts", tiebreak="hit_id", seconds=settings.burst_seconds, name="burst_count",
+    )
+
+
+def _with_bursts(accepted: DataFrame, counted: DataFrame, settings: Settings) -> DataFrame:
+    """Only hits beyond the burst threshold get a ``burst_count``, so little is joined."""
     bursting = counted.filter(F.col("burst_count") > settings.burst_threshold)
     return accepted.join(bursting.select("hit_id", "burst_count"), "hit_id", "left")
 
@@ -206,6 +216,7 @@ def enrich_hits(
     settings: Settings,
     *,
     count_bursts: bool = True,
+    open_windows: DataFrame | None = None,
     stage_dir: str | None = None,
 ) -> Pageviews:
     """Views to store, prints for the correlator, and rejected hits with a reason.
@@ -216,7 +227,8 @@ def enrich_hits(
 
     With ``stage_dir``, a folder all executors share, the checked hits and the
     scored hits are each written there once: the burst count does not decode the
-    log again, and the three outputs do not score it again.
+    log again, and the three outputs do not score it again. ``open_windows`` are burst
+    windows that earlier hits have left open (see ``open_after``).
     """
 
     def stage(df: DataFrame, name: str) -> DataFrame:
@@ -227,8 +239,10 @@ def enrich_hits(
 
     checked = stage(check_hits(decode_hits(hits, settings), dims, settings), "checked")
     accepted = _with_campaign(checked.filter(F.col("reject_reason").isNull()), dims.campaigns)
+    bursts = None
     if count_bursts:
-        accepted = _with_bursts(accepted, settings)
+        bursts = stage(burst_windows(accepted, settings, open_windows), "bursts")
+        accepted = _with_bursts(accepted, bursts, settings)
     scored = with_bot_score(with_signals(accepted, dims, settings, raw=hits), settings).withColumns(
         {
             "os_name": os_name(F.col("user_agent")),
@@ -255,4 +269,5 @@ def enrich_hits(
         views=anonymize_views(views, settings),
         prints=_prints(scored, settings),
         rejects=rejects.unionByName(discarded),
+        bursts=bursts,
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.functions.predicates import first_rows
 from footfall.functions.statistics import NO_RESULT, ratio, z_test_label
 
 
@@ -74,8 +75,9 @@ def experiment_stats(
     )
 
 
-def experiment_list(experiments: DataFrame) -> DataFrame:
-    return experiments.orderBy(F.desc("created_at"), "experiment_id").limit(200)
+def experiment_list(experiments: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Newest first; all of them, or the newest ``limit``."""
+    return first_rows(experiments.orderBy(F.desc("created_at"), "experiment_id"), limit)
 
 
 def experiment_conversions(events: DataFrame, experiments: DataFrame) -> DataFrame:

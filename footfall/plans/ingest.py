@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 from footfall.functions.decode import SITE_ID, variant_text, with_parsed
 from footfall.schemas import EVENTS
+from footfall.settings import Settings
 
-# Identifier patterns, limits and reject messages of protocol 1.
+# Identifier patterns and reject messages of protocol 1.
 UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 EVENT_TYPE = "^[a-zA-Z_][a-zA-Z0-9_]*$"
-MAX_BATCH_EVENTS = 100
-MAX_BATCH_BODY = 1_048_576
-MAX_METRICS = 100
-MAX_METRIC_BODY = 65_536
 API_SCORE = -1
 API_DETAIL = '{"source":"api_ingest"}'
 TOO_LARGE = "Body exceeds 1MB limit"
+METRICS_TOO_LARGE = "Max 64 KB"
 BAD_JSON = "Invalid JSON"
 NOT_OBJECT = "Body must be a JSON object"
 BAD_VERSION = "Unsupported protocol version"
@@ -39,8 +37,7 @@ BAD_METRIC = (
     "Each metric requires category (string), metric (string), value (number), unit (string)"
 )
 TYPE_SHOWN = 32
-TEXT_LIMITS = {"category": 128, "metric": 128, "unit": 32, "commit_hash": 64, "branch": 128}
-METADATA_LIMIT = 2048
+METRIC_TEXTS = ("category", "metric", "unit", "commit_hash", "branch")
 
 SHAPE = "struct<events: array<struct<data: string>>>"
 
@@ -61,6 +58,14 @@ def _kind(variant: Column, path: str = "$") -> Column:
     return F.schema_of_variant(_member(variant, path))
 
 
+def _number(variant: Column, path: str) -> Column:
+    """A JSON number; NULL for members of any other type."""
+    return F.when(
+        _kind(variant, path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"),
+        F.try_variant_get(variant, path, "double"),
+    )
+
+
 def _shown(variant: Column, path: str) -> Column:
     """A member as message text: 'undefined' when it is absent."""
     member = _member(variant, path)
@@ -91,7 +96,7 @@ def _event_error(event: Column) -> Column:
     )
 
 
-def check_batches(raw: DataFrame) -> DataFrame:
+def check_batches(raw: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Parsed batches with ``message``: the first rule broken, NULL if accepted.
     One bad event rejects its whole batch."""
     json, context = F.col("_json"), F.col("_context")
@@ -101,15 +106,15 @@ def check_batches(raw: DataFrame) -> DataFrame:
     good = lambda c: F.coalesce(c, F.lit(False))
     bad_session = F.when(_compound(F.to_json(context)), BAD_SESSION).otherwise(NO_CONTEXT)
     message = (
-        F.when(F.length("body") > MAX_BATCH_BODY, TOO_LARGE)
+        F.when(F.length("body") > settings.batch_length, TOO_LARGE)
         .when(json.isNull(), BAD_JSON)
         .when(~_compound(F.col("body")), NOT_OBJECT)
-        .when(~good(F.try_variant_get(json, "$.v", "double") == 1.0), BAD_VERSION)
+        .when(~good(_number(json, "$.v") == 1.0), BAD_VERSION)
         .when(~good(variant_text(json, "$.batch_id").rlike(UUID)), BAD_BATCH_ID)
         .when(~good(variant_text(context, "$.session_id").rlike(UUID)), bad_session)
         .when(_member(context, "$.site_id").isNotNull() & ~good(site.rlike(SITE_ID)), BAD_SITE)
         .when(size <= 0, NO_EVENTS)
-        .when(size > MAX_BATCH_EVENTS, MANY_EVENTS)
+        .when(size > settings.batch_events, MANY_EVENTS)
         .otherwise(F.get(errors, F.lit(0)))
     )
     parsed = with_parsed(raw, _json=F.try_parse_json("body"))
@@ -121,8 +126,15 @@ def check_batches(raw: DataFrame) -> DataFrame:
     return with_parsed(members, message=message)
 
 
-def _joined_data(data: Column, experiment: Column, variant: Column, context: Column) -> Column:
-    """The event's data with experiment ids and session context appended, as JSON."""
+def _joined_data(
+    data: Column, fields: Column, experiment: Column, variant: Column, context: Column
+) -> Column:
+    """The event's data with experiment ids and session context set, as JSON.
+
+    ``data`` is the text sent and ``fields`` its members. The text is kept as it is
+    unless it has one of these names itself or a name twice: then ours, or the last
+    one sent, is what counts, and the members are written anew in order of name.
+    """
 
     def member(name: str, value: Column) -> Column:
         return F.concat(F.lit(f'"{name}":'), value)
@@ -148,7 +160,23 @@ def _joined_data(data: Column, experiment: Column, variant: Column, context: Col
         ),
         F.lit("}"),
     )
-    own = F.nullif(F.regexp_extract(data, "(?s)^\\{(.*)\\}$", 1), F.lit(""))
+    names = F.map_keys(fields)
+    ours = F.array_contains(names, "session_context") | (
+        experiment.isNotNull() & F.arrays_overlap(names, F.array(F.lit("experiment_id"), F.lit("variant_id")))
+    )
+    doubled = F.size(F.json_object_keys(data)) != F.size(names)
+    replaced = F.when(
+        experiment.isNotNull(), F.array(*[F.lit(n) for n in ("session_context", "experiment_id", "variant_id")])
+    ).otherwise(F.array(F.lit("session_context")))
+    rewritten = F.array_join(
+        F.transform(
+            F.filter(F.map_entries(fields), lambda e: ~F.array_contains(replaced, e["key"])),
+            lambda e: F.concat(text_json(e["key"]), F.lit(":"), F.to_json(e["value"])),
+        ),
+        ",",
+    )
+    as_sent = F.regexp_extract(data, "(?s)^\\{(.*)\\}$", 1)
+    own = F.nullif(F.when(F.coalesce(ours | doubled, F.lit(False)), rewritten).otherwise(as_sent), F.lit(""))
     return F.concat(
         F.lit("{"),
         F.concat_ws(
@@ -194,7 +222,9 @@ def batch_events(checked: DataFrame) -> DataFrame:
         F.coalesce(variant_text(F.col("_context"), "$.site_id"), F.lit("default")).alias("site_id"),
         variant_text(F.col("_context"), "$.session_id").alias("session_id"),
         F.lit(None).cast("string").alias("visitor_id"),
-        _joined_data(data, experiment, variant, F.col("_context")).alias("data"),
+        _joined_data(
+            data, F.try_variant_get(event, "$.data", "map<string,variant>"), experiment, variant, F.col("_context")
+        ).alias("data"),
         experiment.alias("experiment_id"),
         F.when(experiment.isNotNull(), variant).alias("variant_id"),
         F.lit(None).cast("string").alias("utm_campaign"),
@@ -221,27 +251,31 @@ def first_of_each(events: DataFrame) -> DataFrame:
     )
 
 
-def ingest_batches(raw: DataFrame) -> Ingested:
-    """Accepted events, rejected batches with a message, and accepted and
-    duplicate counts per batch."""
-    checked = check_batches(raw)
-    listed = batch_events(checked)
-    unique = first_of_each(listed)
+def batch_counts(listed: DataFrame, unique: DataFrame) -> DataFrame:
+    """Accepted and duplicate events of every accepted batch."""
     sent = listed.groupBy("raw_id").agg(F.count("*").alias("sent"))
     kept = unique.groupBy("raw_id").agg(F.count("*").alias("accepted"))
-    counts = (
+    return (
         sent.join(kept, "raw_id", "left")
         .fillna(0, ["accepted"])
         .select("raw_id", "accepted", (F.col("sent") - F.col("accepted")).alias("duplicate"))
     )
+
+
+def ingest_batches(raw: DataFrame, settings: Settings = Settings()) -> Ingested:
+    """Accepted events, rejected batches with a message, and accepted and
+    duplicate counts per batch."""
+    checked = check_batches(raw, settings)
+    listed = batch_events(checked)
+    unique = first_of_each(listed)
     return Ingested(
         events=unique.select("event_id", "event_ts", *[f.name for f in EVENTS.fields]),
         rejects=checked.filter(F.col("message").isNotNull()).select("raw_id", "message"),
-        counts=counts,
+        counts=batch_counts(listed, unique),
     )
 
 
-def ingest_metrics(raw: DataFrame) -> Ingested:
+def ingest_metrics(raw: DataFrame, settings: Settings = Settings()) -> Ingested:
     """Metrics of well-formed posts; one bad entry rejects its whole post."""
     entry = lambda m: (
         _kind(m).startswith("OBJECT")
@@ -253,9 +287,9 @@ def ingest_metrics(raw: DataFrame) -> Ingested:
         )
     )
     message = (
-        F.when(F.octet_length("body") > MAX_METRIC_BODY, "Max 64 KB")
+        F.when(F.octet_length("body") > settings.metric_bytes, METRICS_TOO_LARGE)
         .when(F.col("_json").isNull(), BAD_JSON)
-        .when(F.col("_list").isNull() | (F.size("_list") > MAX_METRICS), BAD_METRICS)
+        .when(F.col("_list").isNull() | (F.size("_list") > settings.metrics), BAD_METRICS)
         .when(~F.forall("_list", entry), BAD_METRIC)
     )
     parsed = with_parsed(raw, _json=F.try_parse_json("body"))
@@ -264,12 +298,9 @@ def ingest_metrics(raw: DataFrame) -> Ingested:
     listed = checked.filter(F.col("message").isNull()).select(
         "raw_id", "received_at", F.posexplode("_list").alias("position", "_m")
     )
-    texts = [
-        F.left(variant_text(F.col("_m"), f"$.{name}"), F.lit(limit)).alias(name)
-        for name, limit in TEXT_LIMITS.items()
-    ]
+    texts = [variant_text(F.col("_m"), f"$.{name}").alias(name) for name in METRIC_TEXTS]
     given = F.schema_of_variant(_member(F.col("_m"), "$.metadata")) != "VOID"
-    metadata = F.when(given, F.left(F.to_json(_member(F.col("_m"), "$.metadata")), F.lit(METADATA_LIMIT)))
+    metadata = F.when(given, F.to_json(_member(F.col("_m"), "$.metadata")))
     metrics = listed.select(
         "raw_id",
         "position",

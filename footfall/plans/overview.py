@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import resolution_label
-from footfall.functions.predicates import at, clamp, days_back, is_clean, now_utc
-
-RAW_DAYS = 7  # raw breakdowns look back at most this far
+from footfall.functions.predicates import at, days_back, is_clean, now_utc
 
 
 def _history(daily: DataFrame, site: str, days: int, as_of: datetime | None) -> DataFrame:
-    first = days_back(as_of, clamp(days, 1, 730))
+    first = days_back(as_of, days)
     return daily.filter((F.col("site_id") == site) & (F.col("date") >= F.lit(first)))
 
 
@@ -31,7 +29,7 @@ def _today(views: DataFrame, site: str, as_of: datetime | None) -> DataFrame:
 
 
 def _recent(views: DataFrame, site: str, days: int, as_of: datetime | None) -> DataFrame:
-    first = days_back(as_of, min(clamp(days, 1, 730), RAW_DAYS))
+    first = days_back(as_of, days)
     return views.filter(
         (F.col("site_id") == site) & (F.col("created_at") >= at(first)) & is_clean()
     )

@@ -19,39 +19,40 @@ from footfall.plans.enrich import (
     site_reject,
     with_signals,
 )
+from footfall.plans.reputation import with_burst_read
 from footfall.plans.scoring import with_bot_score
 from footfall.schemas import EVENTS
 from footfall.settings import Settings
 
-# Event types the tracker may send and the size limits of a post.
+# Event types the tracker may send.
 EVENT_TYPES = (
     "bounce", "session_end", "session_resume", "scroll_depth", "click", "ad_click",
     "form_focus", "form_blur", "form_submit", "hover", "outbound", "download",
     "web_vital", "custom",
 )
-MAX_EVENTS = 20
-MAX_BODY = 16_384
-MAX_DATA = 2_048
-ID_LENGTH, UTM_LENGTH = 128, 256
 
-BODY = """struct<events: array<struct<type: string, data: string, sessionId: string,
-    utmCampaign: string>>>"""
+BODY = "struct<events: array<string>>"
+DATA = "struct<data: string>"
 
 
 @dataclass(frozen=True)
 class Events:
     events: DataFrame
-    rejects: DataFrame
+    rejects: DataFrame  # whole posts: post_id, ts, reject_reason
+    event_rejects: DataFrame  # single events: post_id, ts, position, reject_reason
 
 
 def decode_posts(posts: DataFrame, settings: Settings) -> DataFrame:
     """Parsed body, identity and context of every post.
 
-    The body is read twice from the same text: as VARIANT to test member types,
-    and with a schema to keep each event's ``data`` exactly as it was sent.
+    The body is read as VARIANT to test member types, and its events are kept as
+    texts, so that an entry of a wrong type is an entry like any other.
     """
-    bodies = with_parsed(posts, _json=F.try_parse_json("body"), _typed=F.from_json("body", BODY))
-    lists = with_parsed(bodies, _list=F.try_variant_get("_json", "$.events", "array<variant>"))
+    bodies = with_parsed(posts, _json=F.try_parse_json("body"))
+    is_list = F.schema_of_variant(F.try_variant_get("_json", "$.events", "variant")).startswith("ARRAY")
+    lists = with_parsed(
+        bodies, _events=F.when(is_list, F.from_json("body", BODY)["events"])
+    )
     parsed = (
         lists.withColumn("ip", client_ip(settings))
         .withColumn("country_code", client_country(settings))
@@ -77,9 +78,9 @@ def check_posts(decoded: DataFrame, dims: Dimensions, settings: Settings) -> Dat
     excluded = dims.excluded.select("visitor_id").distinct().withColumn("_excluded", F.lit(True))
     reason = (
         F.when(matches_any(F.col("user_agent"), settings.bot_agents), "known_bot")
-        .when(F.octet_length("body") > MAX_BODY, "too_large")
+        .when(F.octet_length("body") > settings.post_bytes, "too_large")
         .when(F.col("_json").isNull(), "invalid_json")
-        .when(F.coalesce(F.size("_list"), F.lit(0)) <= 0, "no_events")
+        .when(F.coalesce(F.size("_events"), F.lit(0)) <= 0, "no_events")
         .when(site_reject(settings).isNotNull(), site_reject(settings))
         .when(F.col("_excluded"), "excluded")
     )
@@ -95,41 +96,52 @@ def enrich_posts(
     dims: Dimensions,
     settings: Settings,
     *,
-    burst_counts: DataFrame | None = None,
+    counted_hits: DataFrame | None = None,
+    stage_dir: str | None = None,
 ) -> Events:
-    """Accepted events, one row each, and rejected posts with a reason.
+    """Accepted events, one row each; rejected posts, and rejected events of accepted
+    posts, with a reason each.
 
-    ``burst_counts`` (post_id, burst_count) is what the address's burst window
-    shows at the time of the post; without it the factor does not fire.
+    ``counted_hits`` (ip, ts, burst_count, window_start) are the pageview hits with
+    their burst windows; a post reads what its address's window shows at its time.
+    Without them the factor does not fire. With ``stage_dir``, a folder all executors
+    share, the scored posts are written there once and read for all outputs.
     """
-    checked = check_posts(decode_posts(posts, settings), dims, settings)
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        if stage_dir is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{stage_dir}/{name}")
+        return df.sparkSession.read.parquet(f"{stage_dir}/{name}")
+
+    checked = stage(check_posts(decode_posts(posts, settings), dims, settings).drop("_json"), "checked")
     accepted = checked.filter(F.col("reject_reason").isNull())
-    if burst_counts is not None:
-        accepted = accepted.join(burst_counts, "post_id", "left").fillna(0, ["burst_count"])
+    if counted_hits is not None:
+        accepted = with_burst_read(accepted, counted_hits, settings)
     signals = with_signals(accepted, dims, settings, raw=posts)
-    scored = with_bot_score(signals, settings, pageview=False)
+    scored = stage(with_bot_score(signals, settings, pageview=False), "scored")
     kept = scored.filter(~is_discarded(settings))
 
-    listed = kept.withColumn(
-        "_pair",
-        F.explode(
-            F.slice(F.arrays_zip(F.col("_typed.events").alias("e"), F.col("_list").alias("v")), 1, MAX_EVENTS)
-        ),
+    raw = F.col("_event")
+    listed = with_parsed(
+        kept.select("*", F.posexplode("_events").alias("position", "_text")),
+        _event=F.try_parse_json("_text"),
+        data=F.coalesce(F.from_json("_text", DATA)["data"], F.lit("{}")),
+    )
+    kind = variant_text(raw, "$.type")
+    reason = (
+        F.when(F.col("position") >= settings.post_events, "too_many_events")
+        .when(~F.coalesce(F.ltrim("_text").startswith("{"), F.lit(False)), "not_an_object")
+        .when(~F.coalesce(kind.isin(*EVENT_TYPES), F.lit(False)), "unknown_type")
+        .when(F.length("data") > settings.event_data_length, "data_too_long")
     )
-    raw = F.col("_pair.v")
-    data = F.coalesce("_pair.e.data", F.lit("{}"))
+    judged = with_parsed(listed, event_type=kind, _reason=reason)
     events = (
-        listed.withColumn("event_type", variant_text(raw, "$.type"))
-        .withColumn("data", data)
-        .filter(F.col("event_type").isin(*EVENT_TYPES) & (F.length("data") <= MAX_DATA))
+        judged.filter(F.col("_reason").isNull())
         .withColumn("session_id", valid_session(variant_text(raw, "$.sessionId")))
-        .withColumn(
-            "experiment_id", F.left(variant_text(raw, "$.data.experiment_id"), F.lit(ID_LENGTH))
-        )
-        .withColumn("variant_id", F.left(variant_text(raw, "$.data.variant_id"), F.lit(ID_LENGTH)))
-        .withColumn(
-            "utm_campaign", F.left(variant_text(raw, "$.utmCampaign"), F.lit(UTM_LENGTH))
-        )
+        .withColumn("experiment_id", variant_text(raw, "$.data.experiment_id"))
+        .withColumn("variant_id", variant_text(raw, "$.data.variant_id"))
+        .withColumn("utm_campaign", variant_text(raw, "$.utmCampaign"))
         .join(active_campaigns(dims.campaigns), ["site_id", "utm_campaign"], "left")
         .withColumn("utm_campaign", F.when(F.col("_active"), F.col("utm_campaign")))
         .withColumn("hour", F.hour("ts"))
@@ -145,4 +157,10 @@ def enrich_posts(
     discarded = scored.filter(is_discarded(settings)).select(
         "post_id", "ts", F.lit("discarded").alias("reject_reason")
     )
-    return Events(anonymize_events(events, settings), rejects.unionByName(discarded))
+    return Events(
+        events=anonymize_events(events, settings),
+        rejects=rejects.unionByName(discarded),
+        event_rejects=judged.filter(F.col("_reason").isNotNull()).select(
+            "post_id", "ts", "position", F.col("_reason").alias("reject_reason")
+        ),
+    )

@@ -12,7 +12,7 @@ from footfall.settings import Settings
 
 
 def with_burst_count(
-    hits: DataFrame, settings: Settings, *, key: str = "ip", order: str = "hit_id", **limits: int
+    hits: DataFrame, settings: Settings, *, key: str = "ip", order: str = "hit_id", chunk_seconds: int | None = None
 ) -> DataFrame:
     """Number of the hit in the address's current burst window."""
     return anchored_count(
@@ -22,12 +22,12 @@ def with_burst_count(
         tiebreak=order,
         seconds=settings.burst_seconds,
         name="burst_count",
-        **limits,
+        chunk_seconds=chunk_seconds,
     ).drop("window_start")
 
 
 def with_rate_limit(
-    hits: DataFrame, settings: Settings, *, key: str = "ip", order: str = "hit_id", **limits: int
+    hits: DataFrame, settings: Settings, *, key: str = "ip", order: str = "hit_id", chunk_seconds: int | None = None
 ) -> DataFrame:
     """Flag hits beyond the allowed number per window; 0 switches the limit off."""
     if settings.rate_limit_max <= 0:
@@ -39,7 +39,7 @@ def with_rate_limit(
         tiebreak=order,
         seconds=settings.rate_limit_seconds,
         name="_number",
-        **limits,
+        chunk_seconds=chunk_seconds,
     )
     return numbered.withColumn(
         "is_limited", F.col("_number") > settings.rate_limit_max

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import day_text
-from footfall.functions.predicates import BOT_SCORE, SUSPECT_SCORE, at, below_bot, days_back
+from footfall.functions.predicates import BOT_SCORE, SUSPECT_SCORE, at, below_bot, days_back, first_rows
 
 
 def _human(rows: DataFrame, as_of: datetime | None = None, days: int | None = None) -> DataFrame:
@@ -31,14 +31,15 @@ def _seconds(ms: str) -> Column:
     return F.round(F.avg(ms) / 1000.0, 1)
 
 
-def views_per_day(views: DataFrame) -> DataFrame:
-    return (
+def views_per_day(views: DataFrame, *, days: int | None = None) -> DataFrame:
+    """Newest day first; every day with views, or the newest ``days`` of them."""
+    per_day = (
         _human(views)
         .groupBy(day_text(F.col("created_at")).alias("day"))
         .agg(F.count("*").alias("views"))
         .orderBy(F.desc("day"))
-        .limit(30)
     )
+    return first_rows(per_day, days)
 
 
 def top_pages_week(views: DataFrame, *, as_of: datetime | None = None) -> DataFrame:

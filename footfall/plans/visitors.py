@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import display_time
@@ -12,8 +12,8 @@ from footfall.functions.predicates import (
     SUSPECT_SCORE,
     at,
     below_bot,
-    clamp,
     contains_text,
+    first_rows,
     is_bot,
     is_clean,
     score_band,
@@ -44,37 +44,53 @@ def suspicious_visitors(
     min_score: int = SUSPECT_SCORE,
     limit: int = 50,
 ) -> DataFrame:
-    """Visitors by highest score. The limit is applied before the exclusion flag
-    is joined, so that join sees at most 200 rows."""
+    """The ``limit`` visitors with the highest scores.
+
+    They are ranked on plain numbers first; the lists of sites, devices and so on
+    are built for the chosen visitors only.
+    """
     browser = F.concat("browser_name", F.lit(" "), "browser_version")
     order = (F.desc("max_bot_score"), F.desc("pageviews"), F.col("visitor_id"))
+    suspects = where_equal(views.filter(F.col("bot_score") >= min_score), site_id=site)
     top = (
-        where_equal(views.filter(F.col("bot_score") >= min_score), site_id=site)
-        .groupBy("visitor_id")
+        suspects.groupBy("visitor_id")
         .agg(
             F.max("bot_score").alias("max_bot_score"),
             F.count("*").alias("pageviews"),
             F.min("created_at").alias("first_seen"),
             F.max("created_at").alias("last_seen"),
+        )
+        .orderBy(*order)
+        .limit(limit)
+    )
+    same = lambda a, b: a["visitor_id"].eqNullSafe(b["visitor_id"])
+    chosen = top.select("visitor_id")
+    lists = (
+        suspects.join(chosen, same(suspects, chosen), "left_semi")
+        .groupBy(F.col("visitor_id").alias("_visitor"))
+        .agg(
             _distinct_list("site_id").alias("sites"),
             _distinct_list("device_type").alias("devices"),
             _distinct_list("country_code").alias("countries"),
             _distinct_list("os_name").alias("os_names"),
             _distinct_list(browser).alias("browsers"),
         )
-        .orderBy(*order)
-        .limit(clamp(limit, 1, 200))
     )
     return (
-        _flag_excluded(top, excluded)
+        _flag_excluded(
+            top.join(lists, F.col("visitor_id").eqNullSafe(F.col("_visitor")), "left").drop("_visitor"),
+            excluded,
+        )
         .withColumn("band", score_band(F.col("max_bot_score")))
         .orderBy(*order)
     )
 
 
-def excluded_report(excluded: DataFrame, views: DataFrame, *, limit: int = 500) -> DataFrame:
-    """The newest exclusions with what those visitors did."""
-    newest = excluded.orderBy(F.desc("created_at"), "visitor_id").limit(limit)
+def excluded_report(
+    excluded: DataFrame, views: DataFrame, *, limit: int | None = None
+) -> DataFrame:
+    """All exclusions, or the newest ``limit``, with what those visitors did."""
+    newest = first_rows(excluded.orderBy(F.desc("created_at"), "visitor_id"), limit)
     stats = (
         views.join(newest.select("visitor_id"), "visitor_id", "left_semi")
         .groupBy("visitor_id")
@@ -95,31 +111,36 @@ HISTORY_COLUMNS = (
 
 
 def visitor_history(
-    views: DataFrame, events: DataFrame, excluded: DataFrame, *, visitor_id: str
+    views: DataFrame,
+    events: DataFrame,
+    excluded: DataFrame,
+    *,
+    visitor_id: str,
+    newest: int | None = None,
 ) -> DataFrame:
-    """The 100 newest views and the 100 newest events of one visitor."""
+    """Views and events of one visitor: all, or the ``newest`` of each."""
     mine = F.col("visitor_id") == visitor_id
-    newest = (F.desc("created_at"), F.col("id"))
-    seen = views.filter(mine).orderBy(*newest).limit(100).withColumn("kind", F.lit("view"))
-    done = events.filter(mine).orderBy(*newest).limit(100).withColumn("kind", F.lit("event"))
+
+    def listed(facts: DataFrame, kind: str) -> DataFrame:
+        rows = facts.filter(mine)
+        if newest is not None:
+            rows = rows.orderBy(F.desc("created_at"), "id").limit(newest)
+        return rows.withColumn("kind", F.lit(kind))
+
+    seen, done = listed(views, "view"), listed(events, "event")
     rows = seen.unionByName(done, allowMissingColumns=True)
     return _flag_excluded(rows, excluded.filter(mine)).select(*HISTORY_COLUMNS)
 
 
 def visitor_summary(views: DataFrame, events: DataFrame, *, visitor_id: str) -> DataFrame:
-    """Totals and attribute sets over the 200 newest views and events."""
+    """Totals and attribute sets over all views and events of one visitor."""
     mine = F.col("visitor_id") == visitor_id
-    newest = (F.desc("created_at"), F.col("id"))
     seen = (
         views.filter(mine)
-        .orderBy(*newest)
-        .limit(200)
         .select("created_at", "interaction_ms", "device_type", "country_code", "site_id")
         .withColumn("kind", F.lit("view"))
     )
-    done = (
-        events.filter(mine).orderBy(*newest).limit(200).select(F.lit("event").alias("kind"))
-    )
+    done = events.filter(mine).select(F.lit("event").alias("kind"))
     given = lambda c: F.nullif(F.col(c), F.lit(""))
     is_view = F.col("kind") == "view"
     return seen.unionByName(done, allowMissingColumns=True).agg(
@@ -306,40 +327,50 @@ def facets(views: DataFrame, *, current_site: str | None = None) -> DataFrame:
 def daily_summary(events: DataFrame, *, day: date) -> DataFrame:
     """Events, sessions, ten top paths and types and sessions per device of one day.
 
-    Each event shrinks to its (type, path, device, session) first; the five
-    sections are then aggregates of that smaller table in long form.
+    One scan: each event becomes a row per section, and these shrink in every task
+    to one row per section, name and session before they are shuffled.
     """
-    rows = events.filter(
-        (F.col("created_at") >= at(day)) & (F.col("created_at") < at(day + timedelta(days=1)))
-    ).select(
-        "event_type", "device_type", "session_id",
-        F.get_json_object("data", "$.path").alias("path"),
-    )
+    nothing = F.lit(None).cast("string")
 
-    def top(column: str, section: str) -> DataFrame:
-        return (
-            rows.filter(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("name"))
-            .agg(F.count("*").alias("n"))
-            .orderBy(F.desc("n"), "name")
-            .limit(10)
-            .select(F.lit(section).alias("section"), "name", "n")
-        )
+    def part(section: str, name: Column, session: Column = nothing) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.alias("name"), session.alias("session"))
 
-    total = rows.agg(F.count("*").alias("n")).select(
-        F.lit("total_events").alias("section"), F.lit(None).cast("string").alias("name"), "n"
-    )
-    sessions = rows.agg(F.countDistinct("session_id").alias("n")).select(
-        F.lit("unique_sessions").alias("section"), F.lit(None).cast("string").alias("name"), "n"
+    session = F.col("session_id")
+    long = (
+        events.filter(
+            (F.col("created_at") >= at(day)) & (F.col("created_at") < at(day + timedelta(days=1)))
+        )
+        .select(
+            F.inline(
+                F.array(
+                    part("total_events", nothing),
+                    part("top_paths", F.get_json_object("data", "$.path")),
+                    part("top_event_types", F.col("event_type")),
+                    part("unique_sessions", nothing, session),
+                    part("device_breakdown", F.col("device_type"), session),
+                )
+            )
+        )
+        .groupBy("section", "name", "session")
+        .agg(F.count("*").alias("rows"))
     )
-    devices = (
-        rows.groupBy(F.col("device_type").alias("name"))
-        .agg(F.countDistinct("session_id").alias("n"))
-        .select(F.lit("device_breakdown").alias("section"), "name", "n")
+    by_session = F.col("section").isin("unique_sessions", "device_breakdown")
+    counted = (
+        long.groupBy("section", "name")
+        .agg(F.count("session").alias("sessions"), F.sum("rows").alias("rows"))
+        .select("section", "name", F.when(by_session, F.col("sessions")).otherwise(F.col("rows")).alias("n"))
     )
-    return (
-        total.union(sessions)
-        .union(top("path", "top_paths"))
-        .union(top("event_type", "top_event_types"))
-        .union(devices)
+    ranked = F.col("section").isin("top_paths", "top_event_types")
+    # names of the other sections stand alone, so one rank filter fits all
+    place = Window.partitionBy("section", F.when(~ranked, F.col("name"))).orderBy(F.desc("n"), "name")
+    found = (
+        counted.filter(~ranked | F.col("name").isNotNull())
+        .withColumn("_place", F.row_number().over(place))
+        .filter(F.col("_place") <= 10)
+        .drop("_place")
     )
+    # a day without events still has its two totals
+    totals = found.sparkSession.createDataFrame(
+        [("total_events",), ("unique_sessions",)], "section string"
+    ).select("section", nothing.alias("name"), F.lit(0).cast("bigint").alias("n"))
+    return found.unionByName(totals).groupBy("section", "name").agg(F.max("n").alias("n"))

@@ -15,6 +15,8 @@ _local_scratch: dict[str, str] = {}
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # of a name given twice in a JSON object the last counts, as in JavaScript
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

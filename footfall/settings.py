@@ -31,6 +31,14 @@ class Settings:
     allowed_sites: tuple[str, ...] = ()  # empty accepts all sites
     ignored_sites: tuple[str, ...] = ("smoke-test",)
     bot_agents: tuple[str, ...] = KNOWN_BOT_AGENTS
+    # what a sender may post; what goes beyond is rejected with a reason
+    post_bytes: int = 16_384
+    post_events: int = 20
+    event_data_length: int = 2_048
+    batch_length: int = 1_048_576
+    batch_events: int = 100
+    metric_bytes: int = 65_536
+    metrics: int = 100
     # header trust
     behind_cloudflare: bool = False
     trust_proxy: bool = False

@@ -5,34 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_PATTERNS = 20_000
+MOST_ENTRIES = 20_000
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
-def _short_list(df: DataFrame, column: str) -> tuple[str, ...]:
-    """A configuration-sized list; refuses a feed too large to be one."""
-    rows = df.select(column).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"feed has more than {MAX_PATTERNS} entries")
+def _short_list(df: DataFrame, column: str, most: int) -> tuple[str, ...]:
+    """A configuration-sized list; a feed of more than ``most`` entries is an error,
+    never a shorter list."""
+    rows = df.select(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"feed has more than {most} entries")
     return tuple(r[0] for r in rows)
 
 
-def crawler_patterns(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """File: a list of objects with a ``pattern``."""
+def crawler_patterns(spark: SparkSession, path: str, *, most: int = MOST_ENTRIES) -> tuple[str, ...]:
+    """File: a list of objects with a ``pattern``. ``most`` bounds what the driver holds."""
     feed = _json(spark, path, "pattern STRING").filter("pattern IS NOT NULL")
-    return _short_list(feed, "pattern")
+    return _short_list(feed, "pattern", most)
 
 
-def ai_names(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """File: one object whose keys are the names."""
+def ai_names(spark: SparkSession, path: str, *, most: int = MOST_ENTRIES) -> tuple[str, ...]:
+    """File: one object whose keys are the names. ``most`` bounds what the driver holds."""
     text = spark.read.text(path, wholetext=True)
     names = text.select(
         F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("name")
     ).filter("name <> ''")
-    return _short_list(names, "name")
+    return _short_list(names, "name", most)
 
 
 def aws_prefixes(spark: SparkSession, path: str) -> DataFrame:

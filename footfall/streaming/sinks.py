@@ -1,6 +1,6 @@
 """Idempotent micro-batch output and stream runs.
 
-Every micro-batch owns one folder, so a batch repeated after a failure replaces
+Every micro-batch owns its folders, so a batch repeated after a failure replaces
 its own output and nothing else.
 """
 
@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from footfall.sources.tables import with_day
+
 VIEW_FLUSH = "15 seconds"
 EVENT_FLUSH = "10 seconds"
 
@@ -21,16 +22,38 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def write_facts(df: DataFrame, path: str, batch_id: int, *, ts: str = "created_at") -> None:
+    """The batch's part of a fact table by site and day, the table that reports read.
+    Every task writes the rows it has; a repeated batch replaces its own folders."""
+    (
+        with_day(df, ts).withColumn("batch_id", F.lit(batch_id))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("site_id", "event_date", "batch_id").parquet(path)
+    )
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def read_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What the batch before left behind, None for the first batch."""
-    try:
-        return spark.read.parquet(f"{path}/batch_id={batch_id - 1}")
-    except AnalysisException:
-        return None
+    """What the batch before left behind, None for the first batch. A later batch
+    whose state is missing raises: going on would count everything from the start."""
+    return None if batch_id == 0 else spark.read.parquet(f"{path}/batch_id={batch_id - 1}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the job's own, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_state(df: DataFrame, path: str, batch_id: int) -> None:
+    """State after the batch. That of the batch before stays, in case this one is
+    repeated; the one before that is needed no more."""
+    write_batch(df, path, batch_id)
+    if batch_id >= 2:
+        remove(df.sparkSession, f"{path}/batch_id={batch_id - 2}")
 
 
 def run_batches(
@@ -49,13 +72,3 @@ def run_batches(
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
-
-
-def latest_per_key(rows: DataFrame, *keys: str) -> DataFrame:
-    """The newest version of every key of an update-mode result."""
-    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return (
-        rows.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-        .select(*keys, "_v.*")
-    )

@@ -71,12 +71,12 @@ def random_hits(seed, keys=4, size=600, span=20_000):
     return [(i, k, NOW + timedelta(seconds=s)) for i, (k, s) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("fold_limit", [10_000, 50, 0])
-def test_anchored_windows_match_a_plain_scan(spark, fold_limit):
+@pytest.mark.parametrize("chunk_seconds", [None, 300, 1500, 86_400])
+def test_anchored_windows_match_a_plain_scan(spark, chunk_seconds):
     rows = random_hits(7)
     table = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz")
     got = anchored_count(
-        table, keys=["k"], ts="ts", tiebreak="id", seconds=300, name="n", fold_limit=fold_limit, chunk_seconds=1500
+        table, keys=["k"], ts="ts", tiebreak="id", seconds=300, name="n", chunk_seconds=chunk_seconds
     )
     want = {}
     for key in {k for _, k, _ in rows}:
