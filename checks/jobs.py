@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import timedelta
 from functools import lru_cache
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from checks.adapters import as_of, table
 from checks.reports import CLEAN, NOW, register, when
+from footfall.functions.identity import ip_hash
 from footfall.functions.network import client_ip
 from footfall.plans import (
     anonymize,
@@ -28,7 +30,7 @@ from footfall.plans import (
 from footfall.plans.threats import Feeds
 from footfall.session import shared_dir
 from footfall.settings import Settings
-from footfall.sources.tables import insert_absent, upsert
+from footfall.sources.tables import append_facts, insert_absent, read_table, upsert
 
 SECRET = "check-secret"
 SETTINGS = Settings(
@@ -45,7 +47,7 @@ SETTINGS = Settings(
     confirmed_seconds=12 * 3600,
     discard_threshold=90,
 )
-PATTERNS = ("Feed[A-Z]heck", "(broken", "spider")
+PATTERNS = ("(?<name>Feed)[A-Z]heck", "(broken", "(?P<no>curl)", "(?<name>s)pider")
 AI_NAMES = ("U; And", "C++bot")
 
 # --- rollup and retention -----------------------------------------------------------
@@ -396,11 +398,15 @@ def feeds(spark: SparkSession, sf: str) -> Feeds:
     return Feeds(PATTERNS, AI_NAMES, *ranges)
 
 
+def hashed(markers: DataFrame) -> DataFrame:
+    return markers.select(ip_hash(SECRET, F.col("ip")).alias("ip_hash"), "kind", "ts")
+
+
 def dims(spark: SparkSession, sf: str) -> enrich.Dimensions:
     return enrich.Dimensions(
         campaigns=table(spark, sf, "campaigns"),
         excluded=table(spark, sf, "excluded"),
-        markers=table(spark, sf, "markers"),
+        markers=hashed(table(spark, sf, "markers")),
         feeds=feeds(spark, sf),
     )
 
@@ -719,6 +725,61 @@ register(
     *SWEEP_TABLES,
     before=JUDGED,
 )
+register(
+    "J09_touched_partitions",
+    lambda spark, sf: correlate.touched_partitions(table(spark, sf, "views"), sweep(spark, sf).penalties),
+    f"""SELECT site_id, strftime(created_at, '%Y-%m-%d') AS event_date, count(*) AS rows
+     FROM views v WHERE {CLEAN} AND {unmarked('correlated')} AND EXISTS (
+      SELECT 1 FROM penalties p WHERE p.site_id = v.site_id AND p.visitor_id = v.visitor_id) GROUP BY ALL""",
+    *SWEEP_TABLES,
+    before=JUDGED,
+)
+
+
+def swept_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored views after a sweep of the stored tables."""
+    base = shared_dir(spark, "facts")
+    append_facts(table(spark, sf, "views"), f"{base}/views")
+    append_facts(table(spark, sf, "sem_events"), f"{base}/events")
+    correlate.sweep_stored(
+        spark, f"{base}/views", f"{base}/events", prints(spark, sf), stage_dir=f"{base}/stage",
+        as_of=as_of(sf), window_seconds=WINDOW, min_seconds=QUIET[0], max_seconds=QUIET[1],
+    )
+    return read_table(spark, f"{base}/views", "visitor_views").select(*SCORE)
+
+
+register("J09_stored_views", swept_again, penalised("judged"), *SWEEP_TABLES, before=JUDGED)
+
+
+def feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """Views scored with the markers of a sweep over the prints of the same hits."""
+    first = pageviews(spark, sf)
+    recent = correlate.recent_prints(first.prints, as_of=as_of(sf, "hits", "ts"), seconds=WINDOW)
+    found = correlate.confirmed_markers(recent, correlate.find_clusters(recent), as_of(sf, "hits", "ts") - timedelta(days=1))
+    again = replace(dims(spark, sf), markers=found)
+    views = enrich.enrich_hits(table(spark, sf, "hits"), again, SETTINGS, stage_dir=shared_dir(spark, "hits")).views
+    return views.select(*SCORE)
+
+
+HIT_NOW = "(SELECT max(ts) FROM hits)"
+FEEDBACK = f"""{VIEW_CTES},
+printed AS (
+ SELECT ip, site_id, ts, coalesce(f_bot_ip, 0) >= 50 AS tainted, concat_ws('|', coalesce(os_name, 'unknown'), coalesce(browser_name, 'unknown'),
+  coalesce(browser_version, 'unknown'), coalesce(screen_width, 0) || 'x' || coalesce(screen_height, 0), coalesce(country, 'unknown'),
+  coalesce(accept_language, 'unknown')) AS fp FROM finished WHERE ts >= {HIT_NOW} - INTERVAL {WINDOW} SECOND),
+grouped AS (
+ SELECT site_id, fp FROM printed GROUP BY site_id, fp HAVING count(DISTINCT ip) >= CASE WHEN bool_or(tainted) THEN 4 ELSE 6 END),
+found AS (
+ SELECT DISTINCT ip, 'confirmed' AS kind, {HIT_NOW} - INTERVAL 1 DAY AS ts FROM printed JOIN grouped USING (site_id, fp)),
+twice AS (SELECT * FROM counted),
+{scored('twice', True, BURST, penalty('twice', 'found'))}"""
+register(
+    "J09_feedback",
+    feedback,
+    "SELECT hit_id AS id, bot_score, bot_score_detail FROM twice_scored WHERE bot_score < 90",
+    *HIT_TABLES,
+    before=FEEDBACK,
+)
 register(
     "J10_no_event_penalty",
     lambda spark, sf: correlate.penalise_no_events(
@@ -813,6 +874,22 @@ register(
     "hits", "prefixes",
     before=f"{{tables}}, {RANGES}",
 )
+def guarded(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "prefixes")
+    of = lambda p: old.filter(F.col("provider") == p)
+    fresh = {"aws": of("aws").filter("cidr LIKE '10.0.0.1%'"), "gcp": of("gcp").filter("cidr LIKE '203.%'")}
+    return threats.accept_feeds(fresh, old, shrink=0.2)
+
+
+register(
+    "U05_feed_guard",
+    guarded,
+    """, fresh AS (SELECT * FROM prefixes WHERE (provider = 'aws' AND cidr LIKE '10.0.0.1%') OR (provider = 'gcp' AND cidr LIKE '203.%')),
+     taken AS (SELECT o.provider, (SELECT count(*) FROM fresh f WHERE f.provider = o.provider) AS n, count(*) AS m FROM prefixes o GROUP BY 1)
+     SELECT f.provider, f.cidr FROM fresh f JOIN taken t USING (provider) WHERE n > 0 AND n >= 0.2 * m
+     UNION ALL SELECT o.provider, o.cidr FROM prefixes o JOIN taken t USING (provider) WHERE NOT (n > 0 AND n >= 0.2 * m)""",
+    "prefixes",
+)
 register(
     "J13_merged_ranges",
     lambda spark, sf: threats.merged_v4(table(spark, sf, "prefixes")),

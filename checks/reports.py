@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.adapters import as_of, ctes, table
+from footfall.operators.paging import onward
 from footfall.plans import campaigns, experiments, live, overview, performance, samples, visitors
 from footfall.plans.rollup import rollup_days
 
@@ -502,6 +503,22 @@ register(
       ORDER BY created_at DESC, id LIMIT 25 OFFSET 25) t""",
     "views",
 )
+
+
+def next_views(spark: SparkSession, sf: str) -> DataFrame:
+    rows = visitors.pageview_list(table(spark, sf, "views"), bot="clean", search="DOCS/p")
+    last = onward(rows, "created_at", "id").collect()[-1]
+    return onward(rows, "created_at", "id", (last.created_at, last.id)).select("id", "path", "created_at")
+
+
+register(
+    "L05_next_page",
+    next_views,
+    f"""SELECT id, path, {when('t.created_at')} AS created_at
+     FROM (SELECT * FROM views WHERE {CLEAN} AND (visitor_id ILIKE '%DOCS/p%' OR path ILIKE '%DOCS/p%')
+      ORDER BY created_at DESC, id LIMIT 25 OFFSET 25) t""",
+    "views",
+)
 register(
     "P40_events_listing",
     lambda spark, sf: visitors.events_listing(

@@ -51,6 +51,36 @@ def days_back(as_of: datetime | None, days: int) -> date:
     return now_utc(as_of).date() - timedelta(days=days)
 
 
+def within(
+    df: DataFrame,
+    first: datetime | date | None = None,
+    before: datetime | date | None = None,
+    *,
+    ts: str = "created_at",
+    day: str = "event_date",
+) -> DataFrame:
+    """Rows from ``first`` on and before ``before``. On a table stored by day the same
+    bounds hold for its day column, so only the folders of those days are read."""
+    by_day = day in df.columns
+    if first is not None:
+        df = df.filter(F.col(ts) >= at(first))
+        if by_day:
+            df = df.filter(F.col(day) >= F.lit(_day(first)))
+    if before is not None:
+        df = df.filter(F.col(ts) < at(before))
+        if by_day:
+            df = df.filter(F.col(day) <= F.lit(_day(before)))
+    return df
+
+
+def _day(moment: datetime | date) -> date:
+    return moment.date() if isinstance(moment, datetime) else moment
+
+
+def ago(as_of: datetime | None, **span: int) -> datetime:
+    return now_utc(as_of) - timedelta(**span)
+
+
 def since(ts: str, as_of: datetime | None, **span: int) -> Column:
     return F.col(ts) >= at(now_utc(as_of) - timedelta(**span))
 

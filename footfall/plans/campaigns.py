@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import day_text
-from footfall.functions.predicates import at, days_back, first_rows, is_clean
+from footfall.functions.predicates import days_back, first_rows, is_clean, within
 from footfall.functions.statistics import ratio
 
 BREAKDOWN_ROWS = 20
@@ -16,7 +16,7 @@ BREAKDOWN_ROWS = 20
 
 def _clean_since(df: DataFrame, days: int, as_of: datetime | None) -> DataFrame:
     first = days_back(as_of, days)
-    return df.filter((F.col("created_at") >= at(first)) & is_clean())
+    return within(df, first).filter(is_clean())
 
 
 def campaign_stats(

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.functions.predicates import at, is_clean, now_utc
+from footfall.functions.predicates import ago, at, is_clean, now_utc, within
+from footfall.sources.tables import overwrite_partitions, remove
 
 # Cluster sizes, points, ages.
 CLUSTER, TAINTED_CLUSTER, LARGE_CLUSTER = 6, 4, 8
@@ -22,6 +23,7 @@ class Sweep:
     views: DataFrame
     events: DataFrame
     confirmed: DataFrame  # ip_hash, kind, ts
+    penalties: DataFrame  # site_id, visitor_id, penalty, _detail
 
 
 def _unmarked(marker: str) -> Column:
@@ -51,13 +53,11 @@ def penalise_no_events(
 ) -> DataFrame:
     """+15, once, for clean views of a recent age whose visitor has no event on
     the site. The event table is first reduced to the few visitors in question."""
-    now = now_utc(as_of)
-    recent = (F.col("created_at") >= at(now - timedelta(seconds=max_seconds))) & (
-        F.col("created_at") <= at(now - timedelta(seconds=min_seconds))
-    )
+    oldest, newest = ago(as_of, seconds=max_seconds), ago(as_of, seconds=min_seconds)
+    recent = F.col("created_at").between(at(oldest), at(newest))
     judged = F.coalesce(recent & is_clean() & _unmarked("no_events"), F.lit(False))
     who = ["visitor_id", "site_id"]
-    candidates = views.filter(judged)
+    candidates = within(views.filter(judged), oldest)
     active = (
         events.select(*who)
         .join(candidates.select(*who).distinct(), who, "left_semi")
@@ -100,7 +100,7 @@ def fingerprint_text() -> Column:
 def recent_prints(
     prints: DataFrame, *, as_of: datetime | None = None, seconds: int = PRINT_SECONDS
 ) -> DataFrame:
-    start = at(now_utc(as_of) - timedelta(seconds=seconds))
+    start = at(ago(as_of, seconds=seconds))
     return prints.filter(F.col("ts") >= start).withColumn("fp", fingerprint_text())
 
 
@@ -145,23 +145,35 @@ def cluster_penalties(recent: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def apply_penalties(facts: DataFrame, penalties: DataFrame) -> DataFrame:
-    """Raise clean, unmarked rows of the penalised visitors and mark them."""
-    hit = F.col("penalty").isNotNull() & is_clean() & _unmarked("correlated")
-    return (
-        facts.join(penalties, ["site_id", "visitor_id"], "left")
-        .withColumn("_hit", hit)
+    """Raise clean, unmarked rows of the penalised visitors and mark them. Only rows
+    that can be raised meet the penalties; rows without a visitor never do."""
+    judged = _can_be_raised("correlated")
+    hit = F.col("penalty").isNotNull()
+    raised = (
+        facts.filter(judged)
+        .join(penalties, ["site_id", "visitor_id"], "left")
         .withColumn(
             "bot_score_detail",
-            F.when(F.col("_hit"), _with_marker("correlated", F.col("_detail"))).otherwise(
-                F.col("bot_score_detail")
-            ),
-        )
-        .withColumn(
-            "bot_score",
-            F.when(F.col("_hit"), _raised(F.col("penalty"))).otherwise(F.col("bot_score")),
+            F.when(hit, _with_marker("correlated", F.col("_detail"))).otherwise(F.col("bot_score_detail")),
         )
+        .withColumn("bot_score", F.when(hit, _raised(F.col("penalty"))).otherwise(F.col("bot_score")))
         .select(*facts.columns)
     )
+    return facts.filter(~judged).unionByName(raised)
+
+
+def _can_be_raised(marker: str) -> Column:
+    return F.coalesce(F.col("visitor_id").isNotNull() & is_clean() & _unmarked(marker), F.lit(False))
+
+
+def touched_partitions(facts: DataFrame, penalties: DataFrame) -> DataFrame:
+    """Site and day of the rows that ``apply_penalties`` would raise, with their number."""
+    return (
+        facts.filter(_can_be_raised("correlated"))
+        .join(penalties.select("site_id", "visitor_id"), ["site_id", "visitor_id"], "left_semi")
+        .groupBy("site_id", F.to_date("created_at").alias("event_date"))
+        .agg(F.count("*").alias("rows"))
+    )
 
 
 def confirmed_markers(recent: DataFrame, clusters: DataFrame, as_of: datetime | None) -> DataFrame:
@@ -197,4 +209,55 @@ def sweep(
         views=apply_penalties(judged, penalties),
         events=apply_penalties(events, penalties),
         confirmed=confirmed_markers(recent, clusters, as_of),
+        penalties=penalties,
+    )
+
+
+STORED_BY = ("site_id", "event_date")
+
+
+def _rewritten(path: str, facts: DataFrame, touched: DataFrame, change, stage: str) -> None:
+    """Rewrite the touched site and day folders of a stored table with ``change``
+    applied. The new rows are staged first: nothing reads a folder it overwrites."""
+    spark = facts.sparkSession
+    change(facts.join(touched.select(*STORED_BY), list(STORED_BY), "left_semi")).write.mode("overwrite").parquet(stage)
+    folders = [c for c in (*STORED_BY, "batch_id") if c in facts.columns]
+    overwrite_partitions(spark.read.schema(facts.schema).parquet(stage), path, *folders)
+    remove(spark, stage)
+
+
+def sweep_stored(
+    spark: SparkSession,
+    views_path: str,
+    events_path: str,
+    prints: DataFrame,
+    *,
+    stage_dir: str,
+    as_of: datetime | None = None,
+    window_seconds: int = PRINT_SECONDS,
+    min_seconds: int = NO_EVENT_MIN_SECONDS,
+    max_seconds: int = NO_EVENT_MAX_SECONDS,
+) -> DataFrame:
+    """One correlation run over stored tables by site and day. Only the folders with
+    rows to raise are read whole and written again. Returns the confirmed markers
+    (ip_hash, kind, ts), which the ingest jobs take as they are."""
+    recent = recent_prints(prints, as_of=as_of, seconds=window_seconds)
+    clusters = find_clusters(recent)
+    penalties = cluster_penalties(recent, clusters)
+    views, events = spark.read.parquet(views_path), spark.read.parquet(events_path)
+    span = dict(as_of=as_of, min_seconds=min_seconds, max_seconds=max_seconds)
+
+    oldest = ago(as_of, seconds=max_seconds)
+    aged = within(views, oldest).filter(F.col("created_at") <= at(ago(as_of, seconds=min_seconds)))
+    aged = aged.filter(_can_be_raised("no_events")).select(*STORED_BY).distinct()
+    clustered = touched_partitions(views, penalties).select(*STORED_BY)
+    _rewritten(
+        views_path, views, aged.unionByName(clustered).distinct(),
+        lambda rows: apply_penalties(penalise_no_events(rows, events, **span), penalties),
+        f"{stage_dir}/views",
+    )
+    _rewritten(
+        events_path, events, touched_partitions(events, penalties),
+        lambda rows: apply_penalties(rows, penalties), f"{stage_dir}/events",
     )
+    return confirmed_markers(recent, clusters, as_of)

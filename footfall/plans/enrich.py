@@ -49,7 +49,7 @@ class Dimensions:
 
     campaigns: DataFrame
     excluded: DataFrame
-    markers: DataFrame | None = None  # ip, kind, ts
+    markers: DataFrame | None = None  # ip_hash, kind, ts
     feeds: Feeds | None = None
 
 
@@ -158,7 +158,8 @@ def with_signals(
 ) -> DataFrame:
     """Address reputation and feed matches, where the tables are given."""
     if dims.markers is not None:
-        rows = with_ip_penalty(rows, dims.markers, settings)
+        hashed = rows.withColumn("ip_hash", ip_hash(settings.secret, F.col("ip")))
+        rows = with_ip_penalty(hashed, dims.markers, settings, key="ip_hash").drop("ip_hash")
     if dims.feeds is not None:
         rows = with_threat_flags(rows, dims.feeds, agents_of=raw)
     return rows

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import hour_text, minute_text
-from footfall.functions.predicates import is_bot, is_clean, since
+from footfall.functions.predicates import ago, is_bot, is_clean, within
 
 
 def _site_since(df: DataFrame, site: str, as_of: datetime | None, **span: int) -> DataFrame:
-    return df.filter((F.col("site_id") == site) & since("created_at", as_of, **span))
+    return within(df, ago(as_of, **span)).filter(F.col("site_id") == site)
 
 
 def realtime_active(
@@ -137,13 +137,13 @@ def _traffic(views: DataFrame) -> DataFrame:
 def summary_24h(
     views: DataFrame, *, as_of: datetime | None = None, hours: int = 24
 ) -> DataFrame:
-    return _traffic(views.filter(since("created_at", as_of, hours=hours)))
+    return _traffic(within(views, ago(as_of, hours=hours)))
 
 
 def live_stats(
     views: DataFrame, *, as_of: datetime | None = None, minutes: int = 10
 ) -> DataFrame:
-    recent = views.filter(since("created_at", as_of, minutes=minutes))
+    recent = within(views, ago(as_of, minutes=minutes))
     return _traffic(recent).select("human_views", "bot_views", "unique_visitors")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import resolution_label
-from footfall.functions.predicates import at, days_back, is_clean, now_utc
+from footfall.functions.predicates import days_back, is_clean, now_utc, within
 
 
 def _history(daily: DataFrame, site: str, days: int, as_of: datetime | None) -> DataFrame:
@@ -23,16 +23,12 @@ def _closed_days(daily: DataFrame, site: str, days: int, as_of: datetime | None)
 
 def _today(views: DataFrame, site: str, as_of: datetime | None) -> DataFrame:
     today = now_utc(as_of).date()
-    return views.filter(
-        (F.col("site_id") == site) & (F.col("created_at") >= at(today)) & is_clean()
-    )
+    return within(views, today).filter((F.col("site_id") == site) & is_clean())
 
 
 def _recent(views: DataFrame, site: str, days: int, as_of: datetime | None) -> DataFrame:
     first = days_back(as_of, days)
-    return views.filter(
-        (F.col("site_id") == site) & (F.col("created_at") >= at(first)) & is_clean()
-    )
+    return within(views, first).filter((F.col("site_id") == site) & is_clean())
 
 
 def overview_visits(

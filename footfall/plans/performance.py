@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.predicates import at, since, where_equal
+from footfall.functions.predicates import ago, at, since, where_equal, within
+from footfall.operators.ranks import nearest_ranks
 
 
 def query_metrics(
@@ -43,39 +44,42 @@ def metric_trends(
 def request_stats(
     requests: DataFrame, *, as_of: datetime | None = None, minutes: int = 5
 ) -> DataFrame:
-    """Counters over the whole log, latency over the last minutes, in one scan.
+    """Counters over the whole log, latency over the last minutes.
 
-    Percentiles are nearest rank and see only the durations inside the window.
+    Percentiles are exact nearest ranks of the durations inside the window.
     """
     recent = since("ts", as_of, minutes=minutes)
     rows = requests.select("status", F.when(recent, F.col("duration_ms")).alias("duration"))
-
-    def nearest_rank(p: float) -> Column:
-        value = F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY duration)")
-        return F.coalesce(value, F.lit(0.0))
-
+    inside = within(requests, ago(as_of, minutes=minutes), ts="ts")
+    ranks = nearest_ranks(inside, "duration_ms", (0.5, 0.95, 0.99))
     errors = F.count_if(F.col("status") >= 500)
-    return rows.agg(
+    counted = rows.agg(
         F.count("*").alias("total_requests"),
         errors.alias("total_errors"),
         F.count("duration").alias("recent_requests"),
         F.coalesce(F.round(F.avg("duration"), 2), F.lit(0.0)).alias("avg_response_ms"),
-        nearest_rank(0.5).alias("p50_ms"),
-        nearest_rank(0.95).alias("p95_ms"),
-        nearest_rank(0.99).alias("p99_ms"),
         F.coalesce(F.max("duration"), F.lit(0.0)).alias("max_ms"),
         F.round(F.count("duration") / F.lit(minutes * 60.0), 2).alias("rps"),
         F.coalesce(
             F.round(errors * 100.0 / F.nullif(F.count("*"), F.lit(0)), 2), F.lit(0.0)
         ).alias("error_rate"),
     )
+    # one row each
+    percentiles = [F.coalesce(f"p{i}", F.lit(0.0)).alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))]
+    return (
+        counted.withColumn("_one", F.lit(1)).join(ranks.select(*percentiles, F.lit(1).alias("_one")), "_one")
+        .select(
+            "total_requests", "total_errors", "recent_requests", "avg_response_ms",
+            "p50_ms", "p95_ms", "p99_ms", "max_ms", "rps", "error_rate",
+        )
+    )
 
 
 def slow_paths(
     requests: DataFrame, *, as_of: datetime | None = None, minutes: int = 5
 ) -> DataFrame:
     return (
-        requests.filter(since("ts", as_of, minutes=minutes))
+        within(requests, ago(as_of, minutes=minutes), ts="ts")
         .groupBy("path")
         .agg(
             F.floor(F.sum("duration_ms") / F.count("*") + 0.5).cast("bigint").alias("avg_ms"),

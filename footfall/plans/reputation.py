@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.functions.identity import ip_hash
 from footfall.functions.useragent import matches_any
 from footfall.operators.windows import anchored_count, latest_within, seen_within
 from footfall.plans.scoring import CONFIRMED_IP, SUSPECTED_IP
@@ -97,8 +98,10 @@ def with_ip_penalty(
 
 
 def suspected_markers(requests: DataFrame, settings: Settings) -> DataFrame:
-    """Addresses that any request showed a known bot agent from."""
+    """Markers of addresses that any request showed a known bot agent from, by address
+    hash as those of the correlator."""
     seen = requests.filter(
         matches_any(F.col("user_agent"), settings.bot_agents) & (F.col("ip") != "unknown")
     )
-    return seen.select("ip", F.lit("suspected").alias("kind"), "ts")
+    hashed = ip_hash(settings.secret, F.col("ip")).alias("ip_hash")
+    return seen.select(hashed, F.lit("suspected").alias("kind"), "ts")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.functions.predicates import at, days_back, is_bot, is_clean
+from footfall.functions.predicates import at, days_back, is_bot, is_clean, within
+from footfall.session import shared_dir
+from footfall.sources.tables import overwrite_partitions, remove
 
 ROLLUP_DAYS = 730
 
@@ -84,3 +86,42 @@ def purge_counts(
         "daily_deleted", "perf_deleted",
     )
     return rows.agg(*[F.sum(n).alias(n) for n in names])
+
+
+def purge_stored(
+    spark: SparkSession,
+    path: str,
+    *,
+    as_of: datetime | None = None,
+    days: int = 90,
+    bot_days: int | None = None,
+) -> int:
+    """Delete the expired rows of a fact table stored by site and day; their number.
+
+    Only folders of days that can hold expired rows are read. A folder that keeps some
+    rows is written again, through a staged copy; one that keeps none is removed.
+    """
+    bot_days = days if bot_days is None else bot_days
+    facts = spark.read.parquet(path)
+    folders = [c for c in ("site_id", "event_date", "batch_id") if c in facts.columns]
+    expired = expired_clean(as_of, days) | expired_machine(as_of, bot_days)
+    old = within(facts, before=days_back(as_of, min(days, bot_days)))
+    # one row a folder that has expired rows
+    touched = (
+        old.groupBy(*folders)
+        .agg(F.count_if(expired).alias("gone"), F.count("*").alias("rows"))
+        .filter("gone > 0").collect()
+    )
+    emptied = [r for r in touched if r["gone"] == r["rows"]]
+    if len(emptied) < len(touched):
+        thinned = spark.createDataFrame(
+            [tuple(r[c] for c in folders) for r in touched if r["gone"] < r["rows"]],
+            facts.select(*folders).schema,
+        )
+        stage = shared_dir(spark, "purge")
+        old.filter(~expired).join(thinned, folders, "left_semi").write.parquet(stage)
+        overwrite_partitions(spark.read.schema(facts.schema).parquet(stage), path, *folders)
+        remove(spark, stage)
+    for row in emptied:
+        remove(spark, "/".join([path, *(f"{c}={row[c]}" for c in folders)]))
+    return sum(r["gone"] for r in touched)

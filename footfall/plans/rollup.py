@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.predicates import at, is_clean
+from footfall.functions.predicates import is_clean, within
 
 SEGMENT = ["site_id", "date", "device_type", "country_code", "is_returning"]
 
@@ -20,12 +20,8 @@ def countable_views(
     views: DataFrame, first: date | None = None, last: date | None = None
 ) -> DataFrame:
     """Clean views of the given days, with their rollup segment."""
-    rows = views.filter(is_clean())
-    if first is not None:
-        rows = rows.filter(F.col("created_at") >= at(first))
-    if last is not None:
-        rows = rows.filter(F.col("created_at") < at(last + timedelta(days=1)))
-    return rows.select(
+    end = None if last is None else last + timedelta(days=1)
+    return within(views, first, end).filter(is_clean()).select(
         "site_id",
         F.to_date("created_at").alias("date"),
         F.coalesce("device_type", F.lit("unknown")).alias("device_type"),
@@ -92,12 +88,16 @@ def rollup_sketches(
     first: date | str | None = None,
     last: date | str | None = None,
 ) -> DataFrame:
-    """Rollup rows with a visitor sketch, so that uniques merge over days."""
+    """Rollup rows with a visitor sketch, so that uniques merge over days. The sketch
+    takes the clean rows as they come: it is what makes a distinct step needless."""
+    first = None if first is None else _check(first)
+    last = None if last is None else _check(last)
+    rows = countable_views(views, first, last)
     return (
-        _per_visitor(views, excluded, first, last)
+        rows.join(excluded.select("visitor_id").distinct(), "visitor_id", "left_anti")
         .groupBy(*SEGMENT)
         .agg(
-            F.sum("visits").alias("visits"),
+            F.count("*").alias("visits"),
             F.hll_sketch_agg("visitor_id", 14).alias("visitors_sketch"),
         )
     )

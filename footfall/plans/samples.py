@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import day_text
-from footfall.functions.predicates import BOT_SCORE, SUSPECT_SCORE, at, below_bot, days_back, first_rows
+from footfall.functions.predicates import BOT_SCORE, SUSPECT_SCORE, below_bot, days_back, first_rows, within
 
 
 def _human(rows: DataFrame, as_of: datetime | None = None, days: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def _human(rows: DataFrame, as_of: datetime | None = None, days: int | None = No
 
 
 def _last(rows: DataFrame, as_of: datetime | None, days: int) -> DataFrame:
-    return rows.filter(F.col("created_at") >= at(days_back(as_of, days)))
+    return within(rows, days_back(as_of, days))
 
 
 def _share(counted: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.network import (
@@ -45,14 +46,34 @@ def _parsed(prefixes: DataFrame, address: Callable[[Column], Column]) -> DataFra
     ).filter(F.col("_address").isNotNull())
 
 
-def accept_feed(new: DataFrame, old: DataFrame | None) -> DataFrame:
-    """The new feed unless it is empty or has shrunk suspiciously."""
-    size = new.count()
+def accept_feed(new: DataFrame, old: DataFrame | None, *, shrink: float = SHRINK) -> DataFrame:
+    """The new feed unless it is empty or has shrunk below ``shrink`` of the old one's
+    size; then the old one stays."""
     if old is None:
         return new
-    if size == 0 or size < SHRINK * old.count():
-        return old
-    return new
+    size = new.count()
+    return old if size == 0 or size < shrink * old.count() else new
+
+
+def accept_feeds(
+    fresh: dict[str, DataFrame], old: DataFrame | None, *, shrink: float = SHRINK
+) -> DataFrame:
+    """Prefixes (provider, cidr) of all providers, each guarded on its own; a provider
+    that has no fresh feed keeps its old one."""
+    parts = [
+        accept_feed(
+            new.select(F.lit(provider).alias("provider"), "cidr"),
+            None if old is None else old.filter(F.col("provider") == provider).select("provider", "cidr"),
+            shrink=shrink,
+        )
+        for provider, new in fresh.items()
+    ]
+    if old is not None:
+        parts.append(old.filter(~F.col("provider").isin(*fresh)).select("provider", "cidr"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
 
 
 @dataclass(frozen=True)
@@ -66,6 +87,35 @@ class Feeds:
     ranges_v6: DataFrame | None = None
 
 
+def refresh_feeds(
+    spark: SparkSession,
+    fresh: dict[str, DataFrame],
+    path: str,
+    *,
+    version: str,
+    shrink: float = SHRINK,
+) -> tuple[DataFrame, DataFrame]:
+    """Guard, merge and publish the cloud prefixes of all providers.
+
+    Every refresh writes a folder of its own, so jobs that run go on reading theirs;
+    ``version`` has to sort after those before it. A refresh that breaks off leaves
+    a folder that nobody takes for a version.
+    """
+    latest = latest_version(spark, path)
+    old = None if latest is None else spark.read.parquet(f"{latest}/prefixes")
+    target = f"{path}/{version}"
+    accept_feeds(fresh, old, shrink=shrink).write.mode("overwrite").parquet(f"{target}/prefixes")
+    return publish_ranges(spark.read.parquet(f"{target}/prefixes"), target)
+
+
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest refresh that was written to its end."""
+    ends = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/v6/_SUCCESS")
+    found = ends.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(ends) or []
+    names = sorted(status.getPath().getParent().getParent().toString() for status in found)
+    return names[-1] if names else None
+
+
 def publish_ranges(prefixes: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Merge a refreshed prefix table once and store it for the ingest jobs."""
     spark = prefixes.sparkSession
@@ -74,22 +124,32 @@ def publish_ranges(prefixes: DataFrame, path: str) -> tuple[DataFrame, DataFrame
     return spark.read.parquet(f"{path}/v4"), spark.read.parquet(f"{path}/v6")
 
 
-def _valid(patterns: tuple[str, ...]) -> list[str]:
-    good = []
+def checked_patterns(
+    spark: SparkSession, patterns: tuple[str, ...]
+) -> tuple[list[str], list[str]]:
+    """Patterns that Spark's own regular expressions (Java's) take, and those they refuse."""
+    good, refused = [], []
     for pattern in patterns:
         try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        good.append(pattern)
-    return good
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException:
+            refused.append(pattern)
+        else:
+            good.append(pattern)
+    return good, refused
+
+
+# A named group or a back-reference means something else once patterns are joined.
+_OF_ITS_OWN = re.compile(r"\(\?<[A-Za-z]|\\[1-9k]")
 
 
 def _agent_match(patterns: list[str]) -> Column:
-    if not patterns:
-        return F.lit(False)
-    joined = "|".join(f"(?:{p})" for p in patterns)
-    return F.coalesce(F.col("user_agent").rlike(f"(?i){joined}"), F.lit(False))
+    alone = [p for p in patterns if _OF_ITS_OWN.search(p)]
+    joined = "|".join(f"(?:{p})" for p in patterns if not _OF_ITS_OWN.search(p))
+    found = F.lit(False)
+    for pattern in [*([joined] if joined else []), *alone]:
+        found = found | F.coalesce(F.col("user_agent").rlike(f"(?i){pattern}"), F.lit(False))
+    return found
 
 
 def with_agent_flags(
@@ -105,7 +165,9 @@ def with_agent_flags(
     agents = (
         source.select("user_agent")
         .distinct()
-        .withColumn("crawler_match", _agent_match(_valid(feeds.crawler_patterns)))
+        .withColumn(
+            "crawler_match", _agent_match(checked_patterns(hits.sparkSession, feeds.crawler_patterns)[0])
+        )
         .withColumn("ai_crawler_match", _agent_match([re.escape(n) for n in feeds.ai_names if n]))
         .filter("crawler_match OR ai_crawler_match")
     )

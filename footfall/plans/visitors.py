@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from footfall.functions.labels import display_time
 from footfall.functions.predicates import (
     SUSPECT_SCORE,
-    at,
     below_bot,
     contains_text,
     first_rows,
@@ -18,6 +17,7 @@ from footfall.functions.predicates import (
     is_clean,
     score_band,
     where_equal,
+    within,
 )
 from footfall.operators.paging import Page, paginate
 
@@ -337,9 +337,7 @@ def daily_summary(events: DataFrame, *, day: date) -> DataFrame:
 
     session = F.col("session_id")
     long = (
-        events.filter(
-            (F.col("created_at") >= at(day)) & (F.col("created_at") < at(day + timedelta(days=1)))
-        )
+        within(events, day, day + timedelta(days=1))
         .select(
             F.inline(
                 F.array(

@@ -51,6 +51,17 @@ def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
     )
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the job's own, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def insert_absent(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Old rows plus the new rows whose key is not there yet."""
     fresh = new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti")

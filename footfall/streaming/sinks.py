@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from footfall.sources.tables import with_day
+from footfall.sources.tables import remove, with_day
 
 VIEW_FLUSH = "15 seconds"
 EVENT_FLUSH = "10 seconds"
@@ -42,12 +42,6 @@ def read_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | Non
     return None if batch_id == 0 else spark.read.parquet(f"{path}/batch_id={batch_id - 1}")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the job's own, in whatever store it is."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def write_state(df: DataFrame, path: str, batch_id: int) -> None:
     """State after the batch. That of the batch before stays, in case this one is
     repeated; the one before that is needed no more."""

@@ -23,7 +23,7 @@ from footfall.functions.referrer import referrer_class
 from footfall.functions.useragent import browser_name, browser_version, device_class, os_name
 from footfall.plans.anonymize import anonymize_events, anonymize_views
 from footfall.plans.scoring import with_bot_score
-from footfall.plans.threats import Feeds, accept_feed, with_threat_flags
+from footfall.plans.threats import Feeds, accept_feed, checked_patterns, with_agent_flags, with_threat_flags
 from footfall.settings import Settings
 from tests.conftest import NOW, texts
 
@@ -128,8 +128,8 @@ def test_devices(value):
 
 def test_decoding(spark):
     assert texts(spark, ["900abc", " -7", "x", ""], leading_int) == [900, -7, None, None]
-    got = texts(spark, ["L2ErYg==", "L2ErYg", "JUMzJUE5", "JUcx", "***", None], lambda x: parameter_text(x, 3))
-    assert got == ["/a+", "/a+", "é", None, None, None]
+    got = texts(spark, ["L2ErYg==", "L2ErYg", "JUMzJUE5", "JUcx", "***", None], lambda x: parameter_text(x))
+    assert got == ["/a+b", "/a+b", "é", None, None, None]
     urls = ["https://A.example:443/x?y", "http://a.example:8080", "nonsense", "app://thing", "http://a b"]
     assert texts(spark, urls, url_origin) == ["https://a.example", "http://a.example:8080", None, "null", None]
 
@@ -145,7 +145,7 @@ def test_hmac_matches_the_standard_library(spark):
 def test_arbitrary_text_never_fails(spark, lines):
     lines = [x.replace("\0", "").encode("utf-8", "ignore").decode() for x in lines]
     everything = lambda x: F.struct(
-        os_name(x), browser_name(x), browser_version(x), referrer_class(x), url_origin(x), parameter_text(x, 9),
+        os_name(x), browser_name(x), browser_version(x), referrer_class(x), url_origin(x), parameter_text(x),
         leading_int(x), ipv4_number(unmapped(x)), ipv6_hex(x),
     )
     assert len(texts(spark, lines, everything)) == len(lines)
@@ -216,6 +216,15 @@ def test_shrunken_feed_is_refused(spark):
     old, small, big = spark.range(100), spark.range(9), spark.range(10)
     assert accept_feed(small, old) is old and accept_feed(big, old) is big
     assert accept_feed(spark.range(0), old) is old and accept_feed(small, None) is small
+    assert accept_feed(small, old, shrink=0.0) is small
+
+
+def test_patterns_are_those_of_the_engine(spark):
+    given = ("Bot", "(?<a>x)1", "(?<a>y)2", "(z)\\1", "(?P<n>bot)", "(bad")
+    assert checked_patterns(spark, given) == (list(given[:4]), list(given[4:]))
+    agents = spark.createDataFrame([("X1",), ("y2",), ("zZ",), ("robot",), ("w",)], "user_agent string")
+    found = with_agent_flags(agents, Feeds(given)).filter("crawler_match").collect()
+    assert {r.user_agent for r in found} == {"X1", "y2", "zZ", "robot"}
 
 
 # --- anonymisation ---------------------------------------------------------------------------------

@@ -70,12 +70,37 @@ def test_nightly_backfills_and_repeats(spark, views, events, excluded, table):
     log = table(schemas.MAINTENANCE_LOG, dict(date=earlier, status="failed"))
     path = shared_dir(spark, "daily")
     first = maintenance.run_nightly(spark, tables, log, daily_path=path, as_of=NOW)
+    # the failed day and those that nobody logged
+    days = {earlier + timedelta(days=i) for i in range(4)}
     assert {(r.date, r.status, r.rollup_rows) for r in first.log.collect()} == {
-        (earlier, "complete", None), (yesterday, "complete", 1),
+        *[(d, "complete", None) for d in days], (yesterday, "complete", 1),
     }
     maintenance.run_nightly(spark, tables, log, daily_path=path, as_of=NOW)
-    assert {r.date for r in spark.read.parquet(path).collect()} == {earlier, yesterday}
-    assert spark.read.parquet(path).count() == 2
+    assert {r.date for r in spark.read.parquet(path).collect()} == {earlier, yesterday, DAY - timedelta(days=3)}
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_stored_nightly_run(spark, views, events, excluded, monkeypatch):
+    root = shared_dir(spark, "root")
+    at = lambda days, **more: {"created_at": NOW - timedelta(days=days), **more}
+    append_facts(views(at(1), at(2), at(40), at(8), at(8, bot_score=80), at(9, bot_score=-1)), f"{root}/visitor_views")
+    append_facts(events(at(1), at(40)), f"{root}/semantic_events")
+    options = dict(as_of=NOW, days=30, bot_days=5)
+    with monkeypatch.context() as broken:
+        broken.setattr(maintenance, "rollup_days", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            maintenance.run_stored(spark, root, excluded(), **(options | {"as_of": NOW - timedelta(days=1)}))
+    yesterday = DAY - timedelta(days=1)
+    assert [(r.date, r.status) for r in maintenance.read_log(spark, root).collect()] == [(DAY - timedelta(days=2), "failed")]
+    log = {r.date: r for r in maintenance.run_stored(spark, root, excluded(), **options).collect()}
+    assert {d: r.status for d, r in log.items()} == {DAY - timedelta(days=2): "complete", yesterday: "complete"}
+    assert tuple(log[yesterday][2:]) == (1, 3, 1)
+    assert spark.read.parquet(f"{root}/visitor_views_daily").count() == 2
+    left = spark.read.parquet(f"{root}/visitor_views").collect()
+    assert sorted((r.created_at, r.bot_score) for r in left) == [(NOW - timedelta(days=d), 0) for d in (8, 2, 1)]
+    assert {r.event_date for r in spark.read.parquet(f"{root}/semantic_events").collect()} == {yesterday}
+    again = maintenance.run_stored(spark, root, excluded(), **options)
+    assert again.filter(F.col("date") == F.lit(yesterday)).first().purge_views == 0
 
 
 def test_table_sinks(spark, views, excluded):
@@ -158,6 +183,29 @@ def test_sweep_is_idempotent_and_leaves_flagged_rows(views, events, prints):
     assert {r.bot_score for r in flagged.views.collect()} == {60}
 
 
+def test_stored_sweep_feeds_the_scores(spark, views, events, prints, hits, dims):
+    from dataclasses import replace
+
+    from footfall.functions.identity import ip_hash
+
+    make, build = prints
+    table = make(build(6), build(2, prefix="x", browser_version="1"))
+    base = shared_dir(spark, "facts")
+    who = [{"visitor_id": r.visitor_id, "site_id": r.site_id} for r in table.collect()]
+    append_facts(views(*who, {"visitor_id": None}, {"visitor_id": "ip-v1", "site_id": "other"}), f"{base}/views")
+    append_facts(events(*who), f"{base}/events")
+    real = table.withColumn("ip_hash", ip_hash("change-me", F.col("ip_hash")))
+    markers = correlate.sweep_stored(spark, f"{base}/views", f"{base}/events", real, stage_dir=f"{base}/stage", as_of=NOW)
+    for name in ("views", "events"):
+        stored = read_table(spark, f"{base}/{name}", {"views": "visitor_views", "events": "semantic_events"}[name])
+        raised = {r.visitor_id for r in stored.filter("bot_score = 30").collect()}
+        assert raised == {f"ip-v{i}" for i in range(6)} and stored.filter("bot_score = 30").count() == 6
+    rows = hits({"remote_addr": "ip1", "ts": NOW + timedelta(minutes=1)}, {"hit_id": 2, "remote_addr": "x1", "ts": NOW + timedelta(minutes=1)})
+    keep_all = Settings(discard_threshold=0)
+    scored = enrich.enrich_hits(rows, replace(dims, markers=markers), keep_all, count_bursts=False).views.collect()
+    assert {r.id: r.bot_score for r in scored} == {1: 50, 2: 0}
+
+
 def test_no_event_penalty(views, events):
     aged = NOW - timedelta(minutes=10)
     table = views(
@@ -248,6 +296,8 @@ def test_event_posts(table, dims):
     }
     got = result.events.collect()
     assert sum(r.id == 6 for r in got) == 20
+    refused = {(r.post_id, r.position): r.reject_reason for r in result.event_rejects.collect()}
+    assert refused == {(1, 1): "unknown_type", (1, 2): "data_too_long"} | {(6, i): "too_many_events" for i in range(20, 25)}
     click, custom = sorted((r for r in got if r.id == 1), key=lambda r: r.event_type)
     assert (click.data, click.utm_campaign, click.device_type, click.referrer) == (
         "{}", "spring", "mobile", "https://a.example",
@@ -256,6 +306,16 @@ def test_event_posts(table, dims):
     assert (click.hour, click.month, click.day_of_week) == (12, 3, 0)
 
 
+def test_one_bad_entry_costs_one_event(table, dims):
+    body = '{"siteId":"site","events":[5,null,"x",[1],{"type":"click","data":{"tag":"A"}},{}]}'
+    post = dict(post_id=1, ts=NOW, remote_addr="1.2.3.4", user_agent="x", accept_language="en", sec_ch_ua="x", pow_result="valid", body=body)
+    result = posts.enrich_posts(table(schemas.POSTS, post), dims, Settings())
+    assert [r.data for r in result.events.collect()] == ['{"tag":"A"}'] and result.rejects.count() == 0
+    assert {r.position: r.reject_reason for r in result.event_rejects.collect()} == {
+        **{i: "not_an_object" for i in range(4)}, 5: "unknown_type",
+    }
+
+
 # --- API batches and metrics ---------------------------------------------------------------------
 
 UID = "00000000-0000-4000-8000-00000000000%d"
@@ -276,7 +336,8 @@ BATCHES = [
     (batch(events=[]), "Events array is empty or missing"), (batch(events=[{}] * 101), "Too many events (max 100)"),
     (batch(events=[3]), "Invalid event object"), (batch(events=[[]]), "Invalid event_id: undefined"), (batch({"event_id": "x"}), "Invalid event_id: x"),
     (batch({"type": ""}), "Event missing type"), (batch({"type": "9x"}), "Invalid event type: 9x"),
-    (batch({"ts": 5}), "Event missing ts"), (batch(), None),
+    (batch({"ts": 5}), "Event missing ts"), (batch(), None), (batch(v="1"), "Unsupported protocol version"),
+    (batch(v=True), "Unsupported protocol version"), (batch(v=1.0), None), (batch().replace('"v": 1', '"v": 2, "v": 1'), None),
 ]
 
 
@@ -303,13 +364,26 @@ def test_batch_events_and_duplicates(table):
     assert {tuple(r) for r in result.counts.collect()} == {(1, 1, 0), (2, 0, 1)}
 
 
+def test_own_names_in_data_are_replaced(table):
+    event = {"data": {"session_context": 1, "experiment_id": "own", "z": "é", "a": [1]}, "experiments": [{"experiment_id": "e"}]}
+    plain = {"event_id": UID % 5, "data": {"experiment_id": "own"}}
+    doubled = batch({"event_id": UID % 6, "data": {"k": 1}}).replace('"k": 1', '"k": 1, "k": 2')
+    raw = table(schemas.RAW_BODIES, *[dict(raw_id=i, received_at=NOW, body=b) for i, b in enumerate([batch(event), batch(plain), doubled])])
+    session = '"session_context":{"viewport":"undefinedxundefined","screen":"undefinedxundefined","language":"en"}}'
+    assert {r.raw_id if "raw_id" in r else r.id: r.data for r in ingest.ingest_batches(raw).events.collect()} == {
+        0: '{"a":[1],"z":"é","experiment_id":"e","variant_id":null,' + session,
+        1: '{"experiment_id": "own",'.replace(": ", ":") + session,
+        2: '{"k":2,' + session,
+    }
+
+
 def test_metric_posts(table):
     good = '[{"category":"%s","metric":"m","value":1.5,"unit":"ms","metadata":{"a":1}}]' % ("c" * 200)
     bodies = [good, "{}", "[]", '[{"category":"c","metric":"m","value":"1","unit":"ms"}]', "nope"]
     raw = table(schemas.RAW_BODIES, *[dict(raw_id=i, received_at=NOW, body=b) for i, b in enumerate(bodies)])
     result = ingest.ingest_metrics(raw)
     (row,) = result.events.collect()
-    assert (len(row.category), row.value, row.metadata) == (128, 1.5, '{"a":1}')
+    assert (len(row.category), row.value, row.metadata) == (200, 1.5, '{"a":1}')
     assert {r.raw_id for r in result.rejects.collect()} == {1, 3, 4}
 
 
@@ -322,6 +396,9 @@ def test_session_rules(spark):
     table = spark.createDataFrame(rows, "id long, session_id string, ts timestamp_ntz, path string, utm_campaign string, utm_source string")
     got = {r.id: (r.utm_campaign, r.utm_source) for r in sessions.session_navigations(table).collect()}
     assert got == {1: ("c1", "x"), 3: ("c1", "x"), 4: ("c2", None), 5: ("c2", None), 6: (None, None)}
+    strangers = [(1, None, NOW, "/a", "c1", "x"), (2, None, NOW, "/a", None, None), (3, None, NOW + timedelta(days=1), "/a", None, None)]
+    got = {r.id: r.utm_campaign for r in sessions.session_navigations(spark.createDataFrame(strangers, table.schema)).collect()}
+    assert got == {1: "c1", 2: None, 3: None}
 
 
 def test_vitals(events):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from footfall.functions.network import next_number
 from footfall.operators.intervals import by_block, merge_intervals, v4_block
+from footfall.operators.paging import onward
+from footfall.operators.ranks import nearest_ranks
 from footfall.operators.windows import anchored_count, last_before, latest_within, seen_within
 from footfall.plans.reputation import with_burst_read, with_ip_penalty, with_rate_limit
 from footfall.session import shared_dir
@@ -168,14 +170,39 @@ def test_streamed_bursts_equal_batch(spark):
     assert {r.id: (r.window_start, r.n) for r in got.collect()} == want
 
 
+def test_hits_out_of_order_find_their_window(spark):
+    at = lambda s: NOW + timedelta(seconds=s)
+    batches = [[(1, "a", at(0)), (2, "a", at(10)), (3, "b", at(900))], [(4, "a", at(20))], [(5, "c", at(2000))], [(6, "a", at(30))]]
+    schema, path = "id int, k string, ts timestamp_ntz", shared_dir(spark, "late")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    finish(bursts.start_bursts(stream, path, keys=["k"], ts="ts", tiebreak="id", seconds=300, name="n", late=600))
+    # the last hit of a comes more than the window and ten minutes late
+    assert {r.id: r.n for r in spark.read.parquet(f"{path}/counted").collect()} == {1: 1, 2: 2, 3: 1, 4: 3, 5: 1, 6: 1}
+
+
+def test_missing_state_is_an_error(spark):
+    from pyspark.errors import AnalysisException
+
+    from footfall.streaming.sinks import read_state
+
+    assert read_state(spark, "/nowhere", 0) is None
+    with pytest.raises(AnalysisException):
+        read_state(spark, "/nowhere", 3)
+
+
 def test_streamed_trends_equal_batch(spark, views):
     table = views(*[{"created_at": NOW + timedelta(seconds=37 * i), "visitor_id": f"v{i % 7}", "bot_score": i % 60} for i in range(120)])
     stream = files_of(spark, table, "created_at", 3)
     path, other = shared_dir(spark, "minutes"), shared_dir(spark, "active")
-    finish(trends.start_updates(trends.window_counts(stream, "1 minute"), path))
+    finish(trends.start_parts(stream, lambda rows: trends.window_counts(rows, "1 minute"), path))
     want = {(r.start, r["count"]) for r in trends.window_counts(table, "1 minute").collect()}
     assert {(r.start, r["count"]) for r in trends.read_counts(spark, path).collect()} == want
-    finish(trends.start_updates(trends.window_visitors(stream), other))
+    since = NOW + timedelta(minutes=30)
+    late = trends.read_counts(spark, path, since=since)
+    assert {(r.start, r["count"]) for r in late.collect()} == {w for w in want if w[0] >= since}
+    finish(trends.start_parts(stream, trends.window_visitors, other))
     want = {tuple(r) for r in trends.active_visitors(trends.window_visitors(table)).collect()}
     assert {tuple(r) for r in trends.active_visitors(trends.read_visitors(spark, other)).collect()} == want
 
@@ -188,7 +215,11 @@ def test_streamed_ingest_drops_duplicates(spark, table):
     raw = table(schemas.RAW_BODIES, *rows)
     path = shared_dir(spark, "batches")
     finish(ingest.start_batches(files_of(spark, raw, "received_at", 3), path, every=None))
-    assert spark.read.parquet(f"{path}/events").count() == 4
+    events = spark.read.parquet(f"{path}/events").collect()
+    assert sorted(r.id for r in events) == [0, 1, 2, 3]
+    counts = {r.raw_id: (r.accepted, r.duplicate) for r in spark.read.parquet(f"{path}/counts").collect()}
+    assert counts == {i: (1, 0) if i < 4 else (0, 1) for i in range(12)}
+    assert spark.read.parquet(f"{path}/rejects").count() == 0
 
 
 def test_streamed_pageviews_and_events_reread_dimensions(spark, hits, table, excluded):
@@ -215,6 +246,47 @@ def test_streamed_pageviews_and_events_reread_dimensions(spark, hits, table, exc
     assert spark.read.parquet(f"{path}/events").first().event_type == "click"
 
 
+def test_exact_ranks(spark):
+    pick = random.Random(5)
+    for values in ([pick.choice([pick.uniform(-5, 900), 7.25, None]) for _ in range(700)], [1.0], [None], []):
+        rows = spark.createDataFrame([(v,) for v in values], "v double")
+        known, shares = sorted(v for v in values if v is not None), (0.0, 0.5, 0.95, 0.99, 1.0)
+        want = [known[max(-(-int(p * 100) * len(known) // 100), 1) - 1] if known else None for p in shares]
+        assert list(nearest_ranks(rows, "v", shares).first()) == want
+
+
+def test_onward_pages(spark):
+    rows = spark.createDataFrame([(i, NOW + timedelta(seconds=i // 4)) for i in range(23)], "id int, ts timestamp_ntz")
+    for descending in (True, False):
+        seen, last = [], None
+        while page := onward(rows, "ts", "id", last, descending=descending, per_page=5).collect():
+            seen += [r.id for r in page]
+            last = (page[-1].ts, page[-1].id)
+        assert seen == sorted(range(23), key=lambda i: (-(i // 4) if descending else i // 4, i))
+
+
+def test_reports_read_only_their_days(spark, views, events, excluded):
+    from footfall.plans import campaigns, correlate, live, overview, rollup
+    from footfall.sources.tables import append_facts
+
+    path = shared_dir(spark, "facts")
+    append_facts(views({}, {"created_at": NOW - timedelta(days=40)}), f"{path}/v")
+    append_facts(events({}, {"created_at": NOW - timedelta(days=40)}), f"{path}/e")
+    v, e = spark.read.parquet(f"{path}/v"), spark.read.parquet(f"{path}/e")
+    registered = spark.createDataFrame([], "id string, name string, utm_campaign string, site_id string, status string")
+    plans = {
+        "P04": overview.top_paths(v, site="site", as_of=NOW),
+        "P12": live.realtime_active(v, site="site", as_of=NOW),
+        "P21": campaigns.campaign_stats(registered, v, as_of=NOW),
+        "P31": live.summary_24h(v, as_of=NOW),
+        "J01": rollup.daily_rollup(v, excluded(), NOW.date()),
+        "J10": correlate.penalise_no_events(v, e, as_of=NOW),
+    }
+    for name, df in plans.items():
+        plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert any("PartitionFilters" in line and "event_date" in line for line in plan.split("\n")), name
+
+
 # --- sources ------------------------------------------------------------------------------------
 
 
@@ -246,7 +318,16 @@ def test_feed_files(spark, tmp_path):
     both = feeds.cloud_prefixes(feeds.aws_prefixes(spark, at("aws")), feeds.gcp_prefixes(spark, at("gcp")))
     assert both.count() == 6
 
-    from footfall.plans.threats import publish_ranges
+    from footfall.plans.threats import latest_version, publish_ranges, refresh_feeds
+
+    path = shared_dir(spark, "versions")
+    aws = spark.createDataFrame([(f"10.{i}.0.0/16",) for i in range(20)], "cidr string")
+    assert latest_version(spark, path) is None
+    refresh_feeds(spark, {"aws": aws, "gcp": both.limit(1)}, path, version="1")
+    v4, _ = refresh_feeds(spark, {"aws": aws.limit(1), "gcp": aws.limit(0)}, path, version="2")
+    assert latest_version(spark, path).endswith("/2")
+    assert spark.read.parquet(f"{path}/2/prefixes").groupBy("provider").count().count() == 2
+    assert spark.read.parquet(f"{path}/2/prefixes").count() == 21 and v4.count() >= 1
 
     v4, v6 = publish_ranges(both, shared_dir(spark, "ranges"))
     assert [tuple(r) for r in v4.collect()] == [(167772160, 201326591)]
