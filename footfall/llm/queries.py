@@ -105,11 +105,11 @@ OP5_SQL = r"""
 WITH hashed AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
 ), bits AS (
-  SELECT page_id, html, digest, list_transform(string_split_regex(digest, ''), x -> instr('0123456789abcdef', x) - 1) AS nibbles FROM hashed
+  SELECT page_id, html, digest, list_transform(string_split_regex(digest, ''), lambda x: instr('0123456789abcdef', x) - 1) AS nibbles FROM hashed
 ), coded AS (
-  SELECT page_id, html, digest, array_to_string(list_transform(range(0, 32), i ->
+  SELECT page_id, html, digest, array_to_string(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
-      list_sum(list_transform(range(0, 5), b -> (CAST(nibbles[1 + (i * 5 + b) // 4] AS BIGINT) >> CAST(3 - (i * 5 + b) % 4 AS BIGINT)) % 2 * (16 >> CAST(b AS BIGINT)))) AS BIGINT), 1)), '') AS code
+      list_sum(list_transform(range(0, 5), lambda b: (CAST(nibbles[1 + (i * 5 + b) // 4] AS BIGINT) >> CAST(3 - (i * 5 + b) % 4 AS BIGINT)) % 2 * (16 >> CAST(b AS BIGINT)))) AS BIGINT), 1)), '') AS code
   FROM bits
 ), firsts AS (
   SELECT digest, min(page_id) AS first_page FROM hashed GROUP BY digest
@@ -124,7 +124,7 @@ WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents
   UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM benchmark
 ), runs AS (
-  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), k -> array_to_string(w[k : k + 4], ' '))) AS shingle
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' '))) AS shingle
   FROM words WHERE len(w) > 0
 ), items AS (
   SELECT id AS item_id, shingle, count(*) OVER (PARTITION BY id) AS n_shingles FROM runs WHERE kind = 'i'
