@@ -96,30 +96,36 @@ _WITHIN = np.searchsorted(_POPULATION[_BY_POPULATION], np.arange(17), side="righ
 
 
 class Index:
-    """Rows of codes, indexed by each 16-bit substring."""
+    """Rows of codes, indexed by each 16-bit substring: the values that occur, in order,
+    and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.parts = codes.view("<u2")
-        self.order = np.argsort(self.parts, axis=0, kind="stable").T.astype(np.int32)
-        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(p, minlength=1 << 16))]) for p in self.parts.T]
+        self.buckets = []
+        for part in codes.view("<u2").T:
+            order = np.argsort(part, kind="stable").astype(np.int32)
+            values, sizes = np.unique(part, return_counts=True)
+            self.buckets.append((values, np.concatenate([[0], np.cumsum(sizes)]), order))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Positions of all codes within the radius, found by probing."""
+        """Positions of all codes within the radius, found by probing. Values near the
+        query's are listed and looked up, or, if fewer values occur than are near,
+        picked among those that occur."""
         found = np.zeros(len(self.codes), dtype=bool)
         pieces = code.view("<u2")
         for j, piece in enumerate(pieces):
-            near = radius // len(pieces) - (j > radius % len(pieces))
+            near = min(radius // len(pieces) - (j > radius % len(pieces)), 16)
             if near < 0:
                 break
-            values = piece ^ _BY_POPULATION[: _WITHIN[min(near, 16)]]
-            first, last = self.starts[j][values], self.starts[j][values.astype(np.int64) + 1]
-            full = last > first
-            first, times = first[full], (last - first)[full]
-            ends = np.cumsum(times)
-            if len(ends):
-                at = np.arange(ends[-1]) + np.repeat(first - (ends - times), times)
-                found[self.order[j][at]] = True
+            values, ends, order = self.buckets[j]
+            if _WITHIN[near] < len(values) // 8:
+                listed = piece ^ _BY_POPULATION[: _WITHIN[near]]
+                at = np.minimum(np.searchsorted(values, listed), len(values) - 1)
+                for bucket in at[values[at] == listed]:
+                    found[order[ends[bucket] : ends[bucket + 1]]] = True
+            else:
+                picked = _POPULATION[values ^ piece] <= near
+                found[order[np.repeat(picked, np.diff(ends))]] = True
         rows = np.flatnonzero(found)
         return rows[_distances(self.codes[rows], code) <= radius]
 
@@ -129,10 +135,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector as doubles) of the rows that take part: with an id, not null or
-    empty, no null or non-finite component, not all zero, and of the most frequent
-    length (of equally frequent ones the largest). Rows equal in both count once."""
-    doubles = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
+    """(vec_id, vector) of the rows that take part: with an id, not null or empty,
+    no null or non-finite component, not all zero, and of the most frequent length (of
+    equally frequent ones the largest). Rows equal in both count once."""
+    # floats stay floats, half as wide to move; all sums are of doubles
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    doubles = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("vector"))
     fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = doubles.where(
         F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", fit) & F.exists("vector", lambda x: x != 0)
@@ -155,7 +163,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors), "vectors")
-    number, scale = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    number, scale = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()
     output = "query_id long, vec_id long, score double"
     if not number:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
