@@ -1,10 +1,10 @@
 """Licence scans by canonical digest.
 
-A text's canonical form is lower case without copyright lines, with words in one of
-their equivalent spellings and nothing but words and single spaces; its SHA-256 is
-looked up among the digests of known licence texts. Both the whole text of a document
-and each of its lines are looked up, as whole texts. Everything is DataFrame functions;
-the known digests are a fixed table of some dozens of rows.
+A text's canonical form is lower case, without copyright lines, of letters and digits
+alone, with spellings folded until equivalent ones are the same; its SHA-256 is looked
+up among the digests of known licence texts. Both the whole text of a document and
+each of its lines are looked up, as whole texts. Everything is DataFrame functions; the
+known digests are a fixed table of some dozens of rows.
 """
 
 from __future__ import annotations
@@ -14,44 +14,35 @@ from pyspark.sql import functions as F
 
 from footfall.llm.license_texts import LICENSES
 
-# Patterns for Java's and RE2's dialects alike; applied in this order to lower-case text.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-# Equivalent spellings, British to American and two forms to one.
-SPELLINGS = (
-    (r"\b(\p{L}{3,})is(e|ed|es|ing|ation|ations)\b", "1", "iz", "2"),
-    (r"\b(\p{L}{2,})yse(d|r|s)?\b", "1", "yze", "2"),
-    (r"\b(fav|lab|hon|endeav|behavi)our", "1", "or", ""),
-    (r"\b(sub[ -]?)?licenc(e|ed|es|ing)\b", "1", "licens", "2"),
-    (r"\bsub[ -]licens", "", "sublicens", ""),
-    (r"\bnon[ -]commercial", "", "noncommercial", ""),
-    (r"\bcopyright owner", "", "copyright holder", ""),
-    (r"\backnowledgement", "", "acknowledgment", ""),
-    (r"\bjudgement", "", "judgment", ""),
-    (r"\b(arte)fact", "", "artifact", ""),
-    (r"\bwhilst\b", "", "while", ""),
-    (r"\bwilful\b", "", "willful", ""),
-    (r"\bfulfil(s|led|ling|ment)?\b", "", "fulfill", "1"),
-    (r"\bper cent\b", "", "percent", ""),
-    (r"https?://", "", "http ", ""),
-    (r"&", "", " and ", ""),
-)
+# Patterns mean the same in Java's and in RE2's dialect.
+LINE_END = r"\r?\n"
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(?:copyright|\(c\)|©|all rights reserved)"
 NO_WORD = r"[^\p{L}\p{N}]+"
+# Foldings of a text without spaces, applied in this order. They also
+# change other words, but both sides alike: owner and holder of a copyright, whilst,
+# -our, -gement, artefact, -ogue, programme, wilful and fulfil, https, -ise and
+# licence. Hyphens and spaces within a word are gone already.
+FOLDINGS = (
+    ("copyrightowner", "copyrightholder"), ("whilst", "while"), ("https", "http"), ("our", "or"), ("gem", "gm"),
+    ("arte", "arti"), ("ogue", "og"), ("mme", "m"), ("ll", "l"), ("z", "s"), ("c", "s"),
+)
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null for null."""
-    form = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    for pattern, before, new, after in SPELLINGS:
-        form = F.regexp_replace(form, pattern, f"{'$' * bool(before)}{before}{new}{'$' * bool(after)}{after}")
-    return F.trim(F.regexp_replace(form, NO_WORD, " "))
+def _folded(letters: Column) -> Column:
+    for old, new in FOLDINGS:
+        letters = F.replace(letters, F.lit(old), F.lit(new))
+    return letters
 
 
-def canonical_sql(text: str) -> str:
-    """The same as DuckDB SQL."""
-    form = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
-    for pattern, before, new, after in SPELLINGS:
-        form = f"regexp_replace({form}, '{pattern}', '{'\\' * bool(before)}{before}{new}{'\\' * bool(after)}{after}', 'g')"
-    return f"trim(regexp_replace({form}, '{NO_WORD}', ' ', 'g'))"
+def _letters(text: Column) -> Column:
+    """Letters and digits of every line but copyright lines, in lower case."""
+    lines = F.filter(F.split(F.lower(text), LINE_END), lambda line: ~line.rlike(COPYRIGHT_LINE))
+    return F.transform(lines, lambda line: F.regexp_replace(F.replace(line, F.lit("&"), F.lit("and")), NO_WORD, ""))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form; null for null."""
+    return _folded(F.array_join(_letters(text), ""))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
@@ -69,9 +60,16 @@ def scan(docs: DataFrame) -> DataFrame:
     counted together. Other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    whole = texts.select("doc_id", F.lit("document").alias("scope"), "text")
-    lines = texts.select("doc_id", F.lit("line").alias("scope"), F.explode(F.split("text", r"\r?\n")).alias("text"))
-    digests = whole.unionByName(lines).select("doc_id", "scope", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    # a generator, so that the lines are taken apart once for both scopes
+    lines = texts.select("doc_id", F.inline(F.array(F.struct(_letters(F.col("text")).alias("lines")))))
+
+    def unit(scope: str, letters: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), _folded(letters).alias("text"))
+
+    both = F.concat(
+        F.array(unit("document", F.array_join("lines", ""))), F.transform("lines", lambda line: unit("line", line))
+    )
+    digests = lines.select("doc_id", F.inline(both)).select("doc_id", "scope", F.sha2("text", 256).alias("digest"))
     known = known_digests(docs.sparkSession)  # as many rows as the table of texts
     return (
         digests.join(F.broadcast(known), "digest")
@@ -79,16 +77,29 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _folded_sql(letters: str) -> str:
+    for old, new in FOLDINGS:
+        letters = f"replace({letters}, '{old}', '{new}')"
+    return letters
+
+
 def scan_sql() -> str:
+    """The same over ``documents`` as DuckDB SQL."""
     quoted = ",\n".join(f"('{i}', '{t.replace(chr(39), chr(39) * 2)}')" for i, texts in LICENSES.items() for t in texts)
+    letters = (
+        f"list_transform(list_filter(regexp_split_to_array(lower(text), '{LINE_END}'), lambda l: NOT regexp_matches(l, '{COPYRIGHT_LINE}')), "
+        f"lambda l: regexp_replace(replace(l, '&', 'and'), '{NO_WORD}', '', 'g'))"
+    )
     return f"""
 WITH known AS (
-  SELECT DISTINCT license_id, sha256({canonical_sql("text")}) AS digest FROM (VALUES {quoted}) AS t(license_id, text)
-), texts AS (
-  SELECT doc_id, 'document' AS scope, text FROM documents WHERE text IS NOT NULL
+  SELECT DISTINCT license_id, sha256({_folded_sql("letters")}) AS digest
+  FROM (SELECT license_id, array_to_string({letters}, '') AS letters FROM (VALUES {quoted}) AS t(license_id, text))
+), taken AS (
+  SELECT doc_id, {letters} AS lines FROM documents WHERE text IS NOT NULL
+), units AS (
+  SELECT doc_id, 'document' AS scope, array_to_string(lines, '') AS letters FROM taken
   UNION ALL
-  SELECT doc_id, 'line' AS scope, unnest(regexp_split_to_array(text, '\\r?\\n')) AS text FROM documents WHERE text IS NOT NULL
-), digests AS (
-  SELECT doc_id, scope, sha256({canonical_sql("text")}) AS digest FROM texts
+  SELECT doc_id, 'line' AS scope, unnest(lines) AS letters FROM taken
 )
-SELECT doc_id, scope, license_id, count(*) AS n_found FROM digests JOIN known USING (digest) GROUP BY ALL"""
+SELECT doc_id, scope, license_id, count(*) AS n_found
+FROM (SELECT doc_id, scope, sha256({_folded_sql("letters")}) AS digest FROM units) JOIN known USING (digest) GROUP BY ALL"""
