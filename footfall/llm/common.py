@@ -20,13 +20,18 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    """Write and read back: cuts the lineage, survives lost executors."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same in a fresh folder of the shared folder, where it stays for the result
+    that reads it."""
+    return written_to(df, shared_dir(df.sparkSession, name))
+
+
 def payloads(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of a text column, one row at a time; empty for null."""
     for value in column.cast(pa.binary()):

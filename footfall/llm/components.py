@@ -8,10 +8,14 @@ are split by Spark where a node has very many links.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import written
+from footfall.llm.common import written_to
+from footfall.session import shared_dir
+from footfall.sources.tables import remove
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -38,15 +42,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: any ordered type); root is the
     smallest node of its component, and is itself listed. No links: no rows. Links
     with a null end and links from a node to itself are left out."""
-    now = written(
+    spark, path = links.sparkSession, shared_dir(links.sparkSession, "links")
+    now = written_to(
         links.select("a", "b").where("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "links",
+        f"{path}/0",
     )
-    while True:
-        after = written(_small_star(_large_star(now)), "links")
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            break
+    for rounds in count(1):
+        after = written_to(_small_star(_large_star(now)), f"{path}/{rounds}")
+        same = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        remove(spark, f"{path}/{rounds - 1}")
         now = after
+        if same:
+            break
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
