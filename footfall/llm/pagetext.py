@@ -46,6 +46,10 @@ SIDE_WORDS = frozenset(
     "sponsored subscribe subscription taboola toolbar widget".split()
 )
 _HEADER_WORDS = frozenset(("header", "masthead"))
+# Names without a separator: how a side part's name begins or ends.
+_SIDE_START = ("advert", "breadcrumb", "comments", "cookie", "footer", "navbar", "newsletter", "sidebar", "sponsor")
+_SIDE_END = ("banner", "comments", "footer", "menu", "navbar", "sidebar")
+_NOT_ITSELF = frozenset("has hide is no not with without".split())  # has-sidebar names what holds a side part
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -56,13 +60,24 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|\Z|\"|')", re.I)
 
 
+def _names_side(name: str, in_main: bool) -> bool:
+    words = re.split(r"[^a-z]+", name)
+    if words[0] in _NOT_ITSELF:
+        return False
+    return any(
+        w in SIDE_WORDS or w.startswith(_SIDE_START) or w.endswith(_SIDE_END) or not in_main and w in _HEADER_WORDS
+        for w in words
+    )
+
+
 @lru_cache(maxsize=65536)
 def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
     """Whether an element is a side part by its name, role, class or id."""
     if tag in SIDE_TAGS or tag == "header" and not in_main:
         return True
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, given = name.lower(), value.strip("\"'")
+        value = given.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -70,8 +85,10 @@ def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
         if name == "role" and value in SIDE_ROLES:
             return True
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if tag not in ("html", "body", "main", "article") and (words & SIDE_WORDS or not in_main and words & _HEADER_WORDS):
+            names = re.sub(r"([a-z])([A-Z])", r"\1-\2", given).lower().split()
+            if tag not in ("html", "body", "main", "article") and any(_names_side(n, in_main) for n in names):
+                return True
+            if tag == "article" and {"comment", "comments"} & set(names):
                 return True
     return False
 

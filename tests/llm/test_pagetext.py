@@ -56,6 +56,10 @@ def test_other_layouts(learned):
         f'<nav>{menu}</nav>{body}<aside>{side}</aside>',
         f'<div role="navigation">{menu}</div><script>if (a < b) document.write("<p>{side}</p>")</script><!-- <p>{side}</p> -->{body}',
     ]
+    pages += [
+        f'<div class="siteHeader">{menu}</div><div id="wrap" class="has-sidebar with-comments"><div class="entry">{body}</div></div><div class="pageSidebar">{side}</div><div class="commentsList"><p>{side}</p></div>',
+        f'<div class="topmenu">{menu}</div><article class="post no-sidebar">{body}<div class="relatedPosts"><p>{side}</p></div></article><article class="comment"><p>{side}</p></article><div class="sitefooter">{side}</div>',
+    ]
     for page in pages:
         assert extracted(page, learned) == want, page
 
