@@ -6,9 +6,10 @@ token is proved beforehand by the library itself: every entry that ends a word i
 encoded alone and kept if it gives that one id. A pre-token in this set counts one;
 only the others are merged by the library, and their counts remembered.
 
-The cutting rule is applied here only to texts of characters below U+0250, where lower
-case, letters, digits and white space are the same in both; any other part of a text
-goes to the library whole. Special strings are cut out first, as the library does.
+The cutting rule is applied here only to characters below U+0250, where lower case,
+letters, digits and white space are the same in both. A stretch between blanks that has
+any other character goes to the library whole; neither pre-tokens nor composed
+characters reach over a blank. Special strings are cut out first, as the library does.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ LIMIT = 2048
 REMEMBERED = 200_000  # pre-tokens whose counts a task keeps
 _WORD_END = "</w>"
 _PLAIN = re.compile("[\x00-ɏ]*")
+_BLANKS = re.compile(r"[ \t\r\n]+")
 # Fixed value: the vocabulary's cutting rule; white space as it is below U+0250.
 _SPACE = r"\t-\r \x85\xa0"
 _PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -85,9 +87,15 @@ class Counter(dict):
         return total + self._part(text[start:])
 
     def _part(self, text: str) -> int:
-        if not _PLAIN.fullmatch(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids) if text else 0
-        return sum(map(self.__getitem__, _PRE_TOKEN.findall(text.lower())))
+        if _PLAIN.fullmatch(text):
+            return sum(map(self.__getitem__, _PRE_TOKEN.findall(text.lower())))
+        total, others = 0, []
+        for stretch in _BLANKS.split(text):
+            if _PLAIN.fullmatch(stretch):
+                total += sum(map(self.__getitem__, _PRE_TOKEN.findall(stretch.lower())))
+            else:
+                others.append(stretch)
+        return total + sum(len(e.ids) for e in self.library.encode_batch(others, add_special_tokens=False))
 
 
 @lru_cache(maxsize=2)

@@ -27,7 +27,7 @@ def test_every_plain_character():
             assert count.tokens(text) == library(text), hex(point)
 
 
-PARTS = ["<|endoftext|>", "<|startoftext|>", "<|", "'s", "'LL", " ", "\n", "The", "the", "ÉTÉ", "ß", "12", "…", "Σ", "é", "!!'", "http://x"]
+PARTS = ["\u0301", "—", "e\u0301", "中", "\x1c", "\u3000", "ᄀ", "ᅡ", "K", "<|endoftext|>", "<|startoftext|>", "<|", "'s", "'LL", " ", "\n", "The", "the", "ÉTÉ", "ß", "12", "…", "Σ", "é", "!!'", "http://x"]
 
 
 @settings(max_examples=400, deadline=None)
