@@ -182,6 +182,28 @@ def test_hits_out_of_order_find_their_window(spark):
     assert {r.id: r.n for r in spark.read.parquet(f"{path}/counted").collect()} == {1: 1, 2: 2, 3: 1, 4: 3, 5: 1, 6: 1}
 
 
+def test_streamed_sweeps_mark_clusters(spark, views, events):
+    from footfall import schemas
+    from footfall.sources.tables import append_facts
+    from footfall.streaming.correlate import read_markers, start_sweeps
+
+    path = shared_dir(spark, "sweeps")
+    who = [{"visitor_id": f"v{i}", "created_at": NOW - timedelta(minutes=1)} for i in range(7)]
+    append_facts(views(*who), f"{path}/views")
+    append_facts(events(*who), f"{path}/events")
+    row = ("Linux", "Chrome", "139", 1920, 1080, "US", "en")
+    # three addresses in each batch: a cluster only together, and the last one too late for it
+    times = [0, 0, 0, 60, 60, 60, 4000]
+    prints = spark.createDataFrame(
+        [(f"ip{i}", f"v{i}", "site", row, False, NOW + timedelta(seconds=s)) for i, s in enumerate(times)], schemas.PRINTS
+    )
+    finish(start_sweeps(files_of(spark, prints, "ts", 3), f"{path}/views", f"{path}/events", path, every=None))
+    assert {r.ip_hash for r in read_markers(spark, path).collect()} == {f"ip{i}" for i in range(6)}
+    for name in ("views", "events"):
+        scores = {r.visitor_id: r.bot_score for r in spark.read.parquet(f"{path}/{name}").collect()}
+        assert scores == {f"v{i}": 30 if i < 6 else 0 for i in range(7)}
+
+
 def test_missing_state_is_an_error(spark):
     from pyspark.errors import AnalysisException
 
