@@ -97,15 +97,15 @@ _WITHIN = np.searchsorted(_POPULATION[_BY_POPULATION], np.arange(17), side="righ
 
 class Index:
     """Rows of codes, indexed by each 16-bit substring: the values that occur, in order,
-    and the rows of each."""
+    the rows of each, and each row's place among the values."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.buckets = []
         for part in codes.view("<u2").T:
             order = np.argsort(part, kind="stable").astype(np.int32)
-            values, sizes = np.unique(part, return_counts=True)
-            self.buckets.append((values, np.concatenate([[0], np.cumsum(sizes)]), order))
+            values, places, sizes = np.unique(part, return_inverse=True, return_counts=True)
+            self.buckets.append((values, np.concatenate([[0], np.cumsum(sizes)]), order, places.astype(np.int32)))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Positions of all codes within the radius, found by probing. Values near the
@@ -117,15 +117,14 @@ class Index:
             near = min(radius // len(pieces) - (j > radius % len(pieces)), 16)
             if near < 0:
                 break
-            values, ends, order = self.buckets[j]
+            values, ends, order, places = self.buckets[j]
             if _WITHIN[near] < len(values) // 8:
                 listed = piece ^ _BY_POPULATION[: _WITHIN[near]]
                 at = np.minimum(np.searchsorted(values, listed), len(values) - 1)
                 for bucket in at[values[at] == listed]:
                     found[order[ends[bucket] : ends[bucket + 1]]] = True
             else:
-                picked = _POPULATION[values ^ piece] <= near
-                found[order[np.repeat(picked, np.diff(ends))]] = True
+                found |= (_POPULATION[values ^ piece] <= near)[places]
         rows = np.flatnonzero(found)
         return rows[_distances(self.codes[rows], code) <= radius]
 
@@ -181,7 +180,7 @@ def nearest(
 
     def searched(queries: DataFrame, radius: int) -> DataFrame:
         def search(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-            codes, out = shared.value, []
+            codes, out = shared.value, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if len(asked) and len(stored):
                 ids, matrix, wanted = stored["vec_id"].to_numpy(), _matrix(stored["vector"]), _matrix(asked["vector"])
                 index = Index(codes.of_rows(matrix))
@@ -191,8 +190,8 @@ def nearest(
                     scores = np.einsum("ij,j->i", matrix[found], vector)
                     best = np.lexsort((ids[found], -scores))
                     best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])[:k]]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[found][best], "score": scores[best]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                    out.append((np.full(len(best), query), ids[found][best], scores[best]))
+            return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
         blocks = max(1, -(-queries.count() // block))
         asked = queries.select("vec_id", "vector", place("block", blocks).alias("block"), spread(shards).alias("shard"))
