@@ -167,14 +167,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, penalties: Penalties
     """Learn from the rows of ``docs`` (doc_id, text, lang) that aren't held out.
 
     Rows with a null lang count in the document frequencies only; texts without a
-    letter teach nothing. Without labelled rows the model knows no language.
+    letter teach nothing. Without a row to learn from the model knows no language.
     """
     learnable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out())
     labelled = learnable.where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
+    nothing = Model([], np.zeros(PLACES), np.zeros((PLACES + 1, 0)), 1.0)
     if not languages:
-        return Model([], np.zeros(PLACES), np.zeros((PLACES + 1, 0)), 1.0)
+        return nothing
     frequencies, number = document_frequencies(learnable)
     idf = np.log((1 + number) / (1 + frequencies)) + 1
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
@@ -200,6 +201,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, penalties: Penalties
             for label, turn, places, values in zip(*(batch.column(k) for k in range(4))):
                 row = (places.values.to_numpy(), values.values.to_numpy().astype(np.float64), label.as_py())
                 (kept if turn.as_py() % 5 == 0 else rows).append(row)
+        if not rows and not kept:
+            return
         learner = Learner(len(languages), penalties)
         for _ in range(penalties.epochs):
             for row in rows or kept:
@@ -212,8 +215,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, penalties: Penalties
 
     chosen = sample.select("text", "lang", F.xxhash64("doc_id", F.lit("order")).alias("turn"))
     vectors = chosen.mapInArrow(features, "label int, turn long, places array<int>, values array<float>")
-    model = vectors.repartition(1).sortWithinPartitions("turn", "label", "places").mapInArrow(learn, "model binary").first()
-    found = np.load(io.BytesIO(model.model))
+    models = vectors.repartition(1).sortWithinPartitions("turn", "label", "places").mapInArrow(learn, "model binary").collect()
+    if not models:
+        return nothing
+    found = np.load(io.BytesIO(models[0].model))
     return Model(languages, idf, found["weights"], float(found["temperature"]))
 
 

@@ -64,6 +64,8 @@ def test_odd_rows(spark):
     none = docs.where("lang is null")
     assert {r.lang_pred for r in predicted(none, fit(none)).collect()} == {"und"}
     assert predicted(docs.limit(0), fit(docs.limit(0))).collect() == []
+    wordless = docs.where("doc_id = 900")
+    assert {r.lang_pred for r in predicted(docs, fit(wordless)).collect()} == {"und"}
 
 
 def test_prediction_does_not_see_the_label(spark):
