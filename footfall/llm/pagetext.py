@@ -32,6 +32,8 @@ _MOST = 4.0  # of a word's log-odds, either way
 # Element names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object canvas audio video".split())
+# Browsers read these to the end of the file if no end tag follows; of the other raw ones the tag alone is skipped.
+_TO_END = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
@@ -59,6 +61,10 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|\Z|\"|')", re.I)
 
+_NAMED = re.compile(r"(?<![\w-])(?:class|id)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_WRAPPERS = frozenset(("form", "fieldset"))
+_FEW = 0.1  # of a side part's words, outside of all side parts: then it wraps the page
+
 
 def _names_side(name: str, in_main: bool) -> bool:
     words = re.split(r"[^a-z]+", name)
@@ -93,6 +99,12 @@ def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+@lru_cache(maxsize=65536)
+def _may_hold_text(tag: str, attributes: str) -> bool:
+    """Whether a side part is one by its class or id only, or a form: it may wrap a page."""
+    return (tag in _WRAPPERS or tag not in SIDE_TAGS and tag != "header") and not _is_side("div", _NAMED.sub("", attributes), True)
+
+
 @dataclass
 class Token:
     """A run of words of one block, or a tag (words = 0)."""
@@ -111,16 +123,40 @@ class Page:
     tokens: list[Token] = field(default_factory=list)
     has_main: bool = False
     block_words: Counter = field(default_factory=Counter)
+    side_words: Counter = field(default_factory=Counter)  # by start of a side part that may hold text
+    side_mains: Counter = field(default_factory=Counter)  # words of article elements, by the starts of the side parts around
 
 
 def tokens_of(page: str) -> Page:
-    """The tokens of a page; markup errors and cut-off pages are read as browsers do."""
+    """The tokens of a page; markup errors and cut-off pages are read as browsers do. A form
+    or a part with a side part's name that wraps the page's article, or nearly all its
+    words, is none; what lies in it is marked on its own."""
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        out = _tokens(page, wrappers)
+        if out.has_main or not out.side_words:
+            return out
+        words = sum(t.words for t in out.tokens)
+        outside = sum(t.words for t in out.tokens if not t.side)
+        around, most = max(out.side_mains.items(), key=lambda x: x[1], default=((), 0))
+        more = set(around) if most > outside else set()
+        more |= {p for p, n in out.side_words.items() if 2 * n > words and outside <= _FEW * n}
+        if not more:
+            return out
+        wrappers |= more
+
+
+def _tokens(page: str, wrappers: frozenset[int]) -> Page:
+    """The tokens, read as if the elements that start at ``wrappers`` were no side parts."""
     out = Page()
     mains = "article" if re.search(r"<article[\s>]", page, re.I) else "main"
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, side, main
+    sides: list[tuple[int, int, bool]] = []  # side parts around: depth of stack, start, may hold text
+    held: list[tuple[int, tuple[int, ...]]] = []  # article elements in them: depth, starts of the side parts
     block, links, position = 0, 0, 0
     while match := _TOKEN.match(page, position):
-        position = match.end()
+        start, position = position, match.end()
+        sides, held = ([x for x in xs if x[0] < len(stack)] for xs in (sides, held))
         if (text := match["text"]) is not None:
             following = position
             while following < len(page) and (more := _TOKEN.match(page, following)) and more["text"] is not None:
@@ -130,6 +166,9 @@ def tokens_of(page: str) -> Page:
             words = len(text.split())
             out.tokens.append(Token(tag, block, words, html.unescape(text), side, links > 0, main))
             out.block_words[block] += words
+            if side and all(s[2] for s in sides):
+                out.side_words.update({s[1]: words for s in sides})
+                out.side_mains.update({h[1]: words for h in held})
             continue
         if (tag := match["tag"]) is None:
             continue
@@ -150,7 +189,7 @@ def tokens_of(page: str) -> Page:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, position)
             if not match["attributes"].rstrip().endswith("/") or tag not in ("svg", "math"):
-                position = end.start() if end else len(page)
+                position = end.start() if end else len(page) if tag in _TO_END else position
             out.tokens.append(Token(tag, block))
             continue
         _, side, main = stack[-1]
@@ -162,7 +201,12 @@ def tokens_of(page: str) -> Page:
             elif stack[-1][0] == "p":
                 stack.pop()
                 _, side, main = stack[-1]
-            side = side or _is_side(tag, match["attributes"], main)
+            sides, held = ([x for x in xs if x[0] < len(stack)] for xs in (sides, held))
+            if start not in wrappers and _is_side(tag, match["attributes"], main):
+                side = True
+                sides.append((len(stack), start, _may_hold_text(tag, match["attributes"])))
+            if tag == mains and side and all(s[2] for s in sides):
+                held.append((len(stack), tuple(s[1] for s in sides)))
             is_main = tag == mains and not side
             out.has_main |= is_main
             stack.append((tag, side, main or is_main))

@@ -86,3 +86,27 @@ def test_odd_markup(spark, learned):
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert texts(none, fit(none)).collect() == []
+
+
+def test_side_parts_that_wrap_the_page(learned):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, n) for n in (6, 60, 70))
+    side = prose(rng, 20)
+    menu = "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in WORDS) + "</ul>"
+    body = f"<h2>{a}</h2><p>{b}</p><p>{c}</p>"
+    around = f"<nav>{menu}</nav>%s<aside><p>{side}</p></aside><footer><p>{side}</p></footer>"
+    for inside in (f"<article>{body}</article>", f"<div>{body}</div>"):
+        form = f'<form id="aspnetForm">{around % inside}<label>{side}</label><button>Go</button></form>'
+        named = f'<div class="content-with-sidebar">{inside}<div class="sidebar">{side}</div></div>'
+        for page in (form, around % named, f'<form><div id="layout-sidebar">{inside}</div></form>', f"<body><p>x</p>{around % inside}</body>"):
+            assert extracted(page, learned).removeprefix("x\n\n") == f"{a}\n\n{b}\n\n{c}", page
+    teaser = f'<div class="related"><article><p>{side}</p></article></div>'
+    assert extracted(f"<div>{body}</div>{teaser}", learned) == f"{a}\n\n{b}\n\n{c}"
+    assert extracted(f"<form><p>{side}</p></form><div>{body}</div>", learned) == f"{a}\n\n{b}\n\n{c}"
+
+
+def test_raw_elements_without_an_end(learned):
+    b = prose(random.Random(7), 60)
+    for tag in ("svg", "object", "video", "canvas", "noscript"):
+        assert extracted(f"<article><{tag} width=3><p>{b}</p></article>", learned) == b
+    assert extracted(f"<article><p>{b}</p><script>var x = 1; <p>{b}</p></article>", learned) == b
