@@ -110,17 +110,6 @@ def url_key(url: str) -> str:
     return ",".join(reversed(name.split("."))) + (f":{port}" if port else "") + ")" + slash + path
 
 
-def _digests(pages: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = list(payloads(batch.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(digest, texts)), pa.array(map(len, texts), pa.int64())], names=["page_id", "payload_digest", "n"]
-            )
-
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, payload_digest string, n long")
-
-
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -139,14 +128,16 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, rows_per_file: int =
     """
     path = shared_dir(pages.sparkSession, "warc")
     chosen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    marked = written(_digests(chosen), "digests").where(F.col("n") >= least_bytes)
-    first = marked.groupBy("payload_digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    # joined by digest while rows are narrow, by page when they hold texts
-    revisits = marked.join(first, ["payload_digest", "n"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    columns = ["page_id", "url", "html", "refers_to"]
-    named = chosen.where("page_id is not null").join(revisits, "page_id", "left").select(columns)
-    nameless = _with_digest(chosen.where("page_id is null")).join(first, ["payload_digest", "n"], "left").select(columns)
-    rows = named.unionByName(nameless).mapInArrow(_members, "member binary")
+    keyed = chosen.withColumn("payload_sha1", F.sha1(payload := F.coalesce("html", F.lit("")).cast("binary"))).withColumn("n", F.octet_length(payload))
+    marked = written(keyed.select("page_id", "payload_sha1", "n"), "digests").where(F.col("n") >= least_bytes)
+    first = marked.groupBy("payload_sha1", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    # an id alone doesn't tell a revisit: a page may come again with another payload
+    revisits = (
+        marked.join(first, ["payload_sha1", "n"]).where("refers_to is not null and not page_id <=> refers_to")
+        .select(F.col("page_id").alias("page"), F.col("payload_sha1").alias("sha1"), "refers_to").distinct()
+    )
+    same = keyed.page_id.eqNullSafe(revisits.page) & (keyed.payload_sha1 == revisits.sha1)
+    rows = keyed.join(revisits, same, "left").select("page_id", "url", "html", "refers_to").mapInArrow(_members, "member binary")
     (
         rows.select(F.col("member").cast("string").alias("value")).write.mode("overwrite")
         .option("lineSep", "\0").option("maxRecordsPerFile", rows_per_file).text(path)
@@ -154,18 +145,6 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, rows_per_file: int =
     return path
 
 
-def _with_digest(pages: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = list(payloads(batch["html"]))
-            yield pa.RecordBatch.from_arrays(
-                [batch["page_id"], batch["url"], batch["html"], pa.array(map(digest, texts)), pa.array(map(len, texts), pa.int64())],
-                names=["page_id", "url", "html", "payload_digest", "n"],
-            )
-
-    return pages.mapInArrow(run, "page_id long, url string, html string, payload_digest string, n long")
-
-
 def _spans(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, content) of each record of an archive."""
     view, at = memoryview(data), 0

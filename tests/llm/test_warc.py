@@ -93,3 +93,11 @@ def test_empty_table(spark):
     index = capture_index.build(warc.scanned(spark, warc.write_archives(frame)))
     keys = spark.createDataFrame([("x",)], "url_key string")
     assert warc.read_records(capture_index.lookup(index, keys)).collect() == []
+
+
+def test_a_page_that_comes_again_with_another_payload(spark):
+    pages = [(1, "http://x/1", "a"), (2, "http://x/2", "a"), (2, "http://x/2", "own"), (3, "http://x/3", "b"), (4, "http://x/4", "a"), (4, "http://x/5", "b")]
+    _, _, rows = read(spark, pages)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str)
+    assert got == plain(pages)
+    assert [r.html for r in rows if r.page_id == 2 and r.record_type == "response"] == ["own"]
