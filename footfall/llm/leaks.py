@@ -15,6 +15,7 @@ collection of items or documents reaches the driver or is broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from math import ceil
@@ -97,7 +98,8 @@ def _in(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _hits(docs: DataFrame, kept: np.ndarray, every: np.ndarray, size: int) -> DataFrame:
-    """(doc_id, doc_key, shingle): the different shingles of candidate documents that may be an item's."""
+    """(doc_id, text_key, shingle): the different shingles of candidate documents that may
+    be an item's; text_key is the SHA-256 of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((kept, every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +110,33 @@ def _hits(docs: DataFrame, kept: np.ndarray, every: np.ndarray, size: int) -> Da
                 runs = shingles(text, size)
                 places = _places(_hashes(runs))
                 if _in(kept, places).any():
-                    key = xxhash.xxh64_intdigest(text) >> 1
+                    key = hashlib.sha256(text).digest()
                     out += [(doc, key, r) for r in {runs[k] for k in np.flatnonzero(_in(every, places))}]
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "doc_key", "shingle"]
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "text_key", "shingle"]
             )
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, doc_key long, shingle binary")
+    return chosen.mapInArrow(run, "doc_id long, text_key binary, shingle binary")
+
+
+def _found(docs: DataFrame, items: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Each text under each id with each item that it holds."""
+    wanted = written(item_shingles(items, threshold, size), "items")
+    hits = _hits(docs, _bitmap(wanted.where("kept")), _bitmap(wanted), size)
+    return (
+        hits.join(wanted, "shingle")
+        .groupBy("doc_id", "text_key", "item_id", "item_key", "size_class", "n_shingles")
+        .agg(F.count_distinct("shingle").alias("n_found"), F.max("kept").alias("candidate"))
+        .where(F.col("candidate") & (F.col("n_found") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)))
+    )
+
+
+def leaked(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key) of the texts that hold any item, each once under each of its
+    ids; text_key is the SHA-256 of the whole text. Otherwise as ``leaks``."""
+    return _found(docs, items, threshold, size).select("doc_id", "text_key").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
@@ -129,14 +149,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size:
     give one result; of texts with the same id the best one counts. Null ids are
     compared like any other. Empty tables give an empty result.
     """
-    wanted = written(item_shingles(items, threshold, size), "items")
-    hits = _hits(docs, _bitmap(wanted.where("kept")), _bitmap(wanted), size)
-    found = (
-        hits.join(wanted, "shingle")
-        .groupBy("doc_id", "doc_key", "item_id", "item_key", "size_class", "n_shingles")
-        .agg(F.count_distinct("shingle").alias("n_found"), F.max("kept").alias("candidate"))
-        .where(F.col("candidate") & (F.col("n_found") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)))
-    )
+    found = _found(docs, items, threshold, size)
     best = F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_found", "size_class"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
         "doc_id", "item_id", "best.size_class", "best.n_shingles", "best.n_found", "best.containment"

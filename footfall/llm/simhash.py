@@ -17,12 +17,13 @@ at most one, so each is grouped under its own value and its 64 one-bit changes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import payloads, written
@@ -53,17 +54,25 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, bits) for every row, bits as a signed long; a null text has no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the whole text: what ``marks`` calls text_key. Null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def marks(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, text_key, bits) for every row, bits as a signed long; a null text has no words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = pa.array([fingerprint(t, shingle) for t in payloads(batch.column(1))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), bits], schema=schema)
+            keys, bits = [], []
+            for text in payloads(batch.column(1)):
+                keys.append(hashlib.sha256(text).digest())
+                bits.append(fingerprint(text, shingle))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bits, pa.int64())], schema=schema)
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, bits long")
+    return chosen.mapInArrow(run, "doc_id long, text_key binary, bits long")
 
 
 def fuzzy_keys(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +147,42 @@ def near_copies(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> Data
     fingerprint zero and are linked like any other. Other columns are ignored. An empty
     table gives an empty result.
     """
-    marked = written(fingerprints(docs, shingle), "fingerprints")
+    marked = written(marks(docs, shingle), "fingerprints")
     different = marked.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    roots = components(links(different, bucket))
-    joined = different.join(roots, F.col("bits") == F.col("node"))
+    joined = _rooted(different, bucket)
     classes = joined.groupBy("root").agg(F.min("least").alias("class_least"))
     linked = joined.join(classes, "root").select("bits", "class_least")
     ids = different.join(linked, "bits", "left").select("bits", F.coalesce("class_least", "least").alias("component_id"))
     return marked.join(ids, "bits").select(
         "doc_id", "bits", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _rooted(different: DataFrame, bucket: int) -> DataFrame:
+    """The linked rows of ``different`` (bits, no value twice) with the root of their component."""
+    roots = components(links(different, bucket))
+    return different.join(roots, F.col("bits") == F.col("node")).drop("node")
+
+
+def surplus(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """What has to go so that of each component of ``near_copies`` one row stays: that
+    with the smallest doc_id, then the smallest text_key; null ids come after all others.
+
+    (doc_id, text_key, stays, rows), one row for each different pair of id and text that
+    doesn't stay, or that stays but occurs in more than one row. Null and empty texts
+    count as one text. Other columns are ignored; an empty table gives an empty result.
+    """
+    marked = written(marks(docs, shingle), "fingerprints")
+    keys = marked.groupBy("bits", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    # one row a fingerprint before fingerprints meet their components
+    leaders = written(keys.groupBy("bits").agg(F.min(place).alias("leader")), "leaders")
+    joined = _rooted(leaders, bucket)
+    first = joined.groupBy("root").agg(F.min("leader").alias("leader"))
+    alone = leaders.join(joined, "bits", "left_anti")
+    stay = alone.select("leader.*").unionByName(first.select("leader.*")).withColumn("found", F.lit(True))
+    same = keys["doc_id"].eqNullSafe(stay["doc_id"]) & (keys["text_key"] == stay["text_key"])
+    judged = keys.join(stay, same, "left").select(
+        keys["doc_id"], keys["text_key"], F.col("found").isNotNull().alias("stays"), "rows"
+    )
+    return judged.where("not stays or rows > 1")

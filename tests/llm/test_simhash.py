@@ -1,14 +1,16 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from footfall.llm.components import components
 from footfall.llm.golay import codewords_near
-from footfall.llm.simhash import fingerprint, links, near_copies
+from footfall.llm.simhash import fingerprint, links, marks, near_copies, surplus, text_digest
 
 
 def plain_fingerprint(text):
@@ -110,6 +112,35 @@ def test_near_copies_equals_all_pairs(spark):
     assert got == want
 
 
+def test_surplus_leaves_one_row_of_each_component(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    data = [(None, "odd row"), (None, "odd row"), (1, None), (1, ""), (None, ""), (2, "twice here"), (2, "twice here"), (2, "alone of its kind")]
+    for i in range(40):
+        base = " ".join(rng.choices(words, k=rng.choice([3, 30, 600])))
+        for _ in range(rng.randint(1, 4)):
+            data.append((rng.choice([None, 100 + i, 200 + i, 300 + rng.randrange(9)]), base + rng.choice(["", "", " one"])))
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumns({"bits": F.lit("x"), "root": F.lit(1)})
+    gone = {(r.doc_id, bytes(r.text_key)): (r.stays, r.rows) for r in surplus(docs).collect()}
+    label = plain_components([plain_fingerprint(t) for _, t in data])
+    key = lambda doc, text: (doc, hashlib.sha256((text or "").encode()).digest())
+    groups, want = {}, {}
+    for (doc, text), x in zip(data, label):
+        groups.setdefault(x, []).append(key(doc, text))
+    for group in groups.values():
+        first = min(group, key=lambda k: (k[0] is None, k))
+        for k in group:
+            if k != first or group.count(k) > 1:
+                want[k] = (k == first, group.count(k))
+    assert gone == want and any(stays for stays, _ in want.values())
+
+
+def test_text_digest_is_the_key_of_marks(spark):
+    docs = spark.createDataFrame([(1, "Zoë\n"), (2, ""), (3, None)], "doc_id long, text string")
+    marked = {r.doc_id: bytes(r.text_key) for r in marks(docs).collect()}
+    assert marked == {r.doc_id: bytes(r.k) for r in docs.select("doc_id", text_digest(docs.text).alias("k")).collect()}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert near_copies(docs).collect() == []
+    assert near_copies(docs).collect() == [] and surplus(docs).collect() == []
