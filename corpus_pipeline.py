@@ -6,54 +6,66 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import languages, leaks, packing, similar
+from footfall.llm import languages, leaks, packing, simhash
 from footfall.llm.common import prepared, table, written
 
 LEAST_SCORE = 0.5
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The whole rows as one column, which no helper column can clash with, and their keys."""
+    return docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        simhash.text_digest(F.col("text")).alias("text_key"),
+    )
+
+
+def _same(keyed: DataFrame, other: DataFrame) -> Column:
+    return keyed.doc_id.eqNullSafe(other.doc_id) & (keyed.text_key == other.text_key)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language isn't known: no letters, or a score below LEAST_SCORE."""
+    """Documents go whose language isn't known: no letters (null and empty texts too), or
+    a score below LEAST_SCORE. Texts count whole, however long; repeated rows and null
+    ids are judged each by their own text; further columns of any name are kept; an
+    empty table gives an empty one."""
     prepared(spark)
-    found = languages.predicted(docs, languages.fit(docs))
-    return found.where((found.lang_pred != languages.UNKNOWN) & (found.score >= LEAST_SCORE)).select(docs.columns)
+    names = [c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)]  # no clash with what is predicted
+    found = languages.predicted(docs.toDF(*names), languages.fit(docs))
+    known = (found.lang_pred != languages.UNKNOWN) & (found.score >= LEAST_SCORE)
+    return found.where(known).select(names).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (Jaccard similarity of 0.8 on five-word shingles, in chains) one row
-    stays: that with the smallest id, then the smallest key of its text. A row without an
-    id comes after all others; of rows equal in both, one stays."""
+    """Of near copies (SimHash of three-word shingles, linked at two or fewer differing
+    bits, in chains) one row stays: that with the smallest id, then the smallest digest
+    of its text. A row without an id comes after all others; of rows equal in both, one
+    stays. Null and empty texts are copies of each other. Texts count whole; further
+    columns of any name are kept; an empty table gives an empty one."""
     prepared(spark)
-    row = ["doc_id", "text_key"]
-    keyed = docs.withColumn("text_key", similar.text_key())
-    found = keyed.select(row).groupBy(row).agg(F.count("*").alias("rows"))
-    roots = similar.groups(docs).withColumnRenamed("node", "text_key")
-    marked = found.join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    place = F.struct(F.col("doc_id").isNull(), *row)
-    first = marked.groupBy("root").agg(F.min(place).alias("first"))
-    judged = written(marked.join(first, "root").select(*row, "rows", (place == F.col("first")).alias("stays")), "judged")
-
-    def same(other: DataFrame) -> Column:
-        return keyed.doc_id.eqNullSafe(other.doc_id) & (keyed.text_key == other.text_key)
-
-    others = judged.where("not stays or rows > 1")
-    repeated = judged.where("stays and rows > 1")
-    once = keyed.join(others, same(others), "left_anti")
-    again = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(row)
-    return once.unionByName(again).select(docs.columns)
+    # a table, so that its size is known: a small one is broadcast, a large one joined by key
+    judged = written(simhash.surplus(docs), "surplus")
+    keyed, repeated = _keyed(docs), judged.where("stays")
+    once = keyed.join(judged, _same(keyed, judged), "left_anti")
+    again = keyed.join(repeated, _same(keyed, repeated), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return once.unionByName(again).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows go whose text holds a benchmark item."""
+    """Rows go whose text holds a benchmark item. Rows of one id are judged each by its
+    own text, null ids too; repeated rows stay or go together; null and empty texts hold
+    nothing; texts count whole; further columns of any name are kept; an empty table
+    gives an empty one."""
     prepared(spark)
-    keyed = docs.withColumn("text_key", similar.text_key())
-    texts = keyed.select(F.col("text_key").alias("doc_id"), "text")
-    leaked = leaks.leaks(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("text_key")).distinct()
-    return keyed.join(leaked, "text_key", "left_anti").select(docs.columns)
+    leaked = written(leaks.leaked(docs, table(spark, sf_dir, "benchmark")), "leaked")
+    keyed = _keyed(docs)
+    return keyed.join(leaked, _same(keyed, leaked), "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in training sequences."""
+    """Places of all pieces of all rows in training sequences (columns of ``packing.packed``).
+    Null and empty texts are their end token alone; repeated rows and null ids are packed
+    like any other; other columns are ignored; an empty table gives an empty result."""
     prepared(spark)
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -65,7 +77,7 @@ STAGES = [
     ("packed", packed),
 ]
 
-# The language model and the similarity of texts have no SQL.
+# The language model and fingerprints have no SQL.
 ORACLE_SQL = None
 
 
