@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import capture_index, chat, languages, leaks, licenses, packing, pagetext, tokencounts, vectors, warc
+from footfall.llm import capture_index, chat, languages, leaks, licenses, merkle, packing, pagetext, tokencounts, vectors, warc
 from footfall.llm.common import prepared, table
 from footfall.llm.simhash import near_copies
 
@@ -77,11 +77,20 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepared(spark), sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = merkle.checked(docs, now=F.replace("text", F.lit("\n"), F.lit("")), changed=tampered)
+    proof = F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_multi_index_hashing, op2_page_text, op3_golay_simhash, op4_chat_format, op5_warc_index,
         op6_best_two_fit, op7_token_counts, op8_language_id, op9_containment, op10_license_digests,
+        op13_merkle_manifest,
     )
 }
 
@@ -133,9 +142,17 @@ SELECT id AS doc_id, item_id, any_value(n_shingles) AS n_shingles, count(*) AS n
 FROM items JOIN runs ON kind = 'd' AND runs.shingle = items.shingle
 GROUP BY id, item_id HAVING count(*) >= ceil(0.8 * any_value(n_shingles) - 1e-9)"""
 
+# unsigned CRC-32 (reflected polynomial 0xEDB88320) of a doc_id as decimal text
+CRC32_SQL = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))))"""
+
+OP13_SQL = merkle.checked_sql(f"doc_id IS NOT NULL AND {CRC32_SQL} % 2 = 0", "replace(text, chr(10), '')")
+
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op5_warc_index": OP5_SQL,
     "op9_containment": OP9_SQL,
     "op10_license_digests": licenses.scan_sql(),
+    "op13_merkle_manifest": OP13_SQL,
 }
