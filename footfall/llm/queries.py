@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import capture_index, chat, languages, leaks, licenses, merkle, packing, pagetext, tokencounts, topk, vectors, warc
+from footfall.llm import (
+    capture_index, chat, languages, leaks, lexical, licenses, merkle, packing, pagetext, tokencounts, topk, vectors, warc,
+)
 from footfall.llm.common import prepared, table
 from footfall.llm.simhash import near_copies
 
@@ -77,6 +79,10 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op12_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, factor=256)
 
@@ -94,7 +100,7 @@ QUERIES = {
     for query in (
         op1_multi_index_hashing, op2_page_text, op3_golay_simhash, op4_chat_format, op5_warc_index,
         op6_best_two_fit, op7_token_counts, op8_language_id, op9_containment, op10_license_digests,
-        op12_uniform_threshold, op13_merkle_manifest,
+        op11_dual_tree, op12_uniform_threshold, op13_merkle_manifest,
     )
 }
 
@@ -158,6 +164,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc_index": OP5_SQL,
     "op9_containment": OP9_SQL,
     "op10_license_digests": licenses.scan_sql(),
+    "op11_dual_tree": lexical.search_sql(k=50),
     "op12_uniform_threshold": topk.top_k_sql(every=50, k=5, factor=256),
     "op13_merkle_manifest": OP13_SQL,
 }
