@@ -30,7 +30,9 @@ from footfall.plans import (
 from footfall.plans.threats import Feeds
 from footfall.session import shared_dir
 from footfall.settings import Settings
+from footfall.sources.folders import read_facts
 from footfall.sources.tables import append_facts, insert_absent, read_table, upsert
+from footfall.streaming.sinks import write_facts
 
 SECRET = "check-secret"
 SETTINGS = Settings(
@@ -767,6 +769,27 @@ def swept_again(spark: SparkSession, sf: str) -> DataFrame:
 register("J09_stored_views", swept_again, penalised("judged"), *SWEEP_TABLES, before=JUDGED)
 
 
+def in_batches(df: DataFrame, path: str, batches: int = 3) -> None:
+    """The rows as a stream of micro-batches would have stored them."""
+    for batch in range(batches):
+        write_facts(df.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch), path, batch)
+
+
+def swept_by_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored views after a sweep that opens only folders that may hold its visitors."""
+    base = shared_dir(spark, "facts")
+    in_batches(table(spark, sf, "views"), f"{base}/views")
+    in_batches(table(spark, sf, "sem_events"), f"{base}/events")
+    correlate.sweep_stored(
+        spark, f"{base}/views", f"{base}/events", prints(spark, sf), stage_dir=f"{base}/stage",
+        as_of=as_of(sf), window_seconds=WINDOW, min_seconds=QUIET[0], max_seconds=QUIET[1],
+    )
+    return read_facts(spark, f"{base}/views").select(*SCORE)
+
+
+register("J09_filtered_views", swept_by_filter, penalised("judged"), *SWEEP_TABLES, before=JUDGED)
+
+
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Views scored with the markers of a sweep over the prints of the same hits."""
     first = pageviews(spark, sf)

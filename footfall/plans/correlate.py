@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.predicates import ago, at, is_clean, now_utc, within
+from footfall.sources.folders import FOLDER, folders_with, live_folders, read_folders
 from footfall.sources.tables import overwrite_partitions, remove
 
 # Cluster sizes, points, ages.
@@ -167,11 +168,13 @@ def _can_be_raised(marker: str) -> Column:
 
 
 def touched_partitions(facts: DataFrame, penalties: DataFrame) -> DataFrame:
-    """Site and day of the rows that ``apply_penalties`` would raise, with their number."""
+    """Site and day (and micro-batch, in tables that have them) of the rows that
+    ``apply_penalties`` would raise, with their number."""
+    batch = [c for c in FOLDER[2:] if c in facts.columns]
     return (
         facts.filter(_can_be_raised("correlated"))
         .join(penalties.select("site_id", "visitor_id"), ["site_id", "visitor_id"], "left_semi")
-        .groupBy("site_id", F.to_date("created_at").alias("event_date"))
+        .groupBy("site_id", F.to_date("created_at").alias("event_date"), *batch)
         .agg(F.count("*").alias("rows"))
     )
 
@@ -213,17 +216,22 @@ def sweep(
     )
 
 
-STORED_BY = ("site_id", "event_date")
+def _stored_by(facts: DataFrame) -> list[str]:
+    return [c for c in FOLDER if c in facts.columns]
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _rewritten(path: str, facts: DataFrame, touched: DataFrame, change, stage: str) -> None:
-    """Rewrite the touched site and day folders of a stored table with ``change``
-    applied. The new rows are staged first: nothing reads a folder it overwrites."""
-    spark = facts.sparkSession
-    change(facts.join(touched.select(*STORED_BY), list(STORED_BY), "left_semi")).write.mode("overwrite").parquet(stage)
-    folders = [c for c in (*STORED_BY, "batch_id") if c in facts.columns]
-    overwrite_partitions(spark.read.schema(facts.schema).parquet(stage), path, *folders)
-    remove(spark, stage)
+    """Rewrite the touched folders of a stored table with ``change`` applied. The new
+    rows are staged first: nothing reads a folder it overwrites."""
+    folders = _stored_by(facts)
+    new = change(facts.join(touched.select(*folders), folders, "left_semi"))
+    overwrite_partitions(_staged(new, stage).select(*facts.columns), path, *folders)
+    remove(facts.sparkSession, stage)
 
 
 def sweep_stored(
@@ -238,26 +246,39 @@ def sweep_stored(
     min_seconds: int = NO_EVENT_MIN_SECONDS,
     max_seconds: int = NO_EVENT_MAX_SECONDS,
 ) -> DataFrame:
-    """One correlation run over stored tables by site and day. Only the folders with
-    rows to raise are read whole and written again. Returns the confirmed markers
-    (ip_hash, kind, ts), which the ingest jobs take as they are."""
+    """One correlation run over stored tables by site and day. Returns the confirmed
+    markers (ip_hash, kind, ts), which the ingest jobs take as they are.
+
+    Views are read in the folders of the days that quiet visits may lie in, and in those
+    that may hold a penalised visitor by their filters; events in those that may hold a
+    penalised or a quiet visitor. No other folder is listed or opened, however long the
+    tables' history is. Only folders with rows to raise are written again.
+    """
     recent = recent_prints(prints, as_of=as_of, seconds=window_seconds)
     clusters = find_clusters(recent)
-    penalties = cluster_penalties(recent, clusters)
-    views, events = spark.read.parquet(views_path), spark.read.parquet(events_path)
+    penalties = _staged(cluster_penalties(recent, clusters), f"{stage_dir}/penalties")
     span = dict(as_of=as_of, min_seconds=min_seconds, max_seconds=max_seconds)
 
-    oldest = ago(as_of, seconds=max_seconds)
-    aged = within(views, oldest).filter(F.col("created_at") <= at(ago(as_of, seconds=min_seconds)))
-    aged = aged.filter(_can_be_raised("no_events")).select(*STORED_BY).distinct()
-    clustered = touched_partitions(views, penalties).select(*STORED_BY)
-    _rewritten(
-        views_path, views, aged.unionByName(clustered).distinct(),
-        lambda rows: apply_penalties(penalise_no_events(rows, events, **span), penalties),
-        f"{stage_dir}/views",
-    )
-    _rewritten(
-        events_path, events, touched_partitions(events, penalties),
-        lambda rows: apply_penalties(rows, penalties), f"{stage_dir}/events",
-    )
+    oldest, newest = ago(as_of, seconds=max_seconds), ago(as_of, seconds=min_seconds)
+    days = [oldest.date() + timedelta(days=d) for d in range((newest.date() - oldest.date()).days + 1)]
+    near = live_folders(spark, views_path, days=days)
+    held = folders_with(spark, views_path, penalties)
+    views = read_folders(spark, views_path, sorted({*near, *held}, key=lambda f: f.path))
+    if views is not None:
+        aged = within(views, oldest).filter(F.col("created_at") <= at(newest)).filter(_can_be_raised("no_events"))
+        quiet = _staged(aged.select("visitor_id", *_stored_by(views)).distinct(), f"{stage_dir}/quiet")
+        seen = read_folders(spark, events_path, folders_with(spark, events_path, quiet))
+        if seen is None:
+            seen = quiet.limit(0)
+        touched = quiet.select(*_stored_by(views)).unionByName(touched_partitions(views, penalties).select(*_stored_by(views)))
+        _rewritten(
+            views_path, views, touched.distinct(),
+            lambda rows: apply_penalties(penalise_no_events(rows, seen, **span), penalties), f"{stage_dir}/views",
+        )
+    events = read_folders(spark, events_path, folders_with(spark, events_path, penalties))
+    if events is not None:
+        _rewritten(
+            events_path, events, touched_partitions(events, penalties),
+            lambda rows: apply_penalties(rows, penalties), f"{stage_dir}/events",
+        )
     return confirmed_markers(recent, clusters, as_of)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from footfall.sources.folders import write_filters
 from footfall.sources.tables import remove, with_day
 
 VIEW_FLUSH = "15 seconds"
@@ -22,12 +23,15 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def write_facts(df: DataFrame, path: str, batch_id: int, *, ts: str = "created_at") -> None:
-    """The batch's part of a fact table by site and day, the table that reports read.
-    Every task writes the rows it has; a repeated batch replaces its own folders."""
+def write_facts(df: DataFrame, path: str, batch_id: int, *, ts: str = "created_at", filters: bool = True) -> None:
+    """The batch's part of a fact table by site and day, the table that reports read, and
+    the filters of its visitors. Every task writes the rows it has; a repeated batch
+    replaces its own folders."""
+    rows = with_day(df, ts).withColumn("batch_id", F.lit(batch_id))
+    if filters:
+        write_filters(rows, path, batch_id)
     (
-        with_day(df, ts).withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("site_id", "event_date", "batch_id").parquet(path)
     )
 
