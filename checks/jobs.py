@@ -14,6 +14,7 @@ from checks.reports import CLEAN, NOW, register, when
 from footfall.functions.identity import ip_hash
 from footfall.functions.network import client_ip
 from footfall.plans import (
+    compact,
     anonymize,
     correlate,
     enrich,
@@ -787,6 +788,21 @@ def swept_by_filter(spark: SparkSession, sf: str) -> DataFrame:
     return read_facts(spark, f"{base}/views").select(*SCORE)
 
 
+def compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored views after two compactions, with batches before, between and after them."""
+    path, views = f"{shared_dir(spark, 'facts')}/views", table(spark, sf, "views")
+    part = F.pmod(F.xxhash64("id"), F.lit(7))
+    for batch in range(7):
+        write_facts(views.where(part == batch), path, batch)
+        if batch in (3, 5):
+            compact.compact(spark, path, target_bytes=100_000, kept_batches=1)
+    return read_facts(spark, path).select("id", "visitor_id", "site_id", "path", "bot_score", "created_at")
+
+
+register(
+    "S08_compacted", compacted,
+    f"SELECT id, visitor_id, site_id, path, bot_score, {when('created_at')} AS created_at FROM views", "views",
+)
 register("J09_filtered_views", swept_by_filter, penalised("judged"), *SWEEP_TABLES, before=JUDGED)
 
 

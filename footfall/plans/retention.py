@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.predicates import at, days_back, is_bot, is_clean, within
 from footfall.session import shared_dir
+from footfall.sources.folders import read_facts
 from footfall.sources.tables import overwrite_partitions, remove
 
 ROLLUP_DAYS = 730
@@ -102,7 +103,7 @@ def purge_stored(
     rows is written again, through a staged copy; one that keeps none is removed.
     """
     bot_days = days if bot_days is None else bot_days
-    facts = spark.read.parquet(path)
+    facts = read_facts(spark, path)
     folders = [c for c in ("site_id", "event_date", "batch_id") if c in facts.columns]
     expired = expired_clean(as_of, days) | expired_machine(as_of, bot_days)
     old = within(facts, before=days_back(as_of, min(days, bot_days)))

@@ -43,14 +43,14 @@ def _folder(path: str) -> Folder:
     return Folder(path, site, day and date.fromisoformat(day), batch and int(batch))
 
 
-def _store(spark: SparkSession, path: str):
+def store_of(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def _listed(spark: SparkSession, pattern: str) -> list[str]:
     """Folders that match."""
-    store, target = _store(spark, pattern)
+    store, target = store_of(spark, pattern)
     return sorted(s.getPath().toString() for s in store.globStatus(target) or () if s.isDirectory())
 
 
@@ -77,7 +77,7 @@ def all_folders(spark: SparkSession, path: str, sites: Iterable[str] | None = No
 def out_of_use(spark: SparkSession, path: str) -> tuple[int, dict[tuple, str]]:
     """Version of the manifest (0: none) and the keys of the folders out of use, each
     with what it was replaced by or ``pending``."""
-    store, target = _store(spark, f"{path}_manifest/v*.json")
+    store, target = store_of(spark, f"{path}_manifest/v*.json")
     files = sorted(s.getPath().toString() for s in store.globStatus(target) or ())
     if not files:
         return 0, {}
@@ -91,8 +91,8 @@ def write_manifest(spark: SparkSession, path: str, version: int, dead: dict[tupl
     """The next version, in one step: the file is complete before it gets its name. Two
     writers of one version: the second fails."""
     rows = sorted(([s, d and d.isoformat(), b, why] for (s, d, b), why in dead.items()), key=repr)
-    store, target = _store(spark, f"{path}_manifest/v{version:012d}.json")
-    _, draft = _store(spark, f"{path}_manifest/.v{version:012d}-{spark.sparkContext.applicationId}")
+    store, target = store_of(spark, f"{path}_manifest/v{version:012d}.json")
+    _, draft = store_of(spark, f"{path}_manifest/.v{version:012d}-{spark.sparkContext.applicationId}")
     out = store.create(draft, True)
     out.write(bytearray(json.dumps({"version": version, "out_of_use": rows}).encode()))
     out.close()

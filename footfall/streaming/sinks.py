@@ -6,6 +6,7 @@ its own output and nothing else.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from footfall.sources.tables import remove, with_day
 
 VIEW_FLUSH = "15 seconds"
 EVENT_FLUSH = "10 seconds"
+ATTEMPTS, WAIT = 3, 1.0  # of a batch that fails, and seconds before the second one
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -54,6 +56,23 @@ def write_state(df: DataFrame, path: str, batch_id: int) -> None:
         remove(df.sparkSession, f"{path}/batch_id={batch_id - 2}")
 
 
+def retried(write: Callable[[DataFrame, int], None], attempts: int = ATTEMPTS, wait: float = WAIT) -> Callable[[DataFrame, int], None]:
+    """``write``, tried again after a failure: after ``wait`` seconds, then twice that, and
+    so on. The last failure goes on and ends the stream, which takes the batch up again
+    when it is restarted. Every batch owns its folders, so nothing is written twice."""
+
+    def attempt(batch: DataFrame, batch_id: int) -> None:
+        for turn in range(attempts):
+            try:
+                return write(batch, batch_id)
+            except Exception:
+                if turn + 1 == attempts:
+                    raise
+                time.sleep(wait * 2**turn)
+
+    return attempt
+
+
 def run_batches(
     stream: DataFrame,
     write: Callable[[DataFrame, int], None],
@@ -61,12 +80,14 @@ def run_batches(
     *,
     every: str | None = None,
     output_mode: str = "append",
+    attempts: int = ATTEMPTS,
+    wait: float = WAIT,
 ) -> StreamingQuery:
     """Start a stream: at a fixed interval, or once over everything available."""
     writer = (
         stream.writeStream.outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
+        .foreachBatch(retried(write, attempts, wait))
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions.predicates import at
+from footfall.plans import compact as compact_module
 from footfall.plans import correlate
+from footfall.plans.compact import compact
 from footfall.session import shared_dir
 from footfall.sources.folders import (
     Folder,
@@ -21,6 +23,7 @@ from footfall.sources.folders import (
     write_manifest,
 )
 from footfall.sources.tables import with_day
+from footfall.streaming.sinks import write_facts
 from tests.conftest import NOW
 
 DAYS = 90
@@ -99,3 +102,96 @@ def test_readers_follow_the_manifest(spark, views):
     assert left.where("site_id = '007'").count() == 2
     assert read_facts(spark, path, sites=["a b"], days=[NOW.date()]).count() == 4
     assert read_facts(spark, path, sites=["none"]).count() == 0
+
+
+def files_in(path):
+    return len(glob.glob(f"{path}/site_id=*/event_date=*/batch_id=*/*.parquet"))
+
+
+def test_compaction_swaps_rows_in_one_step(spark, views, monkeypatch):
+    path = f"{shared_dir(spark, 'facts')}/views"
+    batches = [views(*[{"id": 100 * b + i, "visitor_id": f"v{i}", "site_id": s, "created_at": NOW - timedelta(days=i % 2)} for i in range(8) for s in ("a", "b")]) for b in range(6)]
+    for number, batch in enumerate(batches[:5]):
+        write_facts(batch, path, number)
+    rows = lambda: sorted((r.id, r.site_id, r.visitor_id) for r in read_facts(spark, path).collect())
+    want = rows()
+    assert len(want) == 80 and len(all_folders(spark, path)) == 20
+
+    # a run that ends before the swap changes nothing for readers
+    with monkeypatch.context() as broken:
+        real, calls = compact_module.write_manifest, []
+
+        def fail(*args):
+            calls.append(args)
+            if len(calls) == 2:
+                raise OSError("no swap")
+            return real(*args)
+
+        broken.setattr(compact_module, "write_manifest", fail)
+        with pytest.raises(OSError):
+            compact(spark, path)
+    assert rows() == want and len(calls) == 2
+
+    before = read_facts(spark, path)  # a reader that has begun
+    first = compact(spark, path)
+    assert (first.folders, first.files, first.deleted) == (12, 4, 4)
+    assert rows() == want and before.count() == 80
+    write_facts(batches[4], path, 4)  # the newest batch is repeated
+    write_facts(batches[0], path, 0)  # and, by mistake, one that was compacted
+    assert rows() == want
+    write_facts(batches[5], path, 5)
+    want = rows()
+    second = compact(spark, path)
+    assert second.deleted == 12 and second.folders == 8 and rows() == want and len(want) == 96
+    third = compact(spark, path)
+    assert third.folders == 0 and third.deleted == 8 and rows() == want
+    assert files_in(path) <= 4 + sum(1 for f in all_folders(spark, path) if f.batch_id >= 4) * 4
+    assert {f.batch_id for f in all_folders(spark, path)} >= {4, 5}
+    who = spark.createDataFrame([("a", "v3"), ("b", "none")], "site_id string, visitor_id string")
+    assert {(f.site_id, f.event_date) for f in folders_with(spark, path, who)} == {("a", (NOW - timedelta(days=1)).date())}
+    parts = {p.rsplit("=")[-1] for p in glob.glob(f"{path}_visitors/part=*")}
+    assert parts == {str(f.batch_id) for f in all_folders(spark, path)}
+
+
+def test_folders_that_change_are_left_as_they_were(spark, views, monkeypatch):
+    path = f"{shared_dir(spark, 'facts')}/views"
+    for number in range(4):
+        write_facts(views({"id": number}, {"id": number, "site_id": "b"}), path, number)
+    real, swept = compact_module.exists, []
+
+    def sweep(spark, folder):
+        if "site_id=site" in folder and not swept:  # after the copy: site, but not b
+            swept.append(folder)
+            write_facts(views({"id": 77}, {"id": 77}), path, 1)
+        return real(spark, folder)
+
+    monkeypatch.setattr(compact_module, "exists", sweep)
+    assert compact(spark, path, kept_batches=1).folders == 3
+    got = sorted(r.id for r in read_facts(spark, path).where("site_id = 'site'").collect())
+    assert got == [0, 2, 3, 77, 77]
+
+
+def test_large_files_are_left_alone_and_parts_have_their_size(spark, views):
+    path = f"{shared_dir(spark, 'facts')}/views"
+    for number in range(3):
+        write_facts(views(*[{"id": 1000 * number + i, "path": f"/{number}/{i}"} for i in range(400)]), path, number)
+    size = sum(len(open(f, "rb").read()) for f in glob.glob(f"{path}/site_id=*/*/batch_id=*/*.parquet"))
+    done = compact(spark, path, target_bytes=size // 3, kept_batches=0)
+    assert 3 <= done.files <= 4 and read_facts(spark, path).count() == 1200
+    assert compact(spark, path, target_bytes=2000, kept_batches=0).folders == 0
+
+
+def test_a_batch_that_fails_is_tried_again(spark):
+    from footfall.streaming.sinks import retried
+
+    tries = []
+
+    def write(batch, batch_id):
+        tries.append(batch_id)
+        if len(tries) < 3:
+            raise OSError("busy")
+
+    retried(write, 3, 0.0)(None, 7)
+    assert tries == [7, 7, 7]
+    with pytest.raises(OSError):
+        retried(lambda b, n: (_ for _ in ()).throw(OSError("down")), 2, 0.0)(None, 1)
