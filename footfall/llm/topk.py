@@ -191,8 +191,10 @@ def top_k(
     )
 
     # 3: what is still open, in full
-    scores = whole.unionByName(_in_full(open_.select("query", "row"), classes))
-    found = scores.join(classes.select("row", "ids"), "row").withColumn("least", F.element_at("ids", 1))
+    # only those of a query's best scores, ties included, meet their ids
+    best_first = Window.partitionBy("query").orderBy(F.desc("score"))
+    scores = whole.unionByName(_in_full(open_.select("query", "row"), classes)).withColumn("place", F.rank().over(best_first))
+    found = scores.where(F.col("place") <= need).drop("place").join(classes.select("row", "ids"), "row").withColumn("least", F.element_at("ids", 1))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "least", "row")
     lead = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= need)
     answer = lead.groupBy("query").agg(F.collect_list(F.struct("score", "row", "ids")).alias("lead"))  # k + 1 at most
