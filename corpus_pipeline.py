@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import languages, leaks, packing, simhash
-from footfall.llm.common import prepared, table, written
+from footfall.llm.common import may_be_in, prepared, table, written
 
 LEAST_SCORE = 0.5
 
@@ -43,12 +43,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays. Null and empty texts are copies of each other. Texts count whole; further
     columns of any name are kept; an empty table gives an empty one."""
     prepared(spark)
-    # a table, so that its size is known: a small one is broadcast, a large one joined by key
     judged = written(simhash.surplus(docs), "surplus")
-    keyed, repeated = _keyed(docs), judged.where("stays")
-    once = keyed.join(judged, _same(keyed, judged), "left_anti")
-    again = keyed.join(repeated, _same(keyed, repeated), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    return once.unionByName(again).select("row.*")
+    keyed, named = _keyed(docs), may_be_in(judged, "text_key")
+    # most rows stay without a shuffle of their texts; the others meet what is judged by key
+    asked = written(keyed.where(named(F.col("text_key"))), "asked")
+    repeated = judged.where("stays")
+    once = asked.join(judged, _same(asked, judged), "left_anti")
+    again = asked.join(repeated, _same(asked, repeated), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return keyed.where(~named(F.col("text_key"))).unionByName(once).unionByName(again).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +60,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     gives an empty one."""
     prepared(spark)
     leaked = written(leaks.leaked(docs, table(spark, sf_dir, "benchmark")), "leaked")
-    keyed = _keyed(docs)
-    return keyed.join(leaked, _same(keyed, leaked), "left_anti").select("row.*")
+    keyed, named = _keyed(docs), may_be_in(leaked, "text_key")
+    asked = keyed.where(named(F.col("text_key")))
+    clear = keyed.where(~named(F.col("text_key")))
+    return clear.unionByName(asked.join(leaked, _same(asked, leaked), "left_anti")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
