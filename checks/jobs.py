@@ -541,7 +541,7 @@ def accepted_posts(spark: SparkSession, sf: str) -> posts.Events:
     )
 
 
-EVENTS_SQL = f"""SELECT post_id AS id, e->>'$.type' AS event_type, s.site_id,
+EVENTS_SQL = f"""SELECT (post_id * 1024 + position) * 2 AS id, e->>'$.type' AS event_type, s.site_id,
       CASE WHEN regexp_matches(e->>'$.sessionId', '^[0-9a-f-]{{36}}$') THEN e->>'$.sessionId' END AS session_id, visitor_id,
       coalesce(CAST(e->'$.data' AS VARCHAR), '{{}}') AS data, e->>'$.data.experiment_id' AS experiment_id, e->>'$.data.variant_id' AS variant_id,
       k.utm_campaign, CASE WHEN sec_ch_ua_mobile = '?1' THEN 'mobile' WHEN sec_ch_ua_mobile = '?0' THEN 'desktop'
@@ -597,7 +597,7 @@ SENT_DATA = f"""CASE WHEN e->>'$.type' = 'click' THEN '{{"a":"qé","b":{{"c":[1,
   ELSE '{{"amount":' || (e->>'$.data.amount') || CASE
    WHEN e->>'$.experiments[0].experiment_id' IS NOT NULL THEN ',"experiment_id":"exp-1","variant_id":"b"'
    WHEN e->>'$.data.experiment_id' IS NOT NULL THEN ',"experiment_id":"own"' ELSE '' END || ',' END || '{SESSION_CONTEXT}}}'"""
-INGESTED_SQL = f"""SELECT event_id, CASE e->>'$.type' WHEN 'click' THEN '2024-01-02' ELSE '2024-01-01' END || ' 00:00:00.000000' AS event_ts, raw_id AS id, e->>'$.type' AS event_type,
+INGESTED_SQL = f"""SELECT event_id, CASE e->>'$.type' WHEN 'click' THEN '2024-01-02' ELSE '2024-01-01' END || ' 00:00:00.000000' AS event_ts, (raw_id * 1024 + pos - 1) * 2 + 1 AS id, e->>'$.type' AS event_type,
       coalesce(j->>'$.context.site_id', 'default') AS site_id, j->>'$.context.session_id' AS session_id, CAST(NULL AS VARCHAR) AS visitor_id,
       {SENT_DATA} AS data,
       e->>'$.experiments[0].experiment_id' AS experiment_id, e->>'$.experiments[0].variant_id' AS variant_id,

@@ -33,6 +33,16 @@ def visitor_hash(secret: str, ip: Column, agent: Column, site: Column, day: Colu
     return F.substring(hmac_hex(secret, text), 1, 16)
 
 
+POSITIONS = 1024  # fixed: ids of rows written before stay apart from new ones
+
+
+def event_number(sender: str, position: Column, *, api: bool) -> Column:
+    """A number of each event's own, from that of its post or API batch and its place in
+    it. An event beyond POSITIONS has none, which raises."""
+    place = F.when(position < POSITIONS, position).otherwise(F.raise_error(F.lit(f"more than {POSITIONS} events in one post")))
+    return (F.col(sender) * POSITIONS + place.cast("long")) * 2 + int(api)
+
+
 def valid_cookie(cookie: Column) -> Column:
     return F.when(cookie.rlike(VISITOR_ID), cookie)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.decode import SITE_ID, variant_text, with_parsed
+from footfall.functions.identity import event_number
 from footfall.schemas import EVENTS
 from footfall.settings import Settings
 
@@ -217,7 +218,7 @@ def batch_events(checked: DataFrame) -> DataFrame:
         F.col("pos").alias("position"),
         variant_text(event, "$.event_id").alias("event_id"),
         F.try_to_timestamp(variant_text(event, "$.ts")).cast("timestamp_ntz").alias("event_ts"),
-        F.col("raw_id").alias("id"),
+        event_number("raw_id", F.col("pos"), api=True).alias("id"),
         variant_text(event, "$.type").alias("event_type"),
         F.coalesce(variant_text(F.col("_context"), "$.site_id"), F.lit("default")).alias("site_id"),
         variant_text(F.col("_context"), "$.session_id").alias("session_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.decode import site_or_default, url_origin, variant_text, with_parsed
-from footfall.functions.identity import valid_cookie, valid_session, visitor_hash
+from footfall.functions.identity import event_number, valid_cookie, valid_session, visitor_hash
 from footfall.functions.network import client_country, client_ip
 from footfall.functions.useragent import event_device_class, matches_any
 from footfall.plans.anonymize import anonymize_events
@@ -147,7 +147,7 @@ def enrich_posts(
         .withColumn("hour", F.hour("ts"))
         .withColumn("month", F.month("ts"))
         .withColumn("day_of_week", F.dayofweek("ts") - 1)
-        .withColumn("id", F.col("post_id"))
+        .withColumn("id", event_number("post_id", F.col("position"), api=False))
         .withColumn("created_at", F.col("ts"))
         .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENTS.fields])
     )

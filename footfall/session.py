@@ -17,6 +17,9 @@ SQL_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # of a name given twice in a JSON object the last counts, as in JavaScript
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # state of streams on the executors' disks, hash-partitioned; a batch stores what it changed
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
