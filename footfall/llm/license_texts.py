@@ -95,3 +95,20 @@ for _id, _text in {
     LICENSES.setdefault(_id, []).append(_text)
     if _text.startswith("MIT License"):
         LICENSES[_id].append(_text.removeprefix("MIT License"))
+
+# SHA-256 of the canonical form of full texts.
+FULL_TEXTS: dict[str, str] = {
+    "Apache-2.0": "4eaa899d32a2c1d64a04df98845e9b21a17d46c603b95cbcf3436c2f30e94072",
+    "Artistic-1.0-Perl": "684aa9b9142b709275bcd9a7ed27a50a8fd5049107119461bff21e5da785e6a6",
+    "CC0-1.0": "800493f592b487dc071302432bfec79e4f0175c89e637223ee87640054e704a1",
+    "GFDL-1.2-only": "33b57251a1a3c1951cda19a08842abeffe76def37b3a7680f690bac217059fc6",
+    "GFDL-1.3-only": "4ada558caa5584e86798224618a58c88e1d7d20401f17270d93140ff03cd3f22",
+    "GPL-1.0-only": "0fd26cb357b16bef21ebe6d83f5690a528d8d143cf6a48d6a01c258f4d56e79a",
+    "GPL-2.0-only": "a5f0230a2074b101fa202aafa0ad9541eea58f6bc874c4c220bda09f8c82e3e9",
+    "GPL-3.0-only": "a4950adabdc0f84a7deb14ce05cb03037504755e112dd883812833ebc001e3e4",
+    "LGPL-2.0-only": "928af3da7360eee9e53bed5c74b1d7685a4c6877e0811bcc979a9c13d72b4d60",
+    "LGPL-2.1-only": "a6888b9c7fe5d5d98db6a550afc6a363c815eaba67767b1d1842c31cc2d552bf",
+    "LGPL-3.0-only": "db9c4385408d27d4231fa798f32a7463c978e05a5d1e8ded7d665c6e5d0005d6",
+    "MPL-1.1": "14b9486ef11fdc8f2461e0f5abf9af560cf58d159c70678a002ba6b89e8988a5",
+    "MPL-2.0": "c68f4e1d80c0f53b18cfa29cf75087e617254cb8cab2d053ab420fb2af78b072",
+}
