@@ -6,13 +6,15 @@ menu, an advert or reader comments, and in the page's article element if it has
 and tags. Every word scores the log-odds of its surroundings, every tag a negative
 weight, both learned from labelled pages: a bounded sample of pages whose article
 element marks the main text. One linear scan finds the contiguous region with the
-largest sum. Its blocks, without those in marked side parts, are the text.
+largest sum. Its blocks, without those in marked side parts, are the text; the rest of
+the article element and the page's heading join it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,10 +44,15 @@ BLOCK = frozenset(
 SIDE_TAGS = frozenset("aside button dialog fieldset footer form head label menu nav search select".split())
 SIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 SIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "dfp disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination "
-    "paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor "
-    "sponsored subscribe subscription taboola toolbar widget".split()
+    "ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comments consent dfp disqus footer gdpr login "
+    "modal nav navbar navigation newsletter notices notification outbrain pagination paywall popup promo promoted promotion "
+    "replies sidebar signup sponsor sponsored subscribe subscription taboola toolbar widget".split()
+)
+# Words that articles have too: they name a side part alone, or with words for what holds it.
+AMBIGUOUS = frozenset("ad comment cookie cookies menu notice pager recommended related respond share sharing skip social".split())
+HOLDERS = frozenset(
+    "area article articles bar bottom box block button buttons container content icons inner item items left link links main message "
+    "news outer overlay page pages panel post posts primary reading right row section site slot stories top unit warning wrap wrapper".split()
 )
 _HEADER_WORDS = frozenset(("header", "masthead"))
 # Names without a separator: how a side part's name begins or ends.
@@ -67,13 +74,14 @@ _FEW = 0.1  # of a side part's words, outside of all side parts: then it wraps t
 
 
 def _names_side(name: str, in_main: bool) -> bool:
-    words = re.split(r"[^a-z]+", name)
-    if words[0] in _NOT_ITSELF:
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if not words or words[0] in _NOT_ITSELF:
         return False
-    return any(
-        w in SIDE_WORDS or w.startswith(_SIDE_START) or w.endswith(_SIDE_END) or not in_main and w in _HEADER_WORDS
+    clear = (
+        w in SIDE_WORDS or w not in AMBIGUOUS and (w.startswith(_SIDE_START) or w.endswith(_SIDE_END)) or not in_main and w in _HEADER_WORDS
         for w in words
     )
+    return any(clear) or any(w in AMBIGUOUS for w in words) and all(w in AMBIGUOUS or w in HOLDERS for w in words)
 
 
 @lru_cache(maxsize=65536)
@@ -124,7 +132,8 @@ class Page:
     has_main: bool = False
     block_words: Counter = field(default_factory=Counter)
     side_words: Counter = field(default_factory=Counter)  # by start of a side part that may hold text
-    side_mains: Counter = field(default_factory=Counter)  # words of article elements, by the starts of the side parts around
+    side_mains: Counter = field(default_factory=Counter)  # words of article elements, by the start of the side part around
+    side_outer: dict[int, int | None] = field(default_factory=dict)  # start of a side part to that of the one around it
 
 
 def tokens_of(page: str) -> Page:
@@ -138,37 +147,77 @@ def tokens_of(page: str) -> Page:
             return out
         words = sum(t.words for t in out.tokens)
         outside = sum(t.words for t in out.tokens if not t.side)
-        around, most = max(out.side_mains.items(), key=lambda x: x[1], default=((), 0))
-        more = set(around) if most > outside else set()
+        around, most = max(out.side_mains.items(), key=lambda x: x[1], default=(None, 0))
+        more: set[int] = set()
+        while most > outside and around is not None:
+            more.add(around)
+            around = out.side_outer[around]
         more |= {p for p, n in out.side_words.items() if 2 * n > words and outside <= _FEW * n}
         if not more:
             return out
         wrappers |= more
 
 
+class _Ends:
+    """Where the end tags of an element are, found in one pass for each name."""
+
+    def __init__(self, page: str, pattern: str):
+        self.page, self.pattern, self.found = page, pattern, {}
+
+    def after(self, tag: str, position: int) -> tuple[int, int] | None:
+        if tag not in self.found:
+            spans = [m.span() for m in re.finditer(self.pattern.format(re.escape(tag)), self.page, re.I)]
+            self.found[tag] = [s for s, _ in spans], spans
+        starts, spans = self.found[tag]
+        at = bisect_left(starts, position)
+        return spans[at] if at < len(spans) else None
+
+
 def _tokens(page: str, wrappers: frozenset[int]) -> Page:
-    """The tokens, read as if the elements that start at ``wrappers`` were no side parts."""
+    """The tokens, read as if the elements that start at ``wrappers`` were no side parts.
+    In linear time, however deep elements are nested or left open."""
     out = Page()
+    raw_ends, inline_ends = _Ends(page, r"</{}(?=[\s/>])"), _Ends(page, r"</{}\s*>")
     mains = "article" if re.search(r"<article[\s>]", page, re.I) else "main"
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, side, main
-    sides: list[tuple[int, int, bool]] = []  # side parts around: depth of stack, start, may hold text
-    held: list[tuple[int, tuple[int, ...]]] = []  # article elements in them: depth, starts of the side parts
+    opened: Counter = Counter()  # names on the stack
+    sides: list[tuple[int, int, int]] = []  # side parts around: depth of stack, start, words before
+    held: list[tuple[int, int, int]] = []  # article elements in them: depth, start of the side part, words before
+    firm = 0  # of the side parts around, those that can't hold the page
+    inside = 0  # words so far in side parts that may hold it
+
+    def closed() -> None:
+        """Count the words of the parts that are no longer open."""
+        nonlocal firm
+        while held and held[-1][0] >= len(stack):
+            _, part, before = held.pop()
+            out.side_mains[part] += inside - before
+        while sides and sides[-1][0] >= len(stack):
+            _, part, before = sides.pop()
+            firm -= before < 0
+            if before >= 0 and inside > before:
+                out.side_words[part] = inside - before
+
+    def drop(depth: int) -> None:
+        opened.subtract(name for name, _, _ in stack[depth:])
+        del stack[depth:]
+        closed()
+
     block, links, position = 0, 0, 0
     while match := _TOKEN.match(page, position):
         start, position = position, match.end()
-        sides, held = ([x for x in xs if x[0] < len(stack)] for xs in (sides, held))
         if (text := match["text"]) is not None:
-            following = position
-            while following < len(page) and (more := _TOKEN.match(page, following)) and more["text"] is not None:
-                text, following = text + more["text"], more.end()
-            position = following
+            parts = [text]
+            while position < len(page) and (more := _TOKEN.match(page, position)) and more["text"] is not None:
+                parts.append(more["text"])
+                position = more.end()
+            text = "".join(parts)
             tag, side, main = stack[-1]
             words = len(text.split())
             out.tokens.append(Token(tag, block, words, html.unescape(text), side, links > 0, main))
             out.block_words[block] += words
-            if side and all(s[2] for s in sides):
-                out.side_words.update({s[1]: words for s in sides})
-                out.side_mains.update({h[1]: words for h in held})
+            if side and not firm:
+                inside += words
             continue
         if (tag := match["tag"]) is None:
             continue
@@ -176,10 +225,8 @@ def _tokens(page: str, wrappers: frozenset[int]) -> Page:
         if match["close"]:
             if tag in BLOCK:
                 block += 1
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        del stack[depth:]
-                        break
+                if opened[tag] > 0:
+                    drop(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth][0] == tag))
             elif tag == "a":
                 links = max(0, links - 1)
             out.tokens.append(Token("/" + tag, block))
@@ -187,29 +234,31 @@ def _tokens(page: str, wrappers: frozenset[int]) -> Page:
                 out.tokens.append(Token(stack[-1][0], block, 0, " ", stack[-1][1], links > 0, stack[-1][2]))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, position)
             if not match["attributes"].rstrip().endswith("/") or tag not in ("svg", "math"):
-                position = end.start() if end else len(page) if tag in _TO_END else position
+                end = raw_ends.after(tag, position)
+                position = end[0] if end else len(page) if tag in _TO_END else position
             out.tokens.append(Token(tag, block))
             continue
         _, side, main = stack[-1]
         if tag in BLOCK and tag != "hr":
             block += 1
             if tag in ("p", "li", "dd", "dt", "tr", "option") and stack[-1][0] in ({"p"} if tag == "p" else {tag, "p"}):
-                stack.pop()  # an end tag left out
+                drop(len(stack) - 1)  # an end tag left out
                 _, side, main = stack[-1]
             elif stack[-1][0] == "p":
-                stack.pop()
+                drop(len(stack) - 1)
                 _, side, main = stack[-1]
-            sides, held = ([x for x in xs if x[0] < len(stack)] for xs in (sides, held))
             if start not in wrappers and _is_side(tag, match["attributes"], main):
-                side = True
-                sides.append((len(stack), start, _may_hold_text(tag, match["attributes"])))
-            if tag == mains and side and all(s[2] for s in sides):
-                held.append((len(stack), tuple(s[1] for s in sides)))
+                side, holds = True, _may_hold_text(tag, match["attributes"])
+                out.side_outer[start] = sides[-1][1] if sides else None
+                firm += not holds
+                sides.append((len(stack), start, inside if holds else -1))
+            if tag == mains and side and not firm:
+                held.append((len(stack), sides[-1][1], inside))
             is_main = tag == mains and not side
             out.has_main |= is_main
             stack.append((tag, side, main or is_main))
+            opened[tag] += 1
             links = 0
         elif tag == "hr":
             block += 1
@@ -217,13 +266,13 @@ def _tokens(page: str, wrappers: frozenset[int]) -> Page:
             links += 1
         elif tag in ("span", "label", "small", "ins") and _is_side(tag, match["attributes"], True):
             # an inline side part: skipped up to its end tag
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, position)
-            if end:
+            if end := inline_ends.after(tag, position):
                 out.tokens.append(Token(tag, block))
-                position = end.end()
+                position = end[1]
         out.tokens.append(Token(tag, block))
         if tag in ("br", "td", "th"):
             out.tokens.append(Token(stack[-1][0], block, 0, " ", stack[-1][1], links > 0, stack[-1][2]))
+    drop(1)
     return out
 
 
@@ -297,6 +346,32 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def _joined(tokens: list[Token], start: int, end: int) -> tuple[int, int]:
+    """The region with what belongs to it though it scores low: the rest of the article
+    element it lies in, and a page's heading right before it. Side parts and tags
+    between them don't count."""
+    if start == end:
+        return start, end
+
+    def ours(token: Token) -> bool | None:
+        return None if token.side or not token.words else token.main
+
+    for at in range(end, len(tokens)):
+        if (mine := ours(tokens[at])) is False:
+            break
+        end = at + 1 if mine else end
+    heading = True
+    for at in range(start - 1, -1, -1):
+        mine, token = ours(tokens[at]), tokens[at]
+        if mine is False:
+            if heading and token.tag == "h1" and not token.link:
+                start, heading = at, False
+                continue
+            break
+        start = at if mine else start
+    return start, end
+
+
 def extracted(markup: str, learned: Weights) -> str:
     """The main text: blocks joined by an empty line, white space as single spaces."""
     page = tokens_of(markup)
@@ -304,7 +379,7 @@ def extracted(markup: str, learned: Weights) -> str:
         0.0 if t.side else t.words * (0.05 + learned.word(page, t)) if t.words else learned.tag(t) if not t.text else 0.0
         for t in page.tokens
     ])
-    start, end = best_region(scores)
+    start, end = _joined(page.tokens, *best_region(scores))
     blocks: dict[int, list[str]] = {}
     for token in page.tokens[start:end]:
         if token.text and not token.side:

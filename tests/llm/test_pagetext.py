@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -110,3 +111,27 @@ def test_raw_elements_without_an_end(learned):
     for tag in ("svg", "object", "video", "canvas", "noscript"):
         assert extracted(f"<article><{tag} width=3><p>{b}</p></article>", learned) == b
     assert extracted(f"<article><p>{b}</p><script>var x = 1; <p>{b}</p></article>", learned) == b
+
+
+def test_main_text_with_odd_names_and_places(learned):
+    rng = random.Random(8)
+    a, b, c, d = prose(rng, 6), prose(rng, 60), prose(rng, 40), prose(rng, 12)
+    closing = '<ul><li><a href="/x">the long report</a></li><li><a href="/y">its data</a></li></ul>'
+    article = f'<h1>{a}</h1><p>{b}</p>%s<p>{c}</p>'
+    for name in ("share-price", "cookie-list", "cookie-recipe", "dinner-menu", "notice-period", "related-work-text", "comment-on-law"):
+        assert extracted("<article>" + article % f'<div class="{name}"><p>{d}</p></div>' + "</article>", learned) == f"{a}\n\n{b}\n\n{d}\n\n{c}", name
+    for name in ("share", "share-buttons", "cookie-notice", "top-menu", "related-posts", "comment-box", "ad", "ad-slot", "social-links", "cookiebar"):
+        assert extracted("<article>" + article % f'<div class="{name}"><p>{d}</p></div>' + "</article>", learned) == f"{a}\n\n{b}\n\n{c}", name
+    assert extracted("<article>" + article % "" + closing + "</article><footer><p>x y z</p></footer>", learned) == f"{a}\n\n{b}\n\n{c}\n\nthe long report\n\nits data"
+    menu = "<nav><ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in WORDS) + "</ul></nav>"
+    assert extracted(f"<body>{menu}{article % ''}{menu}</body>", learned) == f"{a}\n\n{b}\n\n{c}"
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="ad">x ' * 50_000, '<span class="ad">x ' * 50_000, "<svg>x " * 100_000, "<" * 1_000_000,
+    "<div>" * 100_000 + "</p>" * 100_000, '<div class="ad"><article>x ' * 30_000, '<form><aside>x ' * 60_000,
+], ids=range(7))
+def test_nested_and_open_elements_take_linear_time(page, learned):
+    start = time.process_time()
+    extracted(page, learned)
+    assert time.process_time() - start < 10  # some 2 s; minutes if the square of the length
