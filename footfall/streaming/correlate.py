@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from footfall.functions.predicates import ago, at
+from footfall.functions.predicates import ago, at, within
 from footfall.plans.correlate import (
     NO_EVENT_MAX_SECONDS,
     NO_EVENT_MIN_SECONDS,
     PRINT_SECONDS,
     sweep_stored,
 )
+from footfall.sources.tables import exists, remove
 from footfall.streaming.sinks import read_state, run_batches, write_batch, write_state
 
 SWEEP = "2 minutes"
@@ -56,6 +59,24 @@ def start_sweeps(
     return run_batches(prints, write, f"{path}/checkpoint", every=every)
 
 
-def read_markers(spark: SparkSession, path: str) -> DataFrame:
-    """All markers so far, as the dimensions of the ingest jobs want them."""
-    return spark.read.parquet(f"{path}/markers").select("ip_hash", "kind", "ts")
+def read_markers(spark: SparkSession, *paths: str, since: datetime | None = None) -> DataFrame:
+    """The markers that these streams (of sweeps: confirmed addresses; of pageviews:
+    suspected ones) have written, as the dimensions of the ingest jobs want them.
+    ``since``: only those from then on, which files of older ones are not opened for."""
+    found = spark.createDataFrame([], "ip_hash string, kind string, ts timestamp_ntz")
+    for path in paths:
+        if exists(spark, f"{path}/markers"):
+            found = found.unionByName(spark.read.parquet(f"{path}/markers").select("ip_hash", "kind", "ts"))
+    return within(found, since, ts="ts") if since is not None else found
+
+
+def expire_markers(spark: SparkSession, path: str, before: datetime) -> int:
+    """Delete the folders of micro-batches whose markers are all older than ``before``,
+    and count them. A marker has no effect an hour after it; streams may go on."""
+    if not exists(spark, f"{path}/markers"):
+        return 0
+    newest = spark.read.parquet(f"{path}/markers").groupBy("batch_id").agg(F.max("ts").alias("ts"))
+    over = [r.batch_id for r in newest.where(F.col("ts") < at(before)).collect()]
+    for batch in over:
+        remove(spark, f"{path}/markers/batch_id={batch}")
+    return len(over)
