@@ -162,14 +162,15 @@ class _Postings:
 
 
 class _Best:
-    """One item's k best documents so far, and the score that another one has to reach."""
+    """One item's k best documents so far, and the score that another one has to reach.
+    Of those that reach just the floor, only the first ``ties`` by doc_id are wanted."""
 
-    def __init__(self, k: int, floor: int):
-        self.k, self.least = k, max(floor, 1)
+    def __init__(self, k: int, floor: int, ties: int):
+        self.k, self.least, self.floor, self.ties = k, max(floor, 1), floor, ties
         self.scores, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def offer(self, scores: np.ndarray, places: np.ndarray) -> None:
-        good = scores >= self.least
+        good = (scores >= self.least) & ((scores > self.floor) | (places < self.ties))
         if good.any():
             scores, places = np.concatenate([self.scores, scores[good]]), np.concatenate([self.places, places[good]])
             order = np.lexsort((places, -scores))[: self.k]
@@ -216,11 +217,14 @@ def _searched(docs: pa.Table, items: pa.Table, k: int, number: int, total: int)
         dense = np.zeros((len(order), len(words)), np.int64)
         for i, item in enumerate(order):
             dense[i, codes[spans[item]]] = values[spans[item]]
-        floors = items.column("floor").to_pylist()
-        best = [_Best(k, floors[item]) for item in order]
-
         docs = docs.sort_by("doc_id")  # null last
         doc_ids = docs.column("doc_id").to_pylist()
+        known = docs.column("doc_id").drop_null().to_numpy()
+        # a null id comes last, so before it all ties count
+        ties = [len(doc_ids) if last is None else int(np.searchsorted(known, last)) for last in items.column("last").to_pylist()]
+        floors = items.column("floor").to_pylist()
+        best = [_Best(k, floors[item], ties[item]) for item in order]
+
         place = np.lexsort((docs.column("like2").to_numpy(), docs.column("like1").to_numpy()))
         docs = docs.take(place)
         held = docs.column("terms").combine_chunks()
@@ -290,12 +294,14 @@ def search(
 
     largest = Window.partitionBy("block").orderBy(F.desc("bound"), "shard")
     seeds = bounds.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= SEED_SHARDS)
-    first = written(searched(seeds, item.withColumn("floor", F.lit(1).cast("long"))), "seeds")
+    first = written(searched(seeds, item.withColumns({"floor": F.lit(0).cast("long"), "last": F.lit(None).cast("long")})), "seeds")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    kth = ranked.groupBy("item_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
+    kth = ranked.groupBy("item_id").agg(
+        F.min("score").alias("kth"), F.max_by("doc_id", "place").alias("last"), F.count("*").alias("n")
+    ).where(F.col("n") >= k)
     same = item["item_id"].eqNullSafe(kth["item_id"])
-    floors = written(item.join(kth, same, "left").select(*[item[c] for c in item.columns], F.coalesce("kth", F.lit(1).cast("long")).alias("floor")), "floors")
+    floors = written(item.join(kth, same, "left").select(*[item[c] for c in item.columns], F.coalesce("kth", F.lit(0).cast("long")).alias("floor"), "last"), "floors")
 
     weakest = floors.groupBy("block").agg(F.min("floor").alias("weakest"))
     rest = bounds.join(seeds.select("block", "shard"), ["block", "shard"], "left_anti").join(weakest, "block").where("bound >= weakest")

@@ -78,3 +78,17 @@ def test_terms():
 
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a")]) == [] == found(spark, [(1, "a")], []) == found(spark, [(1, "b")], [(1, "a")])
+
+
+def test_equal_scores_over_many_shards_go_by_doc_id(spark):
+    """Copies that tie at the last place, in shards other than those searched first; null ids come last."""
+    docs = [(i * 37 % 200, "stone water old") for i in range(200)] + [(1000 + i, "stone water") for i in range(100)] + [(None, "stone water old")] * 5
+    docs += [(2000 + i, f"other word{i}") for i in range(300)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "stone water old"), (2, "old"), (3, "nothing here")], "item_id long, text string")
+    for k in (7, 50, 202):
+        got = search(rows, items, k=k, shard_rows=16, block_items=1).collect()
+        want = [*range(200), *[None] * 5][:k]
+        for item in (1, 2):
+            assert [r.doc_id for r in sorted((r for r in got if r.item_id == item), key=lambda r: r.rank)] == want
+        assert {r.item_id for r in got} == {1, 2}
