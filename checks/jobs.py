@@ -26,6 +26,7 @@ from footfall.plans import (
     rollup,
     scoring,
     sessions,
+    sketched as sketched_reports,
     threats,
 )
 from footfall.plans.threats import Feeds
@@ -102,6 +103,96 @@ register(
 )
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Stored, as the sketches are that a report reads."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remaining(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact views of each day and site, and whether the visitors left when the excluded
+    ones are taken from the stored sketches are within five standard errors."""
+    views, excluded = table(spark, sf, "views"), table(spark, sf, "excluded")
+    by = ["site_id", "date"]
+    sketches = written(sketched_reports.rollup_visitors(views), "visitor_sketches")
+    approx = sketched_reports.remaining_visitors(sketches, excluded, *by)
+    exact = (
+        rollup.countable_views(views).join(excluded.select("visitor_id").distinct().withColumn("out", F.lit(True)), "visitor_id", "left")
+        .groupBy(*by).agg(F.count("*").alias("views"), F.countDistinct(F.when(F.col("out").isNull(), F.col("visitor_id"))).alias("exact"))
+    )
+    error = F.abs(F.col("unique_visitors") - F.col("exact"))
+    return exact.join(approx, by).select(*by, "views", "exact", (error <= 5 * F.col("error")).alias("within_bound"))
+
+
+register(
+    "A15_remaining_visitors",
+    remaining,
+    f"""SELECT site_id, strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date, count(*) AS views,
+      count(DISTINCT CASE WHEN x.visitor_id IS NULL THEN v.visitor_id END) AS exact, true AS within_bound
+     FROM views v LEFT JOIN (SELECT DISTINCT visitor_id FROM excluded) x ON v.visitor_id = x.visitor_id
+     WHERE {CLEAN} GROUP BY 1, 2""",
+    "views", "excluded",
+)
+
+
+def kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact visitors by kind over all stored days, and whether the sketched numbers are
+    within 5 % of all visitors of them."""
+    views, excluded = table(spark, sf, "views"), table(spark, sf, "excluded")
+    sketches = written(sketched_reports.rollup_visitors(views), "visitor_sketches")
+    approx = sketched_reports.visitor_kinds(sketches, excluded, "site_id")
+    seen = (
+        rollup.countable_views(views).join(excluded.select("visitor_id").distinct(), "visitor_id", "left_anti")
+        .groupBy("site_id", "visitor_id").agg(F.min("is_returning").alias("low"), F.max("is_returning").alias("high"))
+    )
+    exact = seen.groupBy("site_id").agg(
+        F.count_if(F.col("high") == 0).alias("new"), F.count_if(F.col("low") == 1).alias("old"),
+        F.count_if(F.col("low") < F.col("high")).alias("again"),
+    )
+    bound = (F.col("new") + F.col("old") + F.col("again")) * 0.05
+    near = [F.abs(F.col(a) - F.col(b)) <= bound for a, b in (("only_new", "new"), ("only_returning", "old"), ("came_back", "again"))]
+    return approx.join(exact, "site_id").select("site_id", "new", "old", "again", (near[0] & near[1] & near[2]).alias("within_bound"))
+
+
+register(
+    "A15_visitor_kinds",
+    kinds,
+    f"""SELECT site_id, count(*) FILTER (high = 0) AS new, count(*) FILTER (low = 1) AS old,
+      count(*) FILTER (low < high) AS again, true AS within_bound
+     FROM (SELECT site_id, visitor_id, min(is_returning) AS low, max(is_returning) AS high FROM views v
+      WHERE {CLEAN} AND NOT EXISTS (SELECT 1 FROM excluded x WHERE x.visitor_id = v.visitor_id) GROUP BY 1, 2)
+     GROUP BY site_id""",
+    "views", "excluded",
+)
+
+
+def latencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact counts and means of each path, and whether the sketched percentiles have ranks
+    within 1 % of those wanted."""
+    requests = table(spark, sf, "requests")
+    parts = written(sketched_reports.latency_parts(requests, "1 hour"), "latency_parts")
+    found = sketched_reports.latency(parts, "path")
+    names = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    ranked = requests.join(found.select("path", *names), "path").groupBy("path").agg(
+        *[F.avg((F.col("duration_ms") < F.col(n)).cast("int")).alias(f"below_{n}") for n in names],
+        *[F.avg((F.col("duration_ms") <= F.col(n)).cast("int")).alias(f"upto_{n}") for n in names],
+    )
+    right = F.lit(True)
+    for name, share in names.items():
+        right = right & (F.col(f"below_{name}") <= share + 0.01) & (F.col(f"upto_{name}") >= share - 0.01)
+    return found.join(ranked, "path").select("path", "requests", "errors", "max_ms", right.alias("within_bound"))
+
+
+register(
+    "A16_latency_sketches",
+    latencies,
+    """SELECT path, count(*) AS requests, count(*) FILTER (status >= 500) AS errors,
+      max(duration_ms) AS max_ms, true AS within_bound FROM requests GROUP BY path""",
+    "requests",
+)
+
+
 def purgeable(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     views, excluded = table(spark, sf, "views"), table(spark, sf, "excluded")
     return {
