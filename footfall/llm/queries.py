@@ -49,7 +49,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(prepared(spark), sf_dir, "pages")
     index = capture_index.build(warc.scanned(spark, warc.write_archives(pages)))
-    key = F.udf(warc.url_key, "string")
+    key = F.pandas_udf(lambda urls: urls.map(warc.url_key), "string", F.PandasUDFType.SCALAR)
     found = capture_index.lookup(index, pages.select(key(F.coalesce("url", F.lit(""))).alias("url_key")))
     return warc.read_records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -12,9 +12,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,9 @@ from footfall.session import shared_dir
 
 CAPTURED = "2024-01-01T00:00:00Z"
 ROWS_PER_FILE = 5_000
+ROWS_PER_BATCH = 1_000
+FED = 1 << 16  # bytes unpacked at a time
+READ_AHEAD = 1 << 22
 _URN = "urn:page:"
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _ENTRY = "url_key string, page_id long, record_type string, payload_digest string, file string, offset long, length long"
@@ -138,51 +143,37 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, rows_per_file: int =
     )
     same = keyed.page_id.eqNullSafe(revisits.page) & (keyed.payload_sha1 == revisits.sha1)
     rows = keyed.join(revisits, same, "left").select("page_id", "url", "html", "refers_to").mapInArrow(_members, "member binary")
-    (
-        rows.select(F.col("member").cast("string").alias("value")).write.mode("overwrite")
-        .option("lineSep", "\0").option("maxRecordsPerFile", rows_per_file).text(path)
-    )
+    write_members(rows, path, maxRecordsPerFile=rows_per_file)
     return path
 
 
-def _spans(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each record of an archive."""
-    view, at = memoryview(data), 0
-    while at < len(view):
+def write_members(rows: DataFrame, path: str, **options: int) -> None:
+    """Write a column ``member`` of members without their last byte, in the order of each
+    partition, to files of its own."""
+    text = rows.select(F.col("member").cast("string").alias("value"))
+    text.write.mode("overwrite").options(lineSep="\0", **options).text(path)
+
+
+def _spans(source: bytes | BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each record of an archive, read as a stream: no more
+    than a record is held."""
+    opened, at = io.BytesIO(source) if isinstance(source, bytes) else source, 0
+    held = opened.read(FED)
+    while held:
         start, content = at, b""
-        while not content and at < len(view):  # an empty member is read with the record that follows
+        while not content and held:  # an empty member is read with the record that follows
             stream, parts = zlib.decompressobj(wbits=31), []
             while not stream.eof:
-                if at >= len(view):
+                if not held:
                     raise ValueError("an archive that ends within a record")
-                fed = view[at : at + 65536]
-                parts.append(stream.decompress(fed))
-                at += len(fed) - len(stream.unused_data)
+                parts.append(stream.decompress(held))
+                at += len(held) - len(stream.unused_data)
+                held = stream.unused_data or opened.read(FED)
             content = b"".join(parts)
         if content:
             yield start, at - start, content
 
 
-def scanned(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of all records in a folder of archives, to build an index from:
-    url_key, page_id, record_type, payload_digest, file, offset, length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, data in zip(batch["path"].to_pylist(), batch["content"]):
-                out = []
-                for offset, length, content in _spans(data.as_py()):
-                    r = parsed(content)
-                    out.append((url_key(r["url"]), r["page_id"], r["record_type"], r["payload_digest"], file, offset, length))
-                columns = list(zip(*out)) or [()] * 7
-                types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                names = ["url_key", "page_id", "record_type", "payload_digest", "file", "offset", "length"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, _ENTRY)
-
-
 def _open(file: str):
     """A file that ranges can be read from, in any store that Arrow knows."""
     import pyarrow.fs
@@ -194,6 +185,44 @@ def _open(file: str):
     return system.open_input_file(path)
 
 
+def each_member(spark: SparkSession, path: str, row: Callable[[str, int, int, bytes], tuple], fields: Sequence[pa.Field], schema: str) -> DataFrame:
+    """``row`` (of file, offset, length, content) of all members in a folder. Files are
+    listed by Spark and read as streams, so their size bounds no task's memory."""
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], names=[f.name for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                out = []
+                with _open(file) as opened:
+                    for offset, length, content in _spans(pa.BufferedInputStream(opened, READ_AHEAD)):
+                        out.append(row(file, offset, length, content))
+                        if len(out) == ROWS_PER_BATCH:
+                            yield table(out)
+                            out = []
+                yield table(out)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, schema)
+
+
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of all records in a folder of archives, to build an index from:
+    url_key, page_id, record_type, payload_digest, file, offset, length."""
+
+    def entry(file: str, offset: int, length: int, content: bytes) -> tuple:
+        r = parsed(content)
+        return url_key(r["url"]), r["page_id"], r["record_type"], r["payload_digest"], file, offset, length
+
+    fields = [
+        pa.field("url_key", pa.string()), pa.field("page_id", pa.int64()), pa.field("record_type", pa.string()),
+        pa.field("payload_digest", pa.string()), pa.field("file", pa.string()), pa.field("offset", pa.int64()), pa.field("length", pa.int64()),
+    ]
+    return each_member(spark, path, entry, fields, _ENTRY)
+
+
 def read_records(entries: DataFrame) -> DataFrame:
     """The records at (file, offset, length): page_id, url, record_type, refers_to,
     payload_bytes, payload_digest, html (null for a revisit). Only these ranges are

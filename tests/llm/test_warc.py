@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,41 @@ def test_hot_url_spans_blocks_and_parts(spark):
     assert sorted(r.page_id for r in capture_index.lookup(index, keys).collect()) == [*range(400), 444]
 
 
+def test_a_lookup_reads_the_blocks_it_names_alone(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i:04d}", f"page {i}") for i in range(400)], "page_id long, url string, html string")
+    index = capture_index.build(warc.scanned(spark, warc.write_archives(pages)), block_lines=10, part_lines=100)
+    blocks = index.collect()
+    assert len(blocks) >= 40 and sum(r.n_lines for r in blocks) == 400
+    one = spark.createDataFrame([("h)/0123",), ("h)/0123",)], "url_key string")
+    named = [(r.file, r.offset, r.length) for r in capture_index.named_blocks(index, one).collect()]
+    assert 1 <= len(named) <= 3 and set(named) < {(r.file, r.offset, r.length) for r in blocks}
+    assert [r.page_id for r in capture_index.lookup(index, one).collect()] == [123]
+
+
+def test_many_keys_of_one_part_come_in_slices(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i:04d}", None) for i in range(0, 400, 4)], "page_id long, url string, html string")
+    index = capture_index.build(warc.scanned(spark, warc.write_archives(pages)), block_lines=7)
+    keys = spark.range(400).select(F.format_string("h)/%04d", "id").alias("url_key"))
+    assert sorted(r.page_id for r in capture_index.lookup(index, keys, part_lines=9).collect()) == [*range(0, 400, 4)]
+
+
+def test_archives_are_read_as_streams():
+    class Slow(io.RawIOBase):  # gives at most ten bytes at a time
+        def __init__(self, data):
+            self.left = io.BytesIO(data)
+
+        def read(self, size=-1):
+            return self.left.read(min(size, 10))
+
+    contents = [b"a" * 5, bytes(range(256)) * 999, b"c" * (1 << 24), b"d"]
+    data = b"".join(map(warc.member, contents))
+    spans = list(warc._spans(Slow(data)))
+    assert [c for _, _, c in spans] == contents
+    assert [gzip.decompress(data[o : o + n]) for o, n, _ in spans] == contents
+    with pytest.raises(ValueError):
+        list(warc._spans(Slow(data[:-3])))
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     index = capture_index.build(warc.scanned(spark, warc.write_archives(frame)))
