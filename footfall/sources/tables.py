@@ -62,6 +62,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def publish(spark: SparkSession, source: str, target: str) -> bool:
+    """Make a finished folder appear under another name by one rename; False, and nothing
+    done, where that name is taken already."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    start, end = jvm.Path(source), jvm.Path(target)
+    store = end.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(end):
+        return False
+    store.mkdirs(end.getParent())
+    if not store.rename(start, end):
+        raise OSError(f"{source} could not be renamed to {target}")
+    return True
+
+
 def insert_absent(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Old rows plus the new rows whose key is not there yet."""
     fresh = new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti")
