@@ -135,4 +135,4 @@ def lookup(directory: DataFrame, keys: DataFrame, part_lines: int = PART_LINES)
             opened.close()
 
     named = named_blocks(directory, keys, part_lines)
-    return named.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(read, _SCHEMA)
+    return warc.by_file(named).mapInArrow(read, _SCHEMA)

@@ -223,6 +223,14 @@ def scanned(spark: SparkSession, path: str) -> DataFrame:
     return each_member(spark, path, entry, fields, _ENTRY)
 
 
+def by_file(ranges: DataFrame) -> DataFrame:
+    """Rows with file and offset as they lie in the files, each file in one task. The number
+    of tasks is given: the rows are far smaller than what they stand for, so by their size
+    many files' ranges would be put together in one."""
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(tasks, "file").sortWithinPartitions("file", "offset")
+
+
 def read_records(entries: DataFrame) -> DataFrame:
     """The records at (file, offset, length): page_id, url, record_type, refers_to,
     payload_bytes, payload_digest, html (null for a revisit). Only these ranges are
@@ -248,7 +256,7 @@ def read_records(entries: DataFrame) -> DataFrame:
         if opened:
             opened.close()
 
-    ranges = entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    ranges = by_file(entries.select("file", "offset", "length"))
     return ranges.mapInArrow(
         run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string"
     )
