@@ -41,6 +41,7 @@ def build(entries: DataFrame, block_lines: int = BLOCK_LINES, part_lines: int =
     A block is gzip over a line with its part and number and then a line ``key, space,
     JSON`` for each entry."""
     spark = entries.sparkSession
+    entries = written(entries, "entries")  # counted, sampled for its ranges, then laid out
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // part_lines))
 
     def block(part: int, number: int, lines: list[str]) -> pa.RecordBatch:
