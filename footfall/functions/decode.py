@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SITE_ID = "^[a-zA-Z0-9._-]{1,64}$"
 WEB_SCHEMES = ("http", "https", "ftp", "ws", "wss")
+# Texts that are malformed at first sight: a failed conversion costs a Java exception, many
+# times as much as a good one.
+NOT_BASE64 = "[!-*,.:-<>-@\\[-`{-~-]"
+WITH_SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:[^\\s]*$"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def base64_text(value: Column) -> Column:
     """Base64 to text, one character per byte; NULL when malformed. Padding is optional."""
-    bare = F.regexp_replace(value, "\\s|=+$", "")
-    padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4))))
-    return F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1")
+
+    def decoded(bare: Column) -> Column:
+        padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4))))
+        return F.when(~bare.rlike(NOT_BASE64), F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1"))
+
+    return let(F.regexp_replace(value, "\\s|=+$", ""), decoded)
 
 
 def percent_text(value: Column) -> Column:
@@ -41,13 +55,23 @@ def site_or_default(site: Column) -> Column:
 
 def url_origin(url: Column) -> Column:
     """scheme://host[:port] of an absolute URL, NULL when there is none."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    port = F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), ":(\\d+)$", 1)
-    usual = F.when(scheme == "http", "80").when(scheme == "https", "443").otherwise("")
-    suffix = F.when((port == "") | (port == usual), "").otherwise(F.concat(F.lit(":"), port))
-    web = F.concat(scheme, F.lit("://"), host, suffix)
-    return F.when(scheme.isin(*WEB_SCHEMES), web).when(scheme.isNotNull(), "null")
+
+    def parsed(text: Column) -> Column:
+        return F.struct(
+            F.lower(F.try_parse_url(text, F.lit("PROTOCOL"))).alias("scheme"),
+            F.lower(F.try_parse_url(text, F.lit("HOST"))).alias("host"),
+            F.regexp_extract(F.try_parse_url(text, F.lit("AUTHORITY")), ":(\\d+)$", 1).alias("port"),
+        )
+
+    def origin(parts: Column) -> Column:
+        scheme, port = parts["scheme"], parts["port"]
+        usual = F.when(scheme == "http", "80").when(scheme == "https", "443").otherwise("")
+        suffix = F.when((port == "") | (port == usual), "").otherwise(F.concat(F.lit(":"), port))
+        web = F.concat(scheme, F.lit("://"), parts["host"], suffix)
+        return F.when(scheme.isin(*WEB_SCHEMES), web).when(scheme.isNotNull(), "null")
+
+    # without a scheme there is no origin, whatever else the text is
+    return let(url, lambda text: F.when(text.rlike(WITH_SCHEME), let(parsed(text), origin)))
 
 
 def segment_count(path: Column) -> Column:
@@ -57,9 +81,10 @@ def segment_count(path: Column) -> Column:
 def with_parsed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are costly to compute, such as parsed JSON, exactly once
     per row: filters on what is derived from them stay above the generator and
-    do not repeat the parsing below it."""
+    do not repeat the parsing below it. A column of the same name is replaced."""
     parsed = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(parsed)))
+    kept = [df[f"`{c}`"] for c in df.columns if c not in columns] if set(columns) & set(df.columns) else ["*"]
+    return df.select(*kept, F.inline(F.array(parsed)))
 
 
 def variant_text(variant: Column, path: str) -> Column:

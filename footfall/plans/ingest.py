@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.decode import SITE_ID, variant_text, with_parsed
+from footfall.functions.decode import SITE_ID, let, variant_text, with_parsed
 from footfall.functions.identity import event_number
 from footfall.schemas import EVENTS
 from footfall.settings import Settings
@@ -161,11 +161,14 @@ def _joined_data(
         ),
         F.lit("}"),
     )
-    names = F.map_keys(fields)
-    ours = F.array_contains(names, "session_context") | (
-        experiment.isNotNull() & F.arrays_overlap(names, F.array(F.lit("experiment_id"), F.lit("variant_id")))
-    )
-    doubled = F.size(F.json_object_keys(data)) != F.size(names)
+
+    def anew(names: Column) -> Column:
+        ours = F.array_contains(names, "session_context") | (
+            experiment.isNotNull() & F.arrays_overlap(names, F.array(F.lit("experiment_id"), F.lit("variant_id")))
+        )
+        doubled = F.size(F.json_object_keys(data)) != F.size(names)
+        return F.coalesce(ours | doubled, F.lit(False))
+
     replaced = F.when(
         experiment.isNotNull(), F.array(*[F.lit(n) for n in ("session_context", "experiment_id", "variant_id")])
     ).otherwise(F.array(F.lit("session_context")))
@@ -177,7 +180,7 @@ def _joined_data(
         ",",
     )
     as_sent = F.regexp_extract(data, "(?s)^\\{(.*)\\}$", 1)
-    own = F.nullif(F.when(F.coalesce(ours | doubled, F.lit(False)), rewritten).otherwise(as_sent), F.lit(""))
+    own = F.nullif(F.when(let(F.map_keys(fields), anew), rewritten).otherwise(as_sent), F.lit(""))
     return F.concat(
         F.lit("{"),
         F.concat_ws(
@@ -194,24 +197,42 @@ def _joined_data(
     )
 
 
-def batch_events(checked: DataFrame) -> DataFrame:
-    """Events of the accepted batches, with the event id and their position."""
+def _listed(checked: DataFrame) -> DataFrame:
+    """Events of the accepted batches: raw_id, received_at, _context, pos, col (v, e)."""
     accepted = with_parsed(
         checked.filter(F.col("message").isNull()), _typed=F.from_json("body", SHAPE)
     )
-    listed = accepted.select(
+    return accepted.select(
         "raw_id",
         "received_at",
         "_context",
         F.posexplode(F.arrays_zip(F.col("_events").alias("v"), F.col("_typed.events").alias("e"))),
     )
-    event = F.col("col.v")
+
+
+def event_keys(checked: DataFrame) -> DataFrame:
+    """Of ``batch_events`` what tells which event is the first of its id."""
+    return _listed(checked).select(
+        "raw_id", F.col("pos").alias("position"), variant_text(F.col("col.v"), "$.event_id").alias("event_id"),
+        F.col("received_at").alias("created_at"),
+    )
+
+
+def batch_events(checked: DataFrame) -> DataFrame:
+    """Events of the accepted batches, with the event id and their position."""
+    listed = _listed(checked)
+    event, sent = F.col("col.v"), F.col("col.e.data")
     first = F.try_variant_get(event, "$.experiments[0]", "variant")
-    experiment = F.nullif(variant_text(first, "$.experiment_id"), F.lit(""))
-    variant = variant_text(first, "$.variant_id")
-    sent = F.col("col.e.data")
     is_object = sent.startswith("{") & variant_text(event, "$.data").isNull()
-    data = F.when(is_object, sent).otherwise("{}")
+    # each is named many times below
+    listed = with_parsed(
+        listed,
+        _experiment=F.nullif(variant_text(first, "$.experiment_id"), F.lit("")),
+        _variant=variant_text(first, "$.variant_id"),
+        _data=F.when(is_object, sent).otherwise("{}"),
+        _fields=F.try_variant_get(event, "$.data", "map<string,variant>"),
+    )
+    experiment, variant, data, fields = (F.col(c) for c in ("_experiment", "_variant", "_data", "_fields"))
     at = F.col("received_at")
     return listed.select(
         "raw_id",
@@ -224,7 +245,7 @@ def batch_events(checked: DataFrame) -> DataFrame:
         variant_text(F.col("_context"), "$.session_id").alias("session_id"),
         F.lit(None).cast("string").alias("visitor_id"),
         _joined_data(
-            data, F.try_variant_get(event, "$.data", "map<string,variant>"), experiment, variant, F.col("_context")
+            data, fields, experiment, variant, F.col("_context")
         ).alias("data"),
         experiment.alias("experiment_id"),
         F.when(experiment.isNotNull(), variant).alias("variant_id"),
@@ -267,12 +288,12 @@ def ingest_batches(raw: DataFrame, settings: Settings = Settings()) -> Ingested:
     """Accepted events, rejected batches with a message, and accepted and
     duplicate counts per batch."""
     checked = check_batches(raw, settings)
-    listed = batch_events(checked)
-    unique = first_of_each(listed)
+    unique = first_of_each(batch_events(checked))
+    keys = event_keys(checked)
     return Ingested(
         events=unique.select("event_id", "event_ts", *[f.name for f in EVENTS.fields]),
         rejects=checked.filter(F.col("message").isNotNull()).select("raw_id", "message"),
-        counts=batch_counts(listed, unique),
+        counts=batch_counts(keys, first_of_each(keys)),
     )
 
 
