@@ -56,10 +56,15 @@ def may_hold(probes: DataFrame, filters: DataFrame, value: str, on: Sequence[str
     """``probes`` with the other columns of ``filters``' groups that may hold their value;
     ``on`` names group columns that both have. No group that holds a value is missed."""
     group = [c for c in filters.columns if c not in ("blocks", "block", "bits", *on)]
-    sizes = F.array(*[F.lit(1 << k) for k in range(MOST_BLOCKS.bit_length())])
-    asked = probes.where(F.col(value).isNotNull()).withColumn("_hash", _hash(value)).withColumn("blocks", F.explode(sizes))
-    asked = asked.withColumn("block", F.pmod("_hash", F.col("blocks")).cast("int"))
+    # a value asks as many questions as there are sizes of filters, at most 21
+    sizes = sorted(r.blocks for r in filters.select("blocks").distinct().collect()) or [1]
+    # each probe meets a filter of every group: many tests on few bytes, so the number of
+    # tasks goes by cores, not by bytes
+    spread = probes.where(F.col(value).isNotNull()).repartition(probes.sparkSession.sparkContext.defaultParallelism)
+    asked = spread.withColumn("_hash", _hash(value)).withColumn("blocks", F.explode(F.array(*map(F.lit, sizes))))
+    places = _places(F.col("_hash"))
+    asked = asked.select("*", F.pmod("_hash", F.col("blocks")).cast("int").alias("block"), *[p.alias(f"_place{i}") for i, p in enumerate(places)])
     hit = F.lit(True)
-    for place in _places(F.col("_hash")):
-        hit = hit & _set(F.col("bits"), place)
+    for i in range(len(places)):
+        hit = hit & _set(F.col("bits"), F.col(f"_place{i}"))
     return asked.join(filters, [*on, "blocks", "block"]).where(hit).select(*probes.columns, *group)

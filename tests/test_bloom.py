@@ -19,3 +19,17 @@ def test_filters_miss_nothing_and_seldom_say_yes(spark):
     others = spark.range(20_000).selectExpr("'large' AS site_id", "concat('x', id) AS v")
     assert may_hold(others, filters, "v", ["site_id"]).count() < 20
     assert may_hold(others.withColumn("site_id", F.lit("nulls")), filters, "v", ["site_id"]).count() == 0
+
+
+def test_few_bytes_of_probes_are_tested_by_all_tasks(spark):
+    rows = spark.range(3_000).selectExpr("concat('s', id % 3) AS site_id", "id % 7 AS part", "concat('v', id) AS v")
+    filters = build_filters(rows, ["site_id", "part"], "v").localCheckpoint()
+    probes = spark.range(0, 500, 1, 1).selectExpr("concat('s', id % 3) AS site_id", "concat('v', id) AS v")
+    found = may_hold(probes, filters, "v", ["site_id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # only sizes of filters that there are: one here
+    assert "Repartition" in plan and "1048576" not in plan
+    assert sorted(map(tuple, found.select("site_id", "part", "v").where("part = 0").collect())) >= sorted(
+        (f"s{i % 3}", 0, f"v{i}") for i in range(0, 500) if i % 7 == 0
+    )
+    assert may_hold(probes, filters.limit(0), "v", ["site_id"]).count() == 0
