@@ -88,5 +88,16 @@ def matches_any(agent: Column, names: tuple[str, ...]) -> Column:
     """Case-insensitive substring match against a list of names."""
     if not names:
         return F.lit(False)
-    pattern = "|".join(re.escape(n.lower()) for n in names)
-    return F.coalesce(F.lower(agent).rlike(pattern), F.lit(False))
+    return F.coalesce(F.lower(agent).rlike(_any_of({n.lower() for n in names})), F.lit(False))
+
+
+def _any_of(words: set[str]) -> str:
+    """A pattern that finds a text with any of the words in it. A place in the text is tried
+    against the letters that words begin with, not against each word."""
+    if "" in words:
+        return ""  # what the longer words add to it makes no difference
+    firsts = sorted({w[0] for w in words})
+    branches = [re.escape(c) + _any_of({w[1:] for w in words if w[0] == c}) for c in firsts]
+    if len(firsts) == 1:
+        return branches[0]
+    return "(?=[" + "".join(re.escape(c) for c in firsts) + "])(?:" + "|".join(branches) + ")"

@@ -49,7 +49,7 @@ def decode_posts(posts: DataFrame, settings: Settings) -> DataFrame:
     texts, so that an entry of a wrong type is an entry like any other.
     """
     bodies = with_parsed(posts, _json=F.try_parse_json("body"))
-    is_list = F.schema_of_variant(F.try_variant_get("_json", "$.events", "variant")).startswith("ARRAY")
+    is_list = F.try_variant_get("_json", "$.events", "array<variant>").isNotNull()  # entries are not looked into
     lists = with_parsed(
         bodies, _events=F.when(is_list, F.from_json("body", BODY)["events"])
     )

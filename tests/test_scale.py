@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import adapters
+from footfall.functions import useragent
 from footfall.functions.decode import base64_text, url_origin, with_parsed
 from footfall.plans import enrich, posts, threats
 from footfall.session import shared_dir
@@ -105,3 +106,14 @@ def test_conversions_of_malformed_texts(spark):
 def test_a_parsed_column_replaces_one_of_its_name(spark):
     row = with_parsed(spark.createDataFrame([("a", 1)], "x string, n int"), x=F.concat("x", F.lit("b"))).first()
     assert row.asDict() == {"x": "ab", "n": 1}
+
+
+def test_known_agents_are_tried_by_letters_and_found_as_by_their_list(spark):
+    words = (*Settings(secret="s").bot_agents, "a.b", "A", "é-ü", "bot")
+    pattern = useragent._any_of({w.lower() for w in Settings(secret="s").bot_agents})
+    assert pattern.startswith("(?=[") and pattern.count("|") < len(Settings(secret="s").bot_agents)
+    texts = [*words, *(w[1:] for w in words), *(f"Mozilla/5.0 {w.upper()}/1" for w in words), "axb", "", None, "Mozilla/5.0 (X11; Linux)"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for names in (Settings(secret="s").bot_agents, ("a.b", "é-ü"), ("bot", "googlebot"), ("x]y^", "x-z", "x&&"), ("",)):
+        found = [r.m for r in rows.select(useragent.matches_any(F.col("t"), names).alias("m")).collect()]
+        assert found == [t is not None and any(n.lower() in t.lower() for n in names) for t in texts]
