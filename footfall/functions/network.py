@@ -43,14 +43,16 @@ def client_country(settings: Settings) -> Column:
 def unmapped(ip: Column) -> Column:
     """The dotted quad inside ::ffff:a.b.c.d or ::a.b.c.d, else the text itself."""
     inner = F.regexp_extract(ip, r"(?i)^::(?:ffff:)?(\d+\.\d+\.\d+\.\d+)$", 1)
-    return F.when(inner != "", inner).otherwise(ip)
+    return F.when(ip.startswith("::") & (inner != ""), inner).otherwise(ip)
 
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a number, NULL unless it is four decimal octets."""
-    octets = F.transform(F.split(ip, "\\."), lambda o: o.try_cast("int"))
-    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
-    return F.when(ip.rlike(DOTTED) & F.forall(octets, lambda o: o <= 255), number)
+    octets = [F.split_part(ip, F.lit("."), F.lit(place)).try_cast("int") for place in (1, 2, 3, 4)]
+    number, small = F.lit(0).cast("bigint"), F.lit(True)
+    for octet in octets:
+        number, small = number * 256 + octet, small & (octet <= 255)
+    return F.when(ip.rlike(DOTTED) & small, number)
 
 
 def ipv4_range(start: Column, bits: Column) -> Column:
@@ -75,7 +77,8 @@ def ipv6_hex(ip: Column) -> Column:
     digits = F.array_join(F.transform(F.split(groups, ":"), lambda g: F.lpad(g, 4, "0")), "")
     whole = F.nullif(F.regexp_extract(digits, "^[0-9a-f]{32}$", 0), F.lit(""))
     stray = low.rlike("^:[^:]|[^:]:$|:::")
-    return F.when(~stray, F.concat(F.lit("0"), whole))
+    # most addresses have no colon and end here
+    return F.when(ip.contains(":") & ~stray, F.concat(F.lit("0"), whole))
 
 
 def prefix_address(cidr: Column) -> Column:

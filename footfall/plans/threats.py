@@ -220,7 +220,8 @@ def with_datacenter_flag(
 ) -> DataFrame:
     """True for addresses inside a merged range, IPv4 or IPv6."""
     address = F.col(key)
-    flagged = with_parsed(hits, _n4=ipv4_number(unmapped(address)), _n6=ipv6_hex(address))
+    quads = with_parsed(hits, _quad=unmapped(address))
+    flagged = with_parsed(quads, _n4=ipv4_number(F.col("_quad")), _n6=ipv6_hex(address))
     n4, n6 = F.col("_n4"), F.col("_n6")
     top = F.conv(F.substring(n6, 1, 5), 16, 10).cast("int")
     flagged = _in_range(flagged, by_block(ranges_v4), "_n4", v4_block(n4), "_in4")

@@ -108,6 +108,17 @@ def test_a_parsed_column_replaces_one_of_its_name(spark):
     assert row.asDict() == {"x": "ab", "n": 1}
 
 
+def test_a_raw_log_of_one_row_group_is_read_by_all_tasks_however_often_it_is_cut(spark, folder):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        assert spark.read.parquet(f"{folder}/events.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = adapters.table(spark, folder, "hits").rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(sizes) == 400 and sum(s > 0 for s in sizes) >= spark.sparkContext.defaultParallelism
+
+
 def test_known_agents_are_tried_by_letters_and_found_as_by_their_list(spark):
     words = (*Settings(secret="s").bot_agents, "a.b", "A", "é-ü", "bot")
     pattern = useragent._any_of({w.lower() for w in Settings(secret="s").bot_agents})
