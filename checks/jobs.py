@@ -905,7 +905,7 @@ def feedback(spark: SparkSession, sf: str) -> DataFrame:
     recent = correlate.recent_prints(first.prints, as_of=as_of(sf, "hits", "ts"), seconds=WINDOW)
     found = correlate.confirmed_markers(recent, correlate.find_clusters(recent), as_of(sf, "hits", "ts") - timedelta(days=1))
     again = replace(dims(spark, sf), markers=found)
-    views = enrich.enrich_hits(table(spark, sf, "hits"), again, SETTINGS, stage_dir=shared_dir(spark, "hits")).views
+    views = enrich.enrich_hits(table(spark, sf, "hits"), again, SETTINGS, stage_dir=shared_dir(spark, "hits"), before=first).views
     return views.select(*SCORE)
 
 

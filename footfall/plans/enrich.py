@@ -60,6 +60,7 @@ class Pageviews:
     prints: DataFrame
     rejects: DataFrame
     bursts: DataFrame | None  # hit_id, ip, ts, burst_count, window_start of accepted hits
+    checked: DataFrame  # decoded hits with their reject_reason
 
 
 def site_reject(settings: Settings) -> Column:
@@ -221,6 +222,7 @@ def enrich_hits(
     count_bursts: bool = True,
     open_windows: DataFrame | None = None,
     stage_dir: str | None = None,
+    before: Pageviews | None = None,
 ) -> Pageviews:
     """Views to store, prints for the correlator, and rejected hits with a reason.
 
@@ -231,7 +233,9 @@ def enrich_hits(
     With ``stage_dir``, a folder all executors share, the checked hits and the
     scored hits are each written there once: the burst count does not decode the
     log again, and the three outputs do not score it again. ``open_windows`` are burst
-    windows that earlier hits have left open (see ``open_after``).
+    windows that earlier hits have left open (see ``open_after``). ``before`` are the
+    pageviews of the same hits with other markers or feeds: the hits as they were checked
+    and counted then are taken over, and scored again.
     """
 
     def stage(df: DataFrame, name: str) -> DataFrame:
@@ -240,11 +244,13 @@ def enrich_hits(
         df.write.mode("overwrite").parquet(f"{stage_dir}/{name}")
         return df.sparkSession.read.parquet(f"{stage_dir}/{name}")
 
-    checked = stage(check_hits(decode_hits(hits, settings), dims, settings), "checked")
+    checked = before.checked if before else stage(check_hits(decode_hits(hits, settings), dims, settings), "checked")
     accepted = _with_campaign(checked.filter(F.col("reject_reason").isNull()), dims.campaigns)
     bursts = None
     if count_bursts:
-        bursts = stage(burst_windows(accepted, settings, open_windows), "bursts")
+        bursts = before.bursts if before else None
+        if bursts is None:
+            bursts = stage(burst_windows(accepted, settings, open_windows), "bursts")
         accepted = _with_bursts(accepted, bursts, settings)
     scored = with_bot_score(with_signals(accepted, dims, settings, raw=hits), settings)
     agent = F.col("user_agent")
@@ -277,4 +283,5 @@ def enrich_hits(
         prints=_prints(scored, settings),
         rejects=rejects.unionByName(discarded),
         bursts=bursts,
+        checked=checked,
     )

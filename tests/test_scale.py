@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -128,3 +129,24 @@ def test_known_agents_are_tried_by_letters_and_found_as_by_their_list(spark):
     for names in (Settings(secret="s").bot_agents, ("a.b", "é-ü"), ("bot", "googlebot"), ("x]y^", "x-z", "x&&"), ("",)):
         found = [r.m for r in rows.select(useragent.matches_any(F.col("t"), names).alias("m")).collect()]
         assert found == [t is not None and any(n.lower() in t.lower() for n in names) for t in texts]
+
+
+def test_hits_scored_again_are_not_decoded_again(spark, folder):
+    hits = adapters.table(spark, folder, "hits")
+    dims = enrich.Dimensions(
+        adapters.table(spark, folder, "campaigns"), adapters.table(spark, folder, "excluded"),
+        hits.select(F.lit("none").alias("ip_hash"), F.lit("confirmed").alias("kind"), "ts"),
+    )
+    settings = Settings(secret="s", burst_threshold=1, burst_seconds=86_400)
+    first = enrich.enrich_hits(hits, dims, settings, stage_dir=shared_dir(spark, "hits"))
+    marks = first.prints.select("ip_hash", F.lit("confirmed").alias("kind"), "ts")
+    other = replace(dims, markers=marks)
+    path = shared_dir(spark, "hits")
+    again = enrich.enrich_hits(hits, other, settings, stage_dir=path, before=first)
+    anew = enrich.enrich_hits(hits, other, settings, stage_dir=shared_dir(spark, "hits"))
+    assert [p.rsplit("/", 1)[1] for p in glob.glob(f"{path}/*")] == ["scored"]
+    for name in ("views", "prints", "rejects"):
+        rows = [sorted(map(str, getattr(x, name).collect())) for x in (again, anew)]
+        assert rows[0] == rows[1]
+    assert again.prints.where("headless_tainted").count() == again.prints.count() > 0
+    assert first.prints.where("headless_tainted").count() == 0
