@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import glob
+import re
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -13,6 +15,7 @@ from checks import adapters
 from footfall.functions import useragent
 from footfall.functions.decode import base64_text, url_origin, with_parsed
 from footfall.plans import enrich, posts, threats
+from footfall.plans import ingest as batch_ingest
 from footfall.session import shared_dir
 from footfall.settings import Settings
 from footfall.streaming import ingest
@@ -150,3 +153,101 @@ def test_hits_scored_again_are_not_decoded_again(spark, folder):
         assert rows[0] == rows[1]
     assert again.prints.where("headless_tainted").count() == again.prints.count() > 0
     assert first.prints.where("headless_tainted").count() == 0
+
+
+def compiled(df):
+    """Of each generator in the plan, whether it runs as compiled code, by the first column it makes."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", "true")
+    found = re.findall(r"(\*\(\d+\) )?Generate inline\(array\(struct\((\w+)", plan)
+    return {name: bool(star) for star, name in found}
+
+
+def test_rows_are_decoded_and_judged_by_compiled_code(spark, folder):
+    hits = enrich.decode_hits(adapters.table(spark, folder, "hits"), Settings(secret="k"))
+    assert compiled(hits)["ip"]
+    batches = batch_ingest.check_batches(adapters.table(spark, folder, "batches"))
+    assert compiled(batches)["_broken"]
+
+
+def test_state_of_event_ids_leaves_memory_with_its_batch(spark, folder):
+    """A changelog keeps what was written in memory, of each partition, until a snapshot."""
+    path = shared_dir(spark, "state")
+    query = ingest.start_batches(adapters.stream(spark, folder, "batches"), path, every=None)
+    query.awaitTermination()
+    assert query.exception() is None
+    names = glob.glob(f"{path}/checkpoint/state/**".replace("file:", ""), recursive=True)
+    assert any(n.endswith(".zip") for n in names) and not any(n.endswith(".changelog") for n in names)
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
+
+
+def test_agents_are_listed_from_the_stage(spark, folder):
+    campaigns = spark.createDataFrame([], "site_id string, utm_campaign string, status string")
+    feeds = threats.Feeds(crawler_patterns=("feed",), ai_names=("bot",))
+    dims = enrich.Dimensions(campaigns=campaigns, excluded=spark.createDataFrame([], "visitor_id string"), feeds=feeds)
+    for name, job, key in (("hits", enrich.enrich_hits, "hit_id"), ("posts", posts.enrich_posts, "post_id")):
+        seen = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def looked_at(agent):
+            seen.add(1)
+            return agent
+
+        raw = adapters.table(spark, folder, name)
+        job(raw.withColumn("user_agent", looked_at("user_agent")), dims, Settings(secret="k"), stage_dir=shared_dir(spark, name))
+        assert seen.value == raw.select(key).count()
+
+
+def test_single_events_are_listed_once_for_all_outputs(spark, folder):
+    campaigns = spark.createDataFrame([("site-1", "spring", "active")], "site_id string, utm_campaign string, status string")
+    dims = enrich.Dimensions(campaigns=campaigns, excluded=spark.createDataFrame([], "visitor_id string"))
+    table, kept = adapters.table(spark, folder, "posts"), Settings(secret="k", discard_threshold=0)
+    each = posts.enrich_posts(table, dims, kept, stage_dir=shared_dir(spark, "each"))
+    once = posts.enrich_posts(table, dims, kept, stage_dir=shared_dir(spark, "once"), list_once=True)
+    for name in ("events", "rejects", "event_rejects"):
+        before, after = getattr(each, name), getattr(once, name)
+        assert before.columns == after.columns and before.count() > 0
+        assert before.exceptAll(after).count() == after.exceptAll(before).count() == 0
+    for rows in (once.events, once.event_rejects):
+        assert "parseJson" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_posts_read_the_burst_windows_of_their_time_only(spark, folder):
+    """A micro-batch does not read windows of hits after its last post."""
+    read, path = [], shared_dir(spark, "timed")
+    hits = adapters.table(spark, folder, "hits").selectExpr("hit_id", "remote_addr AS ip", "ts")
+    windows = shared_dir(spark, "windows")
+    enrich.burst_windows(hits, Settings(burst_seconds=3600)).write.parquet(windows)
+    campaigns = spark.createDataFrame([], "site_id string, utm_campaign string, status string")
+    dims = enrich.Dimensions(campaigns=campaigns, excluded=spark.createDataFrame([], "visitor_id string"))
+    real = posts.with_burst_read
+
+    def looked(accepted, counted, settings, **options):
+        read.append(counted.count())
+        return real(accepted, counted, settings, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(posts, "with_burst_read", looked)
+        query = ingest.start_events(
+            adapters.stream(spark, folder, "posts"), lambda: dims, Settings(secret="k", burst_seconds=3600), path,
+            load_bursts=lambda: spark.read.parquet(windows), every=None,
+        )
+        query.awaitTermination()
+    assert query.exception() is None
+    assert len(read) == adapters.STREAM_FILES and max(read) < 120  # of 400
+
+
+@pytest.mark.parametrize("value", ["QUI", "QUI=", "QQ==", "QQ= =", "Q Q==", "QQ==\n", "=", "====", "Q", "QUJD"])
+def test_usual_base64_reads_as_any_other(spark, value):
+    """What goes the short way gives what the long way gives."""
+    bare = re.sub("\\s|=+\\Z|=+(?=\n\\Z)", "", value)
+    try:
+        known = base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True).decode("latin-1")
+    except ValueError:
+        known = None
+    got = spark.createDataFrame([(value,)], "x string").select(base64_text(F.col("x"))).first()[0]
+    assert got == known
